@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding
+from . import idfiles, media, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_huffman_ids": idfiles.op3_huffman_ids,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op8_wav_peaks": media.op8_wav_peaks,
+    "op9_minimum_bin_slack": packing.op9_minimum_bin_slack,
 }
 
 SQL: dict[str, str] = {}
