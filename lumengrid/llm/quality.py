@@ -4,11 +4,12 @@ Features are indicators of byte 1-grams to 4-grams, hashed into 2^17 buckets, an
 sequence that says whether a word equals the one before it (and whether a line repeats), which no n-gram
 of bytes can tell for words not seen before.  A row is divided by the root of its number of indicators,
 so short and long texts weigh alike.  Class log-count ratios
-r = log((p / |p|) / (q / |q|)) come from all labelled rows (distributed counts).  Indicators scaled by r
-feed a linear hinge-loss model fitted by dual coordinate descent on the driver, on a documented, bounded
-sample: of each class the SAMPLE / 2 labelled texts that come first in a seeded hash order (all of them
-where there are fewer).  Weights are interpolated with their mean magnitude, as usual for this model, and
-a logistic curve fitted on the same margins turns margins into scores.  Scoring reads each whole text.
+so short and long texts weigh alike.  The model is fitted on a documented, bounded sample of labelled
+rows: of each class the SAMPLE / 2 rows that come first in a seeded hash order of their keys (all of them
+where there are fewer).  Class log-count ratios r = log((p / |p|) / (q / |q|)) of the indicators scale
+them; dual coordinate descent on the driver fits a linear hinge-loss model, its rows weighted to the
+classes' own rates among all labels.  Weights are interpolated with their mean magnitude, as usual for
+this model, and a logistic curve turns margins into scores.  Scoring reads each whole text.
 
 Defined results: a null or empty text has no features and gets the curve's value at the bias; with no
 labels, or labels of one class only, every score is that class's share (0.5 without labels); labels other
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 17
-#: Labelled texts that the hinge-loss model is fitted on, at most; the counts behind r use all of them.
-SAMPLE = 6_000
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE = 12_000
 EPOCHS, COST, MIXED = 12, 0.3, 0.5
 #: Buckets of the repetition indicators: 1, 2, 4, 8 or 16 words in a row that equal the one before; a repeated line.
 RUNS = (1, 2, 4, 8, 16)
@@ -56,23 +57,12 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(gram_ids(text)))
 
 
-def log_count_ratios(examples: DataFrame, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """r for each bucket, and how many rows have label 0 and 1."""
-
-    def run(batches):
-        counts, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y, features(x)] += 1
-                rows[y] += 1
-        at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *[pa.array(np.append(counts[y, at], rows[y])) for y in (0, 1)]], ["bucket", "n0", "n1"])
-
-    found = examples.select(text, label).mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    counts = np.zeros((2, BUCKETS + 1))
-    counts[:, found["bucket"].to_numpy()] = found[["n0", "n1"]].to_numpy().T
-    smooth = counts[:, :-1] + 1
-    return np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()), counts[:, -1]
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """log((p / |p|) / (q / |q|)) for each bucket; p, q: rows of label 1, 0 that have it, and 1."""
+    counts = np.ones((2, BUCKETS))
+    for x, y in zip(rows, labels, strict=True):
+        counts[y, x] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
@@ -135,30 +125,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margins + self.b, -35, 35)))
 
 
-def fit(examples: DataFrame, text: str = "text", label: str = "label", sample: int = SAMPLE) -> Model:
-    """The model of examples (text, label 0 or 1)."""
-    examples = examples.select(F.col(text).alias("x"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    r, rows = log_count_ratios(examples, "x", "y")
-    if rows.min() == 0:
-        share = 0.5 if rows.sum() == 0 else float(rows[1] > 0)
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    seeded = F.xxhash64(F.lit(11), "x")
-    # of each class the first texts by hash: two top-k queries, merged without gathering more than k rows
-    chosen = [examples.filter(F.col("y") == y).orderBy(seeded, "x").limit(sample // 2) for y in (0, 1)]
+def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """`key`, `text` and `label` of the sampled labelled rows, and how many labels are 0 and 1 in all.
+
+    The sample's labels (at most `sample` rows, whatever the corpus) are broadcast to the documents.
+    """
+    usable = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull())
+    rows = np.zeros(2, np.int64)
+    for y, n in usable.groupBy("_y").count().collect():
+        rows[y] = n
+    order = [F.xxhash64(F.lit(11), "_k"), F.col("_k"), F.col("_y")]
+    first = [usable.filter(F.col("_y") == y).orderBy(*order).limit(sample // 2).collect() for y in (0, 1)]
+    chosen = docs.sparkSession.createDataFrame([tuple(x) for x in first[0] + first[1]], usable.schema)
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("_k"))
+    return found.select("key", "text", F.col("_y").alias("label")), rows
 
-    def featured(batches):
-        for batch in batches:
-            made = [features(x).astype("<i4").tobytes() for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "y"])
 
-    got = chosen[0].union(chosen[1]).mapInArrow(featured, "x binary, y int").collect()
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
+    """The model that tells documents whose label is 1 from those whose label is 0."""
+    examples, rows = sampled(docs, labels, label, sample, key, text)
+
+    def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [features(x).astype("<i4").tobytes() for x in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "y"])
+
+    got = common.mapped(examples.select("text", "label"), "x binary, y int", featured).collect()
+    got.sort(key=lambda x: (x[1], x[0]))  # the model does not depend on the order in which tasks end
+    drawn = np.bincount([y for _, y in got], minlength=2)[:2]
+    if drawn.min() == 0:
+        share = 0.5 if drawn.sum() == 0 else float(drawn[1] > 0)
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     indices = [np.frombuffer(x, "<i4") for x, _ in got]
-    labels = np.array([y for _, y in got])
-    natural = (rows / rows.sum() / np.array([(labels == y).mean() for y in (0, 1)]))[labels]  # as if drawn at the classes' own rates
-    w = dual_coordinate_descent(indices, r, np.where(labels > 0, 1.0, -1.0), COST * natural, EPOCHS)
+    classes = np.array([y for _, y in got])
+    r = log_count_ratios(indices, classes)
+    natural = (rows / rows.sum() / (drawn / drawn.sum()))[classes]
+    w = dual_coordinate_descent(indices, r, np.where(classes > 0, 1.0, -1.0), COST * natural, EPOCHS)
     weights = ((1 - MIXED) * np.abs(w[:-1]).mean() + MIXED * w[:-1]) * r
     margins = np.array([float(weights[x].sum()) / np.sqrt(max(len(x), 1)) for x in indices]) + w[-1]
-    a, b = logistic(margins, labels, natural)
+    a, b = logistic(margins, classes, natural)
     return Model(weights, float(w[-1]), a, b)
 
 
@@ -173,16 +177,14 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return common.mapped(docs.select(key, text), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int", each)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """text and label of the labelled documents that are not held out."""
-    kept = labels.select("doc_id", F.col(label).alias("label")).filter(common.crc_remainder(F.col("doc_id"), modulus) != held)
-    return docs.select("doc_id", "text").join(kept, "doc_id").select("text", "label")
+def not_held_out(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    return labels.filter(common.crc_remainder(F.col("doc_id"), modulus) != held)
 
 
 def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that are not held out."""
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(common.written(training_rows(docs, labels, "quality", 3, 1), "quality-examples"))
+    model = fit(docs, not_held_out(labels, 3, 1), "quality")
     held = F.coalesce(common.crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfiles, media, packing, sharding
+from . import idfiles, media, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nbsvm_quality": quality.op1_nbsvm_quality,
     "op3_huffman_ids": idfiles.op3_huffman_ids,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op8_wav_peaks": media.op8_wav_peaks,
     "op9_minimum_bin_slack": packing.op9_minimum_bin_slack,
+    "op10_nearest_toxic": toxicity.op10_nearest_toxic,
 }
 
 SQL: dict[str, str] = {}
