@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, idfiles, media, packing, quality, sharding, toxicity
+from . import fingerprints, idfiles, media, packing, privacy, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": quality.op1_nbsvm_quality,
     "op3_huffman_ids": idfiles.op3_huffman_ids,
     "op4_lz_phrases": fingerprints.op4_lz_phrases,
+    "op6_disclosure": privacy.op6_disclosure,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op8_wav_peaks": media.op8_wav_peaks,
     "op9_minimum_bin_slack": packing.op9_minimum_bin_slack,
