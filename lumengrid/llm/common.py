@@ -38,7 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def mapped(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """df with each Arrow batch turned into another by each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -248,6 +248,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates keeps; rows without a key stay."""
+    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).filter("_kept is not null").distinct()
+    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(common.documents(spark, sf_dir))

@@ -177,6 +177,16 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return common.mapped(docs.select(key, text), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int", each)
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is 0.5 or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(shared.value.scores(batch.column(batch.schema.get_field_index(text)).to_pylist()) >= 0.5))
+
+    return common.mapped(docs, docs.schema, each)
+
+
 def not_held_out(labels: DataFrame, modulus: int, held: int) -> DataFrame:
     return labels.filter(common.crc_remainder(F.col("doc_id"), modulus) != held)
 

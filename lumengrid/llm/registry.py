@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, idfiles, media, neardup, packing, privacy, quality, sharding, toxicity
+from . import fingerprints, idfiles, media, mixing, neardup, packing, privacy, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": quality.op1_nbsvm_quality,
     "op2_bbit_minhash": neardup.op2_bbit_minhash,
     "op3_huffman_ids": idfiles.op3_huffman_ids,
     "op4_lz_phrases": fingerprints.op4_lz_phrases,
+    "op5_soft_mixing": mixing.op5_soft_mixing,
     "op6_disclosure": privacy.op6_disclosure,
     "op7_two_pass_shuffle": sharding.op7_two_pass_shuffle,
     "op8_wav_peaks": media.op8_wav_peaks,
