@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,30 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: list[str], bins: int = 256)
     counts = both.groupBy(*keys, "s.k").agg(F.sum("s.d").alias("d"), F.count(F.lit(1)).alias("m"))
     run = counts.withColumn("run", F.sum("d").over(whole.orderBy("k")))
     return run.groupBy(*keys).agg((F.max(F.abs("run")) / (F.sum("m") / 2)).alias("ks"))
+
+
+def byte_pair_counts(df: DataFrame, text: str) -> DataFrame:
+    """`ctx`, `byte`, `n`: how often each byte of the texts' UTF-8 follows each other (0 before the first).
+
+    A row for each byte would be the whole text many times over, so each task counts into a table of 65,536
+    cells and only its non-empty cells leave it.
+    """
+
+    def run(batches):
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                x = np.frombuffer((t or "").encode(), np.uint8).astype(np.int64)
+                if len(x):
+                    counts += np.bincount(np.concatenate([[0], x[:-1]]) * 256 + x, minlength=1 << 16)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at // 256, pa.int32()), pa.array(at % 256, pa.int32()), pa.array(counts[at])], ["ctx", "byte", "n"])
+
+    cells = df.select(text).mapInArrow(run, "ctx int, byte int, n long")
+    return cells.groupBy("ctx", "byte").agg(F.sum("n").alias("n"))
+
+
+def conditional_from_counts(counts: DataFrame, context: str, symbol: str, n: str) -> DataFrame:
+    """`total`, `contexts` and `bits` from counts of (context, symbol)."""
+    t = counts.withColumn("_t", F.sum(n).over(Window.partitionBy(context)))
+    return t.agg(F.sum(n).alias("total"), F.countDistinct(context).alias("contexts"), F.sum(F.col(n) * F.log2(F.col("_t") / F.col(n))).alias("bits"))
