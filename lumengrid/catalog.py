@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import coding, samples  # noqa: F401  (registers its queries)
+from .plans import coding, imaging, samples  # noqa: F401  (registers its queries)
 from .plans.registry import QUERIES, SQL  # noqa: F401
 
 
