@@ -38,6 +38,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to be none of df's columns (whatever their case)."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def bundled(df: DataFrame, **named: str) -> DataFrame:
+    """df's columns `named` under these names, and all of its columns but `text`'s in a struct `rest`: then no name
+    that an operator gives can clash with a column that only travels along."""
+    others = [F.col(f"`{x}`") for x in df.columns if x != named["text"]]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).alias("none"))
+    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in named.items()], rest.alias("rest"))
+
+
+def unbundled(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
+    """The columns of like again, in its order, from bundled columns."""
+    return df.select(*[F.col("text").alias(x) if x == text else F.col("rest").getField(x).alias(x) for x in like.columns])
+
+
 def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """df with each Arrow batch turned into another by each."""
 

@@ -139,8 +139,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
     rate, _ = fitted(rows, model.domains, goals, least=1.0)
     chance = F.pmod(F.xxhash64(F.lit(seed), "key", "_h"), F.lit(1_000_000)) / 1e6
     times = rows.select("key", "_h", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).alias("_times")).dropDuplicates(["key", "_h"])
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(times.select(F.col("key").alias("_k"), F.col("_h").alias("_h2"), "_times"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_h2")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_times", F.lit(1).cast("long"))))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    bundle = common.bundled(docs, key=key, text=text).withColumn("_h", F.xxhash64("text"))
+    times = times.select(F.col("key").alias("_k"), F.col("_h").alias("_h2"), "_times")
+    joined = bundle.join(times, F.col("key").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_h2")))
+    one = F.lit(1).cast("long")
+    return common.unbundled(joined.select("text", "rest", F.explode(F.sequence(one, F.greatest("_times", one)))), docs, text)
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

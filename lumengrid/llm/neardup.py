@@ -250,8 +250,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that near_duplicates keeps; rows without a key stay."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).filter("_kept is not null").distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    name = common.fresh(docs, "_kept")
+    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    return docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi").unionByName(docs.filter(F.col(f"`{key}`").isNull()))
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

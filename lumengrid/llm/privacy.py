@@ -122,17 +122,17 @@ def all_spans(docs: DataFrame, text: str = "text", all_texts: bool = False) -> D
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by its kind; null texts stay."""
-    found = all_spans(docs, text, all_texts=True)
+    found = all_spans(common.bundled(docs, text=text), all_texts=True)
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    made = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("_all") > 0, made).otherwise(F.col(text))).select(*docs.columns)
+    made = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return common.unbundled(found.withColumn("text", F.when(F.size("_all") > 0, made).otherwise(F.col("text"))), docs, text)
 
 
 def listed(spans: Column) -> Column:

@@ -29,32 +29,35 @@ SEED = 20_011
 def shuffled(
     docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """All rows of docs with `_shard` (0 to shards - 1) and `_slot` (place in it, gapless from 0)."""
+    """All rows of docs with `_shard` (0 to shards - 1) and `_slot` (place in it, gapless from 0).
+
+    Where docs has columns of these names, the new ones have one underscore more.
+    """
+    b_name, h_name, g_name, shard_name, slot_name = (common.fresh(docs, x) for x in ("_bucket", "_h", "_g", "_shard", "_slot"))
     rows, size = common.in_bytes(docs, text)
     buckets = max(1, math.ceil(size / bucket_bytes), math.ceil(rows / 200_000))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
-    placed = docs.withColumn("_bucket", bucket)
+    placed = docs.withColumn(b_name, bucket)
     counts = np.zeros(buckets, dtype=np.int64)
-    for b, n in placed.groupBy("_bucket").count().collect():
+    for b, n in placed.groupBy(b_name).agg(F.count(F.lit(1))).collect():
         counts[b] = n
     first = (np.cumsum(counts) - counts).tolist()
-    columns = [x for x in docs.columns]
-    schema = docs.select(*columns).withColumn("_shard", F.lit(0)).withColumn("_slot", F.lit(0).cast("long")).schema
+    schema = docs.withColumn(shard_name, F.lit(0)).withColumn(slot_name, F.lit(0).cast("long")).schema
 
     def one(bucket_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         b = int(bucket_key[0])
-        part = part.drop(columns="_bucket").sort_values(["_h", "_g"], kind="stable").drop(columns=["_h", "_g"])
+        part = part.drop(columns=b_name).sort_values([h_name, g_name], kind="stable").drop(columns=[h_name, g_name])
         order = np.arange(len(part))
         np.random.Generator(np.random.PCG64([seed, b])).shuffle(order)  # a Fisher-Yates shuffle
         part = part.iloc[order].reset_index(drop=True)
         at = first[b] + np.arange(len(part), dtype=np.int64)
         shard = at * shards // rows
-        part["_shard"] = shard.astype("int32")
-        part["_slot"] = at - (shard * rows + shards - 1) // shards
+        part[shard_name] = shard.astype("int32")
+        part[slot_name] = at - (shard * rows + shards - 1) // shards
         return part
 
-    hashed = placed.withColumn("_h", F.xxhash64(key, text)).withColumn("_g", F.xxhash64(*[F.col(f"`{x}`") for x in columns]))
-    return hashed.groupBy("_bucket").applyInPandas(one, schema)
+    hashed = placed.withColumn(h_name, F.xxhash64(key, text)).withColumn(g_name, F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns]))
+    return hashed.groupBy(b_name).applyInPandas(one, schema)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
