@@ -2,11 +2,12 @@
 
 The tokenizers library spends most of its time on words that it has met before.  A byte-level BPE
 encodes each pre-token on its own, so a text's ids are the ids of its pre-tokens put together; each
-worker therefore keeps the ids of every space-led chunk and of every word in two dictionaries of
-bounded size, and the library sees a word only when it is new there.  The split into words is done here
-only for texts whose characters all lie in a plain set (ASCII, Latin letters, some quotes) and that hold
-no two white-space characters in a row; every other text, and each text that could hold a special
-token's string, goes to the library whole.  Both ways give the same ids.
+worker therefore keeps the ids of every space-led chunk in a sorted table (by a 64-bit hash, confirmed by
+a 32-bit one) and of every word in a dictionary, both of bounded size, and the library's model sees a word
+only when it is new there.  All chunks of a batch are hashed, looked up and put together as arrays.  The
+split into words is done here only for texts whose characters all lie in a plain set (ASCII, Latin
+letters, some quotes) and that hold no two white-space characters in a row; every other text, and each
+text that could hold a special token's string, goes to the library whole.  Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import re
 import numpy as np
 
 END_ID = 0
-#: Chunks and words whose ids a worker keeps; past that a dictionary starts anew (memory stays bounded).
-CACHE_CHUNKS, CACHE_WORDS = 900_000, 500_000
+#: Chunks and words whose ids a worker keeps; past that they start anew (memory stays bounded).
+CACHE_CHUNKS, CACHE_WORDS = 4_000_000, 600_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = "!-/:-@\\[-`{-~¡¿«»–—‘’“”…€"
@@ -36,8 +37,37 @@ def _alphabet() -> dict[int, str]:
 _ALPHABET = _alphabet()
 
 
+class _Chunks:
+    """Ids of chunks: rows sorted by hash, and one pool that all ids lie in."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys stand or belong, and whether they are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.minimum(at, max(len(self.keys) - 1, 0))
+        return at, (self.keys[there] == keys) & (self.checks[there] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
+        sizes = np.array([len(x) // 2 for x in ids], np.int64)
+        new = np.frombuffer(b"".join(ids), np.uint16)
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint16)])
+        self.pool[self.used : self.used + len(new)] = new
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used += len(new)
+
+
+_BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Encoder:
-    """A worker's tokenizer for one vocabulary file with its dictionaries of chunks and words.
+    """A worker's tokenizer for one vocabulary file with its tables of chunks and words.
 
     Ids are little-endian unsigned 16-bit bytes: vocabularies of more than 65,536 ids are refused.
     """
@@ -49,8 +79,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits are not supported")
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks()
         self.words: dict[str, bytes] = {}
+        self.powers = [np.ones(1, np.uint64)] * 2
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text by the library alone."""
@@ -59,43 +90,68 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, by the library's BPE model on its byte alphabet."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-        return np.array([x.id for x in self.library.model.tokenize(word.translate(_ALPHABET))], dtype="<u2").tobytes()
-
-    def _learn(self, pieces: list[list[str]]) -> None:
-        """Put every chunk of the texts, and every word of a new chunk, into the dictionaries."""
-        known, words = self.chunks, self.words
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        for x in set().union(*pieces).difference(known):
-            split = _WORDS.findall(" " + x)
-            for w in split:
-                if w not in words:
-                    words[w] = self._word(w)
-            known[x] = words[split[0]] if len(split) == 1 else b"".join(map(words.__getitem__, split))
+        found = self.words.get(word)
+        if found is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1")
+            found = np.array([x.id for x in self.library.model.tokenize(mapped.translate(_ALPHABET))], dtype="<u2").tobytes()
+            self.words[word] = found
+        return found
+
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self._word, _WORDS.findall(text)))
+
+    def _hashes(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        most = int(sizes.max())
+        if most > len(self.powers[0]):
+            self.powers = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(most, b)])) for b in _BASES]
+        offset = np.arange(len(raw)) - np.repeat(starts, sizes)
+        value = raw.astype(np.uint64) + np.uint64(1)
+        return [np.add.reduceat(value * p[offset], starts) for p in self.powers]
+
+    def _plain(self, rests: list[str]) -> list[np.ndarray]:
+        """Ids of texts that each begin with a space."""
+        data = "".join(rests).encode()
+        raw = np.frombuffer(data, np.uint8)
+        starts = np.flatnonzero(raw == 32)
+        sizes = np.diff(np.append(starts, len(raw)))
+        keys, checks = self._hashes(raw, starts, sizes)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        checks = (checks[first] >> np.uint64(32)).astype(np.uint32)
+        if len(self.chunks.keys) > CACHE_CHUNKS:
+            self.chunks = _Chunks()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        at, known = self.chunks.find(keys, checks)
+        new = np.flatnonzero(~known)
+        if len(new):
+            cut = zip(starts[first[new]].tolist(), (starts + sizes)[first[new]].tolist(), strict=True)
+            self.chunks.add(at[new], keys[new], checks[new], [self._words(data[a:b].decode()) for a, b in cut])
+            at = np.searchsorted(self.chunks.keys, keys)  # of two chunks with one 64-bit hash, the newer stands first
+        n = self.chunks.sizes[at][inverse]
+        end = np.cumsum(n)
+        ids = self.chunks.pool[np.repeat(self.chunks.starts[at][inverse] - end + n, n) + np.arange(end[-1])]
+        stops = end[np.cumsum([x.count(" ") for x in rests]) - 1]
+        return np.split(ids, stops[:-1])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text (null: none), without an end id."""
         out: list[bytes] = [b""] * len(texts)
-        plain, firsts, pieces, rest = [], [], [], []
+        plain, rests, others = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if _UNUSUAL.search(text):
-                rest.append(i)
+                others.append(i)
                 continue
-            first, *more = text.split(" ")
-            plain.append(i)
-            firsts.append(first)
-            pieces.append(more)
-        self._learn(pieces)
-        get = self.chunks.__getitem__
-        for i, first, more in zip(plain, firsts, pieces, strict=True):
-            out[i] = b"".join([*map(self._word, _WORDS.findall(first)), *map(get, more)])
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            first, space, rest = text.partition(" ")
+            out[i] = self._words(first)
+            if space:
+                plain.append(i)
+                rests.append(" " + rest)
+        if plain:
+            for i, ids in zip(plain, self._plain(rests), strict=True):
+                out[i] += ids.tobytes()
+        for i, ids in zip(others, self.whole([texts[i] for i in others]), strict=True):
             out[i] = ids
         return out
 
