@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder in local sessions without it, an error on a cluster without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written under spark.checkpoint.dir (a local folder where that is unset, as in tests) and read again.
+    """df written under the shared folder and read again.
 
     A plan that is used several times is computed once, and a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lumengrid/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/lumengrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
