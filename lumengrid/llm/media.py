@@ -102,6 +102,11 @@ def pair_codes(payloads: list[bytes]) -> list[np.ndarray]:
     return [(x := codes[e - n : e].ravel())[x >= 0] for e, n in zip(ends, counts, strict=True)]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
+
+
 def with_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, `n_bytes` of the text and its WAV file `media`."""
 
@@ -115,7 +120,7 @@ def with_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def features(sounds: DataFrame, media: str = "media") -> DataFrame:
     """The columns of sounds but for media, with `samples` (binary, read back), `media_bytes`, `media_sha256`
-    and the time-coded peak pairs `pairs` (binary: big-endian 64-bit integers)."""
+    and the time-coded peak pairs `pairs` (an array of longs in order of time)."""
     others = [x for x in sounds.columns if x != media]
     names = [*others, "samples", "media_bytes", "media_sha256", "pairs"]
 
@@ -124,11 +129,11 @@ def features(sounds: DataFrame, media: str = "media") -> DataFrame:
             for batch in common.slices(whole, media):
                 stored = batch.column(media).to_pylist()
                 samples = [from_wav(x) for x in stored]
-                made = [pa.array(samples, pa.binary()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]), pa.array([x.astype(">i8").tobytes() for x in pair_codes(samples)], pa.binary())]
+                made = [pa.array(samples, pa.binary()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]), _lists(pair_codes(samples))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in others], *made], names)
 
     schema = ", ".join(f"`{x}` {sounds.schema[x].dataType.simpleString()}" for x in others)
-    return sounds.mapInArrow(run, f"{schema}, samples binary, media_bytes long, media_sha256 string, pairs binary")
+    return sounds.mapInArrow(run, f"{schema}, samples binary, media_bytes long, media_sha256 string, pairs array<long>")
 
 
 def op8_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +147,5 @@ def op8_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.lower(F.hex("pairs")).alias("feature"),
+        F.lower(F.array_join(F.transform("pairs", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("feature"),
     )
