@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -14,13 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, local sessions (tests) get a
+    temporary folder of their own; on a cluster that is an error, for executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
+    return _OWN[context.applicationId]
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -59,13 +68,13 @@ def unbundled(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
     return df.select(*[F.col("text").alias(x) if x == text else F.col("rest").getField(x).alias(x) for x in like.columns])
 
 
-def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """df with each Arrow batch turned into another by each."""
+def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1_000) -> DataFrame:
+    """df with each part of at most `rows` rows of its Arrow batches turned into another batch by each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield each(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

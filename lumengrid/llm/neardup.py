@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) ->
 
     def run(batches):
         last = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text_a")):
             good = []
             for a, b, ta, tb in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if last is None or last[0] != b:

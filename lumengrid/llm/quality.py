@@ -149,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, ke
         made = [features(x).astype("<i4").tobytes() for x in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "y"])
 
-    got = common.mapped(examples.select("text", "label"), "x binary, y int", featured).collect()
+    # read back a partition at a time: the driver holds the features once, not the JVM's copy of all of them too
+    made = common.written(common.mapped(examples.select("text", "label"), "x binary, y int", featured), "quality-features")
+    got = [(bytes(x), y) for x, y in made.toLocalIterator()]
     got.sort(key=lambda x: (x[1], x[0]))  # the model does not depend on the order in which tasks end
     drawn = np.bincount([y for _, y in got], minlength=2)[:2]
     if drawn.min() == 0:
