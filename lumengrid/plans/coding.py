@@ -244,7 +244,7 @@ def a45(spark, d):
 @query("j10_top_modes", f"{_MB}, w AS (SELECT *, row_number() OVER (PARTITION BY img, ty ORDER BY bits, ord) AS rank FROM k) SELECT img, ty, rank, mode FROM w WHERE rank <= 3")
 def j10(spark, d):
     """The three cheapest modes of each tile band."""
-    rank = F.row_number().over(Window.partitionBy("img", "ty").orderBy("bits", "ord"))
+    rank = F.row_number().over(Window.partitionBy("img", "ty").orderBy("bits", "ord")).cast("long")
     return mode_costs(spark, d).withColumn("rank", rank).filter("rank <= 3").select("img", "ty", "rank", "mode")
 
 

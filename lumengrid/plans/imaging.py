@@ -254,7 +254,7 @@ def a29(spark, d):
     """The twelve most frequent exponents with 128 samples or more."""
     w = P.with_words(G.grids(spark, d, "emb4", "ord3")).withColumns({"exponent": B.exponent_of(c("b")), "z": c("b") % 256 == 0})
     n = w.groupBy("img", "exponent").agg(F.count(F.lit(1)).alias("n"), F.count_if("z").alias("zero8")).filter("n >= 128")
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("n"), "exponent"))).filter("rank <= 12")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("n"), "exponent")).cast("long")).filter("rank <= 12")
 
 
 _CLASS = "CASE WHEN low >= 16 THEN 'bfloat' WHEN low >= 13 OR half = n THEN 'half_like' WHEN low >= 8 THEN 'low8_zero' WHEN dec >= 0 THEN 'decimal' WHEN low >= 1 THEN 'partly' ELSE 'float' END"
@@ -528,7 +528,7 @@ def j07(spark, d):
 def j12(spark, d):
     """Exact methods first, then by ratio."""
     order = Window.partitionBy("img").orderBy(F.when(c("low_bits") == 0, 0).otherwise(1), F.desc("ratio"), "method")
-    return results(spark, d).select("img", "method", F.row_number().over(order).alias("place"))
+    return results(spark, d).select("img", "method", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("j13_top_symbols", f"WITH {grid_sql('evt1')}, {WORDS}, n AS (SELECT b >> 16 AS symbol, count(*) AS n FROM go GROUP BY ALL) SELECT symbol, n FROM n ORDER BY n DESC, symbol LIMIT 10")

@@ -117,7 +117,7 @@ def f15(spark, d):
     return planes.select("img", "y", "x", *[F.round(k, 6).alias(k) for k in ("luma", "co", "cg")], *[F.round(T.vst_inverse(x), 5).alias(k) for k, x in back.items()])
 
 
-@query("f16_color_coefficients", f"WITH {grid_sql('ord3')}, {_PV}, k AS (SELECT unnest([0.25, 0.5]) AS a) SELECT img, y, x, a, round(a * r + (1 - 2 * a) * g + a * b, 6) AS luma, round(r - g, 6) AS cr, round(b - g, 6) AS cb FROM px, k")
+@query("f16_color_coefficients", f"WITH {grid_sql('ord3')}, {_PV}, k AS (SELECT CAST(unnest([0.25, 0.5]) AS DOUBLE) AS a) SELECT img, y, x, a, round(a * r + (1 - 2 * a) * g + a * b, 6) AS luma, round(r - g, 6) AS cr, round(b - g, 6) AS cb FROM px, k")
 def f16(spark, d):
     each = F.explode(F.array(F.lit(0.25), F.lit(0.5)))
     r, g, b = (c(k).cast("double") for k in "rgb")

@@ -140,3 +140,30 @@ def test_context_tree_saves_bits(spark, data):
     n, ones = sum(r.n for r in rows), sum(r.ones for r in rows)
     whole = spark.createDataFrame([(n - ones, ones)], "z long, o long").select(E.kt_bits(F.col("z"), F.col("o"))).first()[0]
     assert len(rows) == 1 or sum(r.bits for r in rows) + 16 * (len(rows) - 1) <= whole
+
+
+def test_adaptive_bits_cost_what_the_counts_say(spark, data):
+    rows = catalog.QUERIES["e03_adaptive_binary"](spark, data).collect()
+    assert len(rows) == 3 and all(r.exact for r in rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 3)), max_size=400))
+def test_adaptive_bits_round_trip(pairs):
+    from lumengrid.operators import sequential as Z
+
+    bits, contexts = [b for b, _ in pairs], [k for _, k in pairs]
+    assert Z.decode_bits(Z.encode_bits(bits, contexts, 4), contexts, 4) == bits
+
+
+def test_predictive_rows_stay_within_half_a_step(spark, data):
+    g = G.grid(spark, data, "ord3")
+    out = catalog.QUERIES["p20_predictive_index"](spark, data).join(g, ["img", "y", "x", "c"])
+    assert out.count() == g.count() and out.agg(F.max(F.abs(F.col("rec") - F.col("v")))).first()[0] <= 0.01 + 1e-6
+
+
+def test_pulled_codes_stay_in_their_bins(spark, data):
+    out = catalog.QUERIES["q14_predictive_dequantisation"](spark, data)
+    g = G.grid(spark, data, "ord3").groupBy("c").agg(((F.max("v") - F.min("v")) / 31).alias("step"))
+    far = out.join(G.grid(spark, data, "ord3"), ["img", "y", "x", "c"]).join(g, "c").filter(F.abs(F.col("rec") - F.col("v")) > F.col("step") * 1.001)
+    assert far.count() == 0
