@@ -54,9 +54,9 @@ def encode_lossless(samples: DataFrame, preset: str = "balanced") -> DataFrame:
         planes = E.plane_counts(r, ["img", "mode", "ord"], "r", range(32))
         cost = planes.groupBy("img", "mode", "ord").agg(F.sum(E.kt_bits(c("n") - c("ones"), c("ones"))).alias("bits"))
         best = cost.groupBy("img").agg(F.min(F.struct("bits", "ord", "mode")).alias("m")).select("img", "m.mode")
-        r = r.join(F.broadcast(best), ["img", "mode"])  # a row for each image
+        r = r.join(best, ["img", "mode"])
     shape = samples.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("c") + 1).alias("channels"))
-    placed = r.join(F.broadcast(shape), "img").withColumn("i", (c("y") * c("width") + c("x")) * c("channels") + c("c"))
+    placed = r.join(shape, "img").withColumn("i", (c("y") * c("width") + c("x")) * c("channels") + c("c"))
 
     def chunk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")

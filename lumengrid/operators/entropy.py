@@ -76,12 +76,11 @@ def context_bits(df: DataFrame, keys: list[str], context: str, bit: str) -> Data
 
 def ks_distance(df: DataFrame, a: str, b: str, keys: list[str], bins: int = 256) -> DataFrame:
     """keys and the greatest difference of the cumulated bins-bin histograms of two columns."""
-    whole = Window.partitionBy(*keys)
-    low, high = F.least(F.min(a).over(whole), F.min(b).over(whole)), F.greatest(F.max(a).over(whole), F.max(b).over(whole))
+    ends = df.groupBy(*keys).agg(F.least(F.min(a), F.min(b)).alias("_lo"), F.greatest(F.max(a), F.max(b)).alias("_hi"))
     place = lambda v: F.least(F.floor(bins * (F.col(v) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))), F.lit(bins - 1))
-    both = df.withColumns({"_lo": low, "_hi": high}).select(*keys, F.explode(F.array(F.struct(place(a).alias("k"), F.lit(1).alias("d")), F.struct(place(b).alias("k"), F.lit(-1).alias("d")))).alias("s"))
+    both = df.join(ends, keys).select(*keys, F.explode(F.array(F.struct(place(a).alias("k"), F.lit(1).alias("d")), F.struct(place(b).alias("k"), F.lit(-1).alias("d")))).alias("s"))
     counts = both.groupBy(*keys, "s.k").agg(F.sum("s.d").alias("d"), F.count(F.lit(1)).alias("m"))
-    run = counts.withColumn("run", F.sum("d").over(whole.orderBy("k")))
+    run = counts.withColumn("run", F.sum("d").over(Window.partitionBy(*keys).orderBy("k")))
     return run.groupBy(*keys).agg((F.max(F.abs("run")) / (F.sum("m") / 2)).alias("ks"))
 
 

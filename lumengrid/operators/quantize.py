@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tone as T
@@ -24,9 +24,12 @@ def value_of(q: Column, lo: Column, hi: Column, bits: int) -> Column:
 
 
 def ranged(df: DataFrame, value: Column, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """df with the range of value in each group, its ends rounded to FLOAT."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({lo: F.min(value).over(w).cast("float").cast("double"), hi: F.max(value).over(w).cast("float").cast("double")})
+    """df with the range of value in each group, its ends rounded to FLOAT.
+
+    An aggregate joined back, not a window: no group's samples meet in one task.
+    """
+    end = lambda f, name: f(value).cast("float").cast("double").alias(name)
+    return df.join(df.groupBy(*keys).agg(end(F.min, lo), end(F.max, hi)), keys)
 
 
 def transform_index(df: DataFrame, mode: str, bits: int, keys: list[str]) -> DataFrame:

@@ -70,14 +70,14 @@ def separate_peaks(df: DataFrame, value: str, most: int, apart: int) -> DataFram
     spark, picked, left = df.sparkSession, [], df
     for rank in range(1, most + 1):
         order = F.struct(c(value), -c("y"), -c("x"))
-        best = left.groupBy("img").agg(F.max(order).alias("m")).collect()  # a row for each image
+        best = left.groupBy("img").agg(F.max(order).alias("m")).collect()
         if not best:
             break
         here = [(r["img"], rank, -r["m"][1], -r["m"][2], float(r["m"][0])) for r in best]
         picked += here
         taken = spark.createDataFrame([(i, y, x) for i, _, y, x, _ in here], "img string, py long, px int")
         near = (F.abs(c("y") - c("py")) < apart) & (F.abs(c("x") - c("px")) < apart)
-        left = left.join(F.broadcast(taken), "img").filter(~near).drop("py", "px")
+        left = left.join(taken, "img").filter(~near).drop("py", "px")
     return spark.createDataFrame(picked, f"img string, rank int, y long, x int, {value} double")
 
 

@@ -113,7 +113,7 @@ def w09(spark, d):
     grad = F.greatest(F.coalesce(F.abs(c("v") - F.lag("v").over(r)), F.lit(0.0)), F.coalesce(F.abs(c("v") - F.lag("v").over(k)), F.lit(0.0)))
     g = plane(spark, d, "evt1", "part1").withColumn("grad", grad)
     q = g.groupBy("img").agg(F.percentile("grad", F.array(F.lit(0.35), F.lit(0.95))).alias("q"))
-    j = g.join(F.broadcast(q), "img")  # a row for each image
+    j = g.join(q, "img")
     return j.groupBy("img").agg(F.count_if(c("grad") <= c("q")[0]).alias("smooth"), F.count_if(c("grad") >= c("q")[1]).alias("edge"), F.round(F.max(c("q")[0]), 6).alias("q35"), F.round(F.max(c("q")[1]), 6).alias("q95"))
 
 
@@ -180,7 +180,7 @@ def q12(spark, d):
     """Q12: range between percentiles; what lies outside escapes."""
     p = plane(spark, d, "evt1")
     b = p.groupBy("img").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
-    j = p.join(F.broadcast(b), "img").withColumn("out", (c("v") < c("lo")) | (c("v") > c("hi")))
+    j = p.join(b, "img").withColumn("out", (c("v") < c("lo")) | (c("v") > c("hi")))
     return j.groupBy("img").agg(F.count_if("out").alias("escaped"), F.count(F.lit(1)).alias("n"), F.sum(F.when(c("out"), 0).otherwise(Q.index_of(c("v"), c("lo"), c("hi"), 7))).alias("total"))
 
 
@@ -192,11 +192,11 @@ def q13_fs(spark, d):
 
 @query("q13_ordered_dither", f"WITH {grid_sql('evt1')}, t AS (SELECT *, CAST(v AS DOUBLE) AS t FROM g), r AS (SELECT *, min(t) OVER () AS lo, max(t) OVER () AS hi FROM t) SELECT img, y, x, CAST(least(greatest(round_even((t - lo) / (hi - lo) * 31 + ([[0, 2], [3, 1]][y % 2 + 1][x % 2 + 1] + 0.5) / 4 - 0.5, 0), 0), 31) AS BIGINT) AS q FROM r")
 def q13_ordered(spark, d):
-    p = Q.ranged(plane(spark, d, "evt1"), c("v"), ["img"])
-    w = Window.partitionBy("img")
+    p = plane(spark, d, "evt1")
+    p = p.join(p.groupBy("img").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "img")
     matrix = F.array(F.lit(0), F.lit(2), F.lit(3), F.lit(1))
     dither = (F.element_at(matrix, (c("y") % 2 * 2 + c("x") % 2 + 1).cast("int")) + 0.5) / 4 - 0.5
-    z = (c("v") - F.min("v").over(w)) / (F.max("v").over(w) - F.min("v").over(w)) * 31 + dither
+    z = (c("v") - c("lo")) / (c("hi") - c("lo")) * 31 + dither
     return p.select("img", "y", "x", F.least(F.greatest(F.rint(z), F.lit(0.0)), F.lit(31.0)).cast("long").alias("q"))
 
 
@@ -235,7 +235,7 @@ def a26(spark, d):
 @query("a27_robust_sigma", f"WITH {grid_sql(*TWO)}, m AS (SELECT *, median(CAST(v AS DOUBLE)) OVER (PARTITION BY img) AS m FROM g) SELECT img, round(1.4826 * median(abs(CAST(v AS DOUBLE) - m)), 6) AS sigma FROM m GROUP BY img")
 def a27(spark, d):
     g = G.grids(spark, d, *TWO).withColumn("v", c("v").cast("double"))
-    m = F.broadcast(g.groupBy("img").agg(F.median("v").alias("m")))
+    m = g.groupBy("img").agg(F.median("v").alias("m"))
     return g.join(m, "img").groupBy("img").agg(F.round(1.4826 * F.median(F.abs(c("v") - c("m"))), 6).alias("sigma"))
 
 
@@ -541,7 +541,7 @@ def j13(spark, d):
 @query("j15_top_rate_mask", f"{_EVT}, t AS (SELECT img, quantile_cont(v, 0.95) AS t FROM p GROUP BY img) SELECT p.img, p.y, p.x FROM p JOIN t ON p.img = t.img WHERE v > t.t")
 def j15(spark, d):
     p = plane(spark, d, "evt1", "part1")
-    t = F.broadcast(p.groupBy("img").agg(F.percentile("v", F.lit(0.95)).alias("t")))
+    t = p.groupBy("img").agg(F.percentile("v", F.lit(0.95)).alias("t"))
     return p.join(t, "img").filter("v > t").select("img", "y", "x")
 
 

@@ -200,9 +200,8 @@ def w13(spark, d):
 @query("q10_signed_log", f"WITH {grid_sql('emb4', 'ord3')}, t AS (SELECT *, sign(v) * log2(1 + abs(CAST(v AS DOUBLE))) AS t FROM g), r AS (SELECT *, min(t) OVER w AS lo, max(t) OVER w AS hi FROM t WINDOW w AS (PARTITION BY img, c)), q AS (SELECT *, CAST(least(greatest(floor((t - lo) / (hi - lo) * 1023 + 0.5), 0), 1023) AS BIGINT) AS q FROM r), b AS (SELECT *, lo + q * (hi - lo) / 1023 AS w FROM q) SELECT img, y, x, c, q, round(sign(w) * (pow(2, abs(w)) - 1), 5) AS rec FROM b")
 def q10(spark, d):
     """Q10, Q6: 10-bit signed-log anchors."""
-    w = Window.partitionBy("img", "c")
     t = G.grids(spark, d, "emb4", "ord3").withColumn("t", T.forward(c("v"), "signed_log"))
-    t = t.withColumns({"lo": F.min("t").over(w), "hi": F.max("t").over(w)}).withColumn("q", Q.index_of(c("t"), c("lo"), c("hi"), 10))
+    t = t.join(t.groupBy("img", "c").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), ["img", "c"]).withColumn("q", Q.index_of(c("t"), c("lo"), c("hi"), 10))
     return t.select(*KEYS, "q", F.round(T.inverse(Q.value_of(c("q"), c("lo"), c("hi"), 10), "signed_log"), 5).alias("rec"))
 
 
@@ -216,8 +215,9 @@ def q16(spark, d):
     r, g, b = (c(k).cast("double") for k in "rgb")
     y, co, cg = T.ycocg(r, g, b)
     p = G.pixels(G.grid(spark, d, "ord3")).select("img", "y", "x", y.alias("l"), co.alias("o"), cg.alias("g"))
-    w = Window.partitionBy("img")
-    q = lambda k, bits: Q.index_of(c(k), F.min(k).over(w), F.max(k).over(w), bits).alias(f"q{k}")
+    ends = [f(k).alias(f"{n}_{k}") for k in ("l", "o", "g") for n, f in (("lo", F.min), ("hi", F.max))]
+    p = p.join(p.groupBy("img").agg(*ends), "img")
+    q = lambda k, bits: Q.index_of(c(k), c(f"lo_{k}"), c(f"hi_{k}"), bits).alias(f"q{k}")
     return p.select("img", "y", "x", q("l", 8), q("o", 5), q("g", 5))
 
 

@@ -68,7 +68,7 @@ def f11(spark, d):
     w = words(spark, d)
     most = w.filter(B.is_finite(c("b"))).groupBy("img").agg(F.max(B.exponent_of(c("b"))).alias("most"))
     bits = B.adaptive_clear(c("b"), 6, c("most"))
-    return w.join(F.broadcast(most), "img").withColumn("bits", bits).select(*KEYS, "bits", B.clear_low(c("b"), c("bits")).alias("q"))  # a row for each image
+    return w.join(most, "img").withColumn("bits", bits).select(*KEYS, "bits", B.clear_low(c("b"), c("bits")).alias("q"))
 
 
 _PX = "px AS (SELECT img, y, x, max(b) FILTER (c = 0) AS r, max(b) FILTER (c = 1) AS g, max(b) FILTER (c = 2) AS bl FROM gb GROUP BY ALL HAVING count(*) = 3)"
