@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -79,6 +80,21 @@ def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Within: Arrow batches of at most `rows` rows, so that rows with long texts take less memory beside the heap.
+
+    It holds for what runs within, not for what is only planned there.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about most_bytes of the column each, one row at least, in order."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))

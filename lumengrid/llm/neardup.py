@@ -211,6 +211,11 @@ def in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) ->
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable) and kept for every row."""
+    with common.small_batches(docs.sparkSession):
+        return _near_duplicates(docs, key, text)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     signed = common.written(signatures(docs, key, text), "signatures")
     usable = signed.filter(F.col("same").isNotNull())
