@@ -1,20 +1,28 @@
 """Operator 10: toxicity by nearest labelled examples.
 
-Terms are lower-case words and their first 4, 5 and 6 characters.  The vocabulary holds the terms that mark
-label 1 in a documented, bounded sample of labelled rows (at most SAMPLE, half of each class, first in a
-seeded hash order of their keys, near copies of an earlier one left out so that one much-copied text
-cannot fill the vocabulary with its own words): significantly more frequent there, best information gain first, at most
-TERMS.  Inverse document frequencies come from all documents.  The sample's TF-IDF vectors over that
-vocabulary form an inverted index in blocks of 64 examples with the greatest weight of each term in each
-block.  A query adds up these maxima to bound every block's cosine, visits blocks from the highest bound
-down and stops when no bound exceeds the K-th best cosine so far: the K nearest examples are exact.  Each
-votes with 1 / (SOFT + distance), weighted to its class's own rate; a logistic curve fitted on the
-examples' leave-one-out votes turns the vote into a score.
-
-Defined results: null, empty and other texts without a vocabulary term have no neighbours and get the
+Terms are lower-case words and their first 4, 5 and 6 characters.  Examples are a documented, bounded sample of
+labelled rows (at most SAMPLE, half of each class, first in a seeded hash order of their keys, near copies of an
+earlier one left out).  The vocabulary holds all terms of the examples.  A term's weight in a text is
+(1 + log count) * idf * rf: the inverse document frequency comes from all documents, the relevance frequency
+rf = log2(2 + rows of label 1 with it / max(1, rows of label 0 with it, at equal class sizes)) lets terms that mark
+label 1 count more; no term counts nothing.  Texts are compared by the cosine of these vectors, a text's own
+over the vocabulary's terms in it.
+
+The examples' vectors form an inverted index in blocks of 64 examples: the DENSE most frequent terms as a matrix
+with the greatest weight of each term in each block, all others as postings.  Queries are answered in batches: the
+postings' part of every cosine is summed, the block maxima bound the rest, and blocks whose bound is not
+above the K-th best cosine so far are skipped.  The nearest are found in single precision with a margin and their
+cosines computed again in double precision: the K nearest examples are exact.  Each votes with
+1 / (SOFT + distance), weighted to its class's own rate; a logistic curve fitted on the examples' leave-one-out
+votes turns the vote into a score.
+
+The evidence of a score: the nearest examples of label 1 (`neighbours`) and of label 0 (`clean_neighbours`), and the
+text's terms that mark label 1, significantly more frequent there (`terms`).
+
+Defined results: null, empty and other texts that share no term with an example have no neighbours and get the
 smoothed rate of label 1 among sampled rows without a term; without examples of both classes the score
-is the single class's share (0.5 without labels); equal cosines at the K-th place: the example visited
-first stays; repeated rows count each; labels other than 0 and 1, or null, teach nothing.
+is the single class's share (0.5 without labels); equal cosines at the K-th place: the example that comes first
+in the index stays; repeated rows count each; labels other than 0 and 1, or null, teach nothing.
 """
 
 from __future__ import annotations
@@ -30,8 +38,10 @@ from pyspark.sql import functions as F
 
 from . import common, quality
 
-SAMPLE, TERMS, LEAST_ROWS, LEAST_Z = 6_000, 2_048, 5, 5.0
+SAMPLE, LEAST_ROWS, LEAST_Z = 6_000, 5, 5.0
 K, BLOCK, SOFT = 24, 64, 0.05
+#: Terms of the index that are kept as a matrix; queries answered at once; words whose terms a task remembers; error of single-precision cosines.
+DENSE, QUERIES, WORDS, MARGIN = 2_048, 128, 100_000, 1e-4
 _LOW = np.uint64(0xFFFFFFFF)
 _MIX = [(np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(5).integers(1 << 20, 1 << 30, (4, 2))]
 _WORD = re.compile(r"\w+")
@@ -52,17 +62,30 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.at = {x: i for i, x in enumerate(terms)}
+        self.seen: dict[str, tuple] = {}
+
+    def __reduce__(self):
+        return Vocabulary, (self.terms,)
+
+    def of_word(self, w: str) -> tuple:
+        """Numbers of the vocabulary's terms in the word."""
+        k = len(w)
+        terms = (w, w[:4] + "*", w[:5] + "*" if k > 4 else "", w[:6] + "*" if k > 5 else "") if k > 3 else (w,)
+        if len(self.seen) >= WORDS:
+            self.seen.clear()
+        out = self.seen[w] = tuple(self.at[x] for x in terms if x in self.at)
+        return out
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the vocabulary's terms in the text, ascending, and how often they occur."""
-        at, out = self.at, {}
+        seen, out = self.seen, {}
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for x in (w, w[:4] + "*", w[:5] + "*" if len(w) > 4 else "", w[:6] + "*" if len(w) > 5 else "") if len(w) > 3 else (w,):
-                i = at.get(x)
-                if i is not None:
-                    out[i] = out.get(i, 0) + n
-        terms = np.array(sorted(out), np.int32)
-        return terms, np.array([out[i] for i in terms.tolist()], np.int32)
+            found = seen.get(w)
+            for i in self.of_word(w) if found is None else found:
+                out[i] = out.get(i, 0) + n
+        terms, counts = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+        order = np.argsort(terms)
+        return terms[order], counts[order]
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
@@ -88,8 +111,8 @@ def without_copies(examples: DataFrame) -> DataFrame:
     return examples.join(F.broadcast(keys.distinct()), F.col("key") == F.col("_kept"), "left_semi")
 
 
-def marking_terms(examples: DataFrame) -> list[str]:
-    """The vocabulary of examples (text, label): see the module's text."""
+def example_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All terms of examples (text, label); rows of label 0 and 1 that have each (2 x terms); rows of label 0 and 1."""
 
     def run(batches):
         with_term, rows = (Counter(), Counter()), [0, 0]
@@ -103,29 +126,31 @@ def marking_terms(examples: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(terms), *columns], ["term", "n0", "n1"])
 
     counted = examples.select("text", "label").mapInArrow(run, "term string, n0 long, n1 long")
-    found = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter((F.col("n1") >= LEAST_ROWS) | (F.col("term") == "")).toPandas()
-    if found.empty or not (total := found[found["term"] == ""].iloc[0])["n0"] * total["n1"]:
-        return []
-    total_0, total_1 = float(total["n0"]), float(total["n1"])
-    found = found[found["term"] != ""]
-    a, b = found["n1"].to_numpy(float), found["n0"].to_numpy(float)
-    p, q, both = a / total_1, b / total_0, (a + b) / (total_0 + total_1)
-    z = (p - q) / np.sqrt(both * (1 - both) * (1 / total_0 + 1 / total_1) + 1e-12)
-
-    def h(x):
-        x = np.clip(x, 1e-12, 1 - 1e-12)
-        return -(x * np.log2(x) + (1 - x) * np.log2(1 - x))
-
-    share = total_1 / (total_0 + total_1)
-    gain = h(share) - both * h(a / np.maximum(a + b, 1)) - (1 - both) * h((total_1 - a) / np.maximum(total_0 + total_1 - a - b, 1))
-    good = (z >= LEAST_Z) & (p >= 4 * q)
-    order = sorted(zip(-gain[good], found["term"][good], strict=True))
-    return [x for _, x in order[:TERMS]]
+    found = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("term")
+    terms, with_term = found["term"].to_pylist(), np.array([found["n0"].to_numpy(), found["n1"].to_numpy()], np.int64)
+    if not terms:
+        return [], with_term, np.zeros(2, np.int64)
+    return terms[1:], with_term[:, 1:], with_term[:, 0]  # the empty term comes first
+
+
+def marking(with_term: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether each term marks label 1: in LEAST_ROWS rows of it at least, and significantly more frequent there."""
+    if not rows.min():
+        return np.zeros(with_term.shape[1], bool)
+    b, a = with_term.astype(float)
+    p, q, both = a / rows[1], b / rows[0], (a + b) / rows.sum()
+    z = (p - q) / np.sqrt(both * (1 - both) * (1 / rows[0] + 1 / rows[1]) + 1e-12)
+    return (a >= LEAST_ROWS) & (z >= LEAST_Z) & (p >= 4 * q)
+
+
+def relevance(with_term: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Relevance frequency of each term: see the module's text."""
+    return np.log2(2 + with_term[1] / np.maximum(with_term[0] * (rows[1] / max(rows[0], 1)), 1))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> tuple[np.ndarray, int]:
     """Documents that have each term, of all documents; and their number."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of SAMPLE texts at most
 
     def run(batches):
         v = shared.value
@@ -139,127 +164,194 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(len(vocabulary.terms) + 1, np.int64)
-    for i, n in docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[i] = n
+    found = docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples as postings by term and block, with block maxima."""
+    """Unit vectors of examples as a matrix of the most frequent terms with block maxima, and postings of the others."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # examples with the same leading term lie together, so that a block's maxima are tight
-        self.order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()] if len(vectors[i][0]) else -1, i))
-        blocks = -(-len(vectors) // BLOCK)
-        self.maxima = np.zeros((terms, max(blocks, 1)), np.float32)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(blocks)]
-        for b in range(blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for slot, i in enumerate(self.order[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(*[x.tolist() for x in vectors[i]], strict=True):
-                    slots, weights = lists.setdefault(t, ([], []))
-                    slots.append(slot)
-                    weights.append(w)
-            for t, (slots, weights) in lists.items():
-                self.postings[b][t] = (np.array(slots), np.array(weights))
-                self.maxima[t, b] = np.nextafter(np.float32(max(weights)), np.float32(2))
-        self.order = np.array(self.order, np.int64)
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()] if len(vectors[i][0]) else -1, i))
+        self.order, self.n_terms = np.array(order, np.int64), terms
+        self.starts = np.cumsum([0, *[len(vectors[i][0]) for i in order]])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *[vectors[i][0] for i in order]]).astype(np.int32)
+        self.weights = np.concatenate([np.zeros(0, np.float32), *[vectors[i][1] for i in order]]).astype(np.float32)
+        self._arrange()
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("order", "n_terms", "starts", "terms", "weights")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._arrange()
+
+    def _arrange(self) -> None:
+        n = len(self.order)
+        self.blocks = -(-n // BLOCK)
+        slots = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        often = np.bincount(self.terms, minlength=self.n_terms)
+        dense = np.argsort(-often, kind="stable")[:DENSE]
+        self.row = np.full(self.n_terms, -1, np.int32)  # of each term in the matrix
+        self.row[dense] = np.arange(len(dense))
+        rows = self.row[self.terms]
+        inside = rows >= 0
+        self.matrix = np.zeros((len(dense), self.blocks * BLOCK), np.float32)
+        self.matrix[rows[inside], slots[inside]] = self.weights[inside]
+        self.maxima = self.matrix.reshape(len(dense), self.blocks, BLOCK).max(axis=2, initial=0)
+        outside = np.flatnonzero(~inside)
+        outside = outside[np.argsort(self.terms[outside], kind="stable")]
+        self.slots, self.values = slots[outside], self.weights[outside]
+        self.first = np.cumsum(np.concatenate([[0], np.bincount(self.terms[outside], minlength=self.n_terms)]))
+
+    def _from_postings(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The part of every example's cosine that these terms' postings give."""
+        sizes = self.first[terms + 1] - self.first[terms]
+        at = np.arange(sizes.sum()) + np.repeat(self.first[terms] - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.slots[at], self.values[at] * np.repeat(weights, sizes), self.blocks * BLOCK)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of the greatest positive cosine (but for its `without`), and these cosines, greatest first."""
+        if not self.blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
+        cosines = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            rows = self.row[terms]
+            dense[i, rows[rows >= 0]] = weights[rows >= 0]
+            cosines[i] = self._from_postings(terms[rows < 0], weights[rows < 0])
+        barred = np.full(len(queries), -1)
+        if without is not None:
+            place = np.argsort(self.order)
+            barred = np.array([place[x] if x >= 0 else -1 for x in without])
+        hidden = np.flatnonzero(barred >= 0)
+        cosines[hidden, barred[hidden]] = -2
+        bounds = dense @ self.maxima + cosines.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + MARGIN
+        order = np.argsort(-bounds.sum(axis=0), kind="stable")
+        early = max(-(-self.blocks // 4), min(self.blocks, -(-2 * k // BLOCK)))
+        least = np.zeros(len(queries))
+        for turn, b in enumerate(order.tolist()):
+            part = slice(b * BLOCK, (b + 1) * BLOCK)
+            if turn == early:
+                found = (order[:early, None] * BLOCK + np.arange(BLOCK)).ravel()
+                if len(found) > k:
+                    least = np.maximum(np.partition(cosines[:, found], -k, axis=1)[:, -k] - MARGIN, 0)
+            open_ = np.flatnonzero(bounds[:, b] > least)
+            if len(open_) == len(queries):
+                cosines[:, part] += dense @ self.matrix[:, part]
+            elif len(open_):
+                cosines[open_, part] += dense[open_] @ self.matrix[:, part]
+            if len(open_) < len(queries):
+                cosines[np.flatnonzero(bounds[:, b] <= least), part] = 0
+        return [self._exact(q, row, k) for q, row in zip(queries, cosines, strict=True)]
+
+    def _exact(self, query: tuple[np.ndarray, np.ndarray], near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples whose cosines in single precision are near."""
+        least = np.partition(near, -k)[-k] - MARGIN if len(near) > k else 0.0
+        found = np.flatnonzero((near > 0) & (near >= least))
+        whole = np.zeros(self.n_terms)
+        whole[query[0]] = query[1]
+        cosines = np.array([np.dot(whole[self.terms[a:b]], self.weights[a:b]) for a, b in zip(self.starts[found].tolist(), self.starts[found + 1].tolist(), strict=True)])
+        best = np.lexsort((found, -cosines))[:k] if len(found) else found
+        return self.order[found[best]], np.minimum(cosines[best], 1.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the greatest positive cosine (but for `without`), and these cosines, greatest first."""
-        bounds = weights @ self.maxima[terms]
-        best, found = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] <= best[-1]:
-                break
-            cosines = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in self.postings[b]:
-                    slots, values = self.postings[b][t]
-                    cosines[slots] += w * values
-            slots = np.flatnonzero(cosines > 0)
-            ids = self.order[b * BLOCK + slots]
-            slots, ids = slots[ids != without], ids[ids != without]
-            best, found = np.concatenate([best, cosines[slots]]), np.concatenate([found, ids])
-            top = np.argsort(-best, kind="stable")[:k]
-            best, found = best[top], found[top]
-        return found, np.minimum(best, 1.0)
+        return self.nearest_of([(terms, weights)], k, [without])[0]
 
 
 class Model:
-    """Everything that scoring needs; its size is bounded by SAMPLE and TERMS."""
+    """Everything that scoring needs; its size is bounded by the texts of SAMPLE rows."""
 
-    def __init__(self, vocabulary, idf, index, labels, keys, weight, rest, a=1.0, b=0.0):
-        self.vocabulary, self.idf, self.index = vocabulary, idf, index
+    def __init__(self, vocabulary, idf, marks, index, labels, keys, weight, rest, a=1.0, b=0.0):
+        self.vocabulary, self.idf, self.marks, self.index = vocabulary, idf, marks, index
         self.labels, self.keys, self.weight, self.rest, self.a, self.b = labels, keys, weight, rest, a, b
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt(np.dot(w, w)) if len(w) else w
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log odds of the neighbours' votes, the neighbours and their cosines."""
-        found, cosines = self.index.nearest(terms, weights, K, without)
-        votes = self.weight[self.labels[found]] / (SOFT + 1 - cosines)
-        toxic = float(votes[self.labels[found] == 1].sum())
-        return float(np.log((toxic + 0.05) / (float(votes.sum()) - toxic + 0.05))), found, cosines
-
-    def score(self, text: str | None) -> tuple[float, list, list, list]:
-        """Score; keys and cosines of the neighbours, and the vocabulary's terms in the text: the evidence."""
-        terms, counts = self.vocabulary.counts(text)
-        if not len(terms) or self.index is None:
-            return self.rest, [], [], []
-        vote, found, cosines = self.vote(*self.vector(terms, counts))
-        p = 1 / (1 + np.exp(-np.clip(self.a * vote + self.b, -35, 35)))
-        return float(p), [self.keys[i] for i in found.tolist()], cosines.tolist(), [self.vocabulary.terms[i] for i in terms.tolist()]
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each vector the log odds of the neighbours' votes, the neighbours and their cosines."""
+        out = []
+        for at in range(0, len(vectors), QUERIES):
+            for found, cosines in self.index.nearest_of(vectors[at : at + QUERIES], K, without and without[at : at + QUERIES]):
+                votes = self.weight[self.labels[found]] / (SOFT + 1 - cosines)
+                toxic = float(votes[self.labels[found] == 1].sum())
+                out.append((float(np.log((toxic + 0.05) / (float(votes.sum()) - toxic + 0.05))), found, cosines))
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple]:
+        """Of each text the score, and the evidence: keys and cosines of the neighbours of label 1, the terms that mark
+        label 1, keys and cosines of the neighbours of label 0."""
+        out: list[tuple] = [(self.rest, [], [], [], [], [])] * len(texts)
+        if self.index is None:
+            return out
+        made = [self.vector(*self.vocabulary.counts(x)) for x in texts]
+        own = [i for i, x in enumerate(made) if len(x[0])]
+        for i, (vote, found, cosines) in zip(own, self.votes([made[i] for i in own]), strict=True):
+            p = 1 / (1 + np.exp(-np.clip(self.a * vote + self.b, -35, 35)))
+            toxic = self.labels[found] == 1
+            sides = [([self.keys[j] for j in found[x].tolist()], cosines[x].tolist()) for x in (toxic, ~toxic)]
+            terms = made[i][0]
+            out[i] = (float(p), *sides[0], [self.vocabulary.terms[j] for j in terms[self.marks[terms]].tolist()], *sides[1])
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     examples, rows = quality.sampled(docs, labels, label, sample, key, text)
     examples = common.written(examples, "toxicity-examples")
     examples = common.written(without_copies(examples), "toxicity-distinct")
-    vocabulary = Vocabulary(marking_terms(examples))
+    terms, by_label, drawn = example_terms(examples)
+    vocabulary = Vocabulary(terms)
     with_term, n_docs = document_frequencies(docs, vocabulary, text)
-    idf = np.log((1 + n_docs) / (1 + with_term)) + 1
+    idf = (np.log((1 + n_docs) / (1 + with_term)) + 1) * relevance(by_label, drawn)
+    marks = marking(by_label, drawn)
+    if not drawn.min():
+        return Model(vocabulary, idf, marks, None, np.zeros(0, np.int64), [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [vocabulary.counts(x) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([x[k].tolist() for x in made], pa.list_(pa.int32())) for k in (0, 1)]], ["key", "label", "terms", "counts"])
+        made = [shared.value.counts(x) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([x[k].astype("<i4").tobytes() for x in made], pa.binary()) for k in (0, 1)]], ["key", "label", "terms", "counts"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = common.mapped(examples, f"key {kind}, label int, terms array<int>, counts array<int>", vectors).collect()
-    got.sort(key=lambda x: (x["label"], x["key"], x["terms"], x["counts"]))
-    classes = np.array([x["label"] for x in got], np.int64)
-    drawn = np.bincount(classes, minlength=2)[:2]
-    if not drawn.min():
-        return Model(vocabulary, idf, None, classes, [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0))
+    # read back a partition at a time: the driver holds the vectors once, not the JVM's copy of all of them too
+    found = common.written(common.mapped(examples, f"key {kind}, label int, terms binary, counts binary", vectors), "toxicity-vectors")
+    got = [(y, k, bytes(t), bytes(c)) for k, y, t, c in found.toLocalIterator()]
+    got.sort()
+    classes = np.array([x[0] for x in got], np.int64)
     weight = rows / rows.sum() / (drawn / drawn.sum())
-    model = Model(vocabulary, idf, None, classes, [x["key"] for x in got], weight, 0.0)
-    made = [model.vector(np.array(x["terms"], np.int32), np.array(x["counts"], np.int32)) for x in got]
+    model = Model(vocabulary, idf, marks, None, classes, [x[1] for x in got], weight, 0.0)
+    made = [model.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for _, _, t, c in got]
     model.index = BlockMaxIndex(made, len(vocabulary.terms))
     bare = np.array([not len(x[0]) for x in made])
     mass = [float(weight[y] * (bare & (classes == y)).sum()) for y in (0, 1)]
     model.rest = min((mass[1] + 0.05) / (mass[0] + mass[1] + 1), 0.49)
     own = np.flatnonzero(~bare)
     if len(own):
-        votes = np.array([model.vote(*made[i], without=i)[0] for i in own.tolist()])
+        votes = np.array([x[0] for x in model.votes([made[i] for i in own.tolist()], own.tolist())])
         model.a, model.b = quality.logistic(votes, classes[own], weight[classes[own]])
     return model
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, `score`, `predicted`, and the evidence: `neighbours`, their `cosines`, and the `terms` found."""
+    """key, `score`, `predicted`, and the evidence: `neighbours` of label 1 and their `cosines`, the marking `terms`
+    found, and `clean_neighbours` of label 0 with `clean_cosines`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shared.value.score(x) for x in batch.column(1).to_pylist()]
+        made = shared.value.scores(batch.column(1).to_pylist())
         score = pa.array([x[0] for x in made], pa.float64())
         predicted = pa.array([int(x[0] >= 0.5) for x in made], pa.int32())
-        evidence = [pa.array([x[k] for x in made], pa.list_(t)) for k, t in ((1, batch.column(0).type), (2, pa.float64()), (3, pa.string()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), score, predicted, *evidence], [key, "score", "predicted", "neighbours", "cosines", "terms"])
+        kinds = (batch.column(0).type, pa.float64(), pa.string(), batch.column(0).type, pa.float64())
+        evidence = [pa.array([x[k] for x in made], pa.list_(t)) for k, t in enumerate(kinds, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), score, predicted, *evidence], [key, "score", "predicted", "neighbours", "cosines", "terms", "clean_neighbours", "clean_cosines"])
 
-    return common.mapped(docs.select(key, text), f"`{key}` {kind}, score double, predicted int, neighbours array<{kind}>, cosines array<double>, terms array<string>", each)
+    evidence = f"neighbours array<{kind}>, cosines array<double>, terms array<string>, clean_neighbours array<{kind}>, clean_cosines array<double>"
+    return common.mapped(docs.select(key, text), f"`{key}` {kind}, score double, predicted int, {evidence}", each)
 
 
 def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,4 +360,4 @@ def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, quality.not_held_out(labels, 5, 0), "toxic")
     held = F.coalesce(common.crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "terms")
+    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "terms", "clean_neighbours")

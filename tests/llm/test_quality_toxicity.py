@@ -104,3 +104,18 @@ def test_toxic_words_and_evidence(spark):
     got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(docs, labels, "toxic")).collect()}
     assert got[500].predicted == 1 and "gribble" in got[500].terms and min(got[500].neighbours) >= 100
     assert got[501].predicted == 0 and got[501].neighbours == []
+
+
+def test_texts_without_a_marking_term_have_neighbours(spark):
+    rng = np.random.default_rng(9)
+    filler = lambda: " ".join(f"{a}{b}" for a, b in rng.choice(list("bdfglmnprst"), (14, 2)))
+    clean = [(i, f"{filler()} barley {filler()}") for i in range(60)]
+    toxic = [(100 + i, f"{filler()} gribble {filler()}") for i in range(60)]
+    docs = spark.createDataFrame(clean + toxic + [(500, "barley fields"), (501, filler()), (502, "zq")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "toxic")
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    assert "barley" in model.vocabulary.terms and len(got[500].clean_neighbours) == toxicity.K and got[500].neighbours == []
+    # no term of this text marks a label, but its nearest examples are known
+    assert got[501].terms == [] and len(got[501].neighbours) + len(got[501].clean_neighbours) == toxicity.K
+    assert got[502].neighbours == got[502].clean_neighbours == [] and got[502].score == model.rest
