@@ -2,7 +2,7 @@
 
 Terms are lower-case words and their first 4, 5 and 6 characters.  Examples are a documented, bounded sample of
 labelled rows (at most SAMPLE, half of each class, first in a seeded hash order of their keys, near copies of an
-earlier one left out).  The vocabulary holds all terms of the examples.  A term's weight in a text is
+earlier one, similar to it by COPY or more on the full sets of word pairs, left out).  The vocabulary holds all terms of the examples.  A term's weight in a text is
 (1 + log count) * idf * rf: the inverse document frequency comes from all documents, the relevance frequency
 rf = log2(2 + rows of label 1 with it / max(1, rows of label 0 with it, at equal class sizes)) lets terms that mark
 label 1 count more; no term counts nothing.  Texts are compared by the cosine of these vectors, a text's own
@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 from . import common, quality
 
 SAMPLE, LEAST_ROWS, LEAST_Z = 6_000, 5, 5.0
+COPY, BAND_ROWS = 0.75, 4
 K, BLOCK, SOFT = 24, 64, 0.05
 #: Terms of the index that are kept as a matrix; queries answered at once; words whose terms a task remembers; error of single-precision cosines.
 DENSE, QUERIES, WORDS, MARGIN = 2_048, 128, 100_000, 1e-4
 _LOW = np.uint64(0xFFFFFFFF)
-_MIX = [(np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(5).integers(1 << 20, 1 << 30, (4, 2))]
+_MIX = [(np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(5).integers(1 << 20, 1 << 30, (160, 2))]
 _WORD = re.compile(r"\w+")
 
 
@@ -89,28 +90,44 @@ class Vocabulary:
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
-    """examples (key, text, label) without near copies: those that share one of four minima over hashed word pairs with an earlier row."""
+    """examples (key, text, label) without near copies: those whose set of hashed word pairs has a Jaccard similarity of
+    COPY or more to that of an earlier row kept of the same label.  Candidates share a band of BAND_ROWS minima; a pair at
+    0.75 shares none of the bands with probability 3e-7."""
 
-    def minima(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, bands = [], []
         for text in batch.column(1).to_pylist():
             words = (text or "").lower().split()
-            pairs = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, [*words[1:], ""], strict=True)] or [0], np.uint64)
-            out.append([int((pairs * m + (pairs >> np.uint64(7)) * m2 & _LOW).min()) for m, m2 in _MIX])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["key", "label", "minima"])
+            pairs = np.unique(np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, [*words[1:], ""], strict=True)] or [0], np.uint64))
+            minima = np.array([(pairs * m + (pairs >> np.uint64(7)) * m2 & _LOW).min() for m, m2 in _MIX], "<u4").reshape(-1, BAND_ROWS)
+            found.append(pairs.astype("<u4").tobytes())
+            bands.append([zlib.crc32(x.tobytes()) for x in minima])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "label", "pairs", "bands"])
 
     kind = examples.schema["key"].dataType.simpleString()
-    seen: set = set()
-    kept = []
-    for key, label, found in sorted(common.mapped(examples, f"key {kind}, label int, minima array<long>", minima).collect()):
-        marks = {(label, i, x) for i, x in enumerate(found)}
-        if not marks & seen:
-            kept.append((key,))
-        seen |= marks
+    made = common.written(common.mapped(examples, f"key {kind}, label int, pairs binary, bands array<long>", sets), "toxicity-pairs")
+    rows = sorted((key, label, bytes(pairs), list(bands)) for key, label, pairs, bands in made.toLocalIterator())
+    with_band: dict = {}
+    kept, known = [], []
+    for key, label, raw, bands in rows:
+        pairs = np.frombuffer(raw, "<u4")
+        marks = [(label, i, x) for i, x in enumerate(bands)]
+        near = {j for m in marks for j in with_band.get(m, ())}
+        if any(_jaccard(pairs, known[j]) >= COPY for j in near):
+            continue
+        for m in marks:
+            with_band.setdefault(m, []).append(len(known))
+        known.append(pairs)
+        kept.append((key,))
     keys = examples.sparkSession.createDataFrame(kept, f"_kept {kind}")  # SAMPLE rows at most
     return examples.join(F.broadcast(keys.distinct()), F.col("key") == F.col("_kept"), "left_semi")
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def example_terms(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All terms of examples (text, label); rows of label 0 and 1 that have each (2 x terms); rows of label 0 and 1."""
 

@@ -119,3 +119,17 @@ def test_texts_without_a_marking_term_have_neighbours(spark):
     # no term of this text marks a label, but its nearest examples are known
     assert got[501].terms == [] and len(got[501].neighbours) + len(got[501].clean_neighbours) == toxicity.K
     assert got[502].neighbours == got[502].clean_neighbours == [] and got[502].score == model.rest
+
+
+def test_only_confirmed_copies_are_left_out(spark):
+    rng = np.random.default_rng(12)
+    long = [" ".join(f"w{n}" for n in rng.integers(0, 100_000, 200)) for _ in range(60)]
+    rows = [(i, f"{t} all rights reserved", 1) for i, t in enumerate(long)]
+    rows += [(100, long[0] + " all rights reserved anyway", 1), (101, long[0] + " all rights reserved", 0), (102, "all rights reserved", 1)]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "key long, text string, label int"))
+    assert {r.key for r in kept.collect()} == {*range(60), 101, 102}
+
+
+def test_texts_with_a_common_pair_stay(spark):
+    rows = [(i, f"of the w{i} x{i} y{i}", 1) for i in range(200)]
+    assert toxicity.without_copies(spark.createDataFrame(rows, "key long, text string, label int")).count() == 200
