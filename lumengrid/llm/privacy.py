@@ -5,7 +5,8 @@ without nested repetition (each scans a text once, whatever its length).  Every
 entity e.  The words (letters only, three at least) among the WORDS before and the WORDS after an occurrence
 form its window; equal windows of an entity count once, so copies of a passage are one piece of evidence.
 Over the whole corpus, with c(t) occurrences of term t among M words,
-    p(t | e) = windows of e with t / windows of e,  p(t) = min(1, c(t) * 2 * WORDS / M),
+    p(t | e) = the lower confidence bound (Wilson, CONFIDENCE standard errors) of windows of e with t / windows of e,
+    p(t) = min(1, c(t) * 2 * WORDS / M),
     PMI(t; e) = log2(p(t | e) / p(t)),  IC(e) = -log2(min(1, windows of e * 2 * WORDS / M)).
 A term that stands in LEAST_WINDOWS different windows of e at least and gives away the share DISCLOSURE of
 e's information or more, PMI >= DISCLOSURE * IC, is sanitised wherever it stands in a document with e.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, LEAST_WINDOWS, DISCLOSURE = 10, 4, 0.5
+WORDS, LEAST_WINDOWS, CONFIDENCE, DISCLOSURE = 10, 2, 1.645, 0.5
 KINDS = ("email", "ip", "card", "phone", "term")
 _EDGE, _STOP = "\ue000", "\ue001"  # these two characters of a text become "?" first: no pattern has either
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -79,6 +80,12 @@ def with_base_spans(docs: DataFrame, text: str, all_texts: bool) -> DataFrame:
     return common.written(found, "base-spans")
 
 
+def lower_bound(both: Column, windows: Column) -> Column:
+    """Of the share both / windows: few windows prove little."""
+    p, z = both / windows, CONFIDENCE
+    return (p + z * z / (windows * 2) - z * F.sqrt(p * (1 - p) / windows + z * z / (windows * windows * 4))) / (1 + z * z / windows)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """`_row` and `_terms`: the terms to sanitise in each row that has any."""
     span = F.col("s")
@@ -98,7 +105,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     terms = common.written(tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
     corpus = max(1, int(terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     share = lambda n: F.least(F.lit(1.0), n * 2.0 * WORDS / corpus)
-    scored = pairs.join(entities, "entity").join(terms, "term").withColumn("pmi", F.log2(F.col("both") / F.col("windows") / share(F.col("n"))))
+    scored = pairs.join(entities, "entity").join(terms, "term").withColumn("pmi", F.log2(lower_bound(F.col("both"), F.col("windows")) / share(F.col("n"))))
     revealing = scored.filter((F.col("pmi") > 0) & (F.col("pmi") >= DISCLOSURE * -F.log2(share(F.col("windows")))))
     revealing = common.written(revealing.groupBy("entity").agg(F.collect_set("term").alias("terms")), "disclosing")
     return seen.join(revealing, "entity").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("_terms"))

@@ -90,6 +90,18 @@ def test_disclosing_terms(spark):
     assert all(got[i] == rows[i] for i in range(8, len(rows)))
 
 
+def test_two_windows_disclose_a_rare_name(spark):
+    names = ["alpha", "bravo"]
+    rows = [f"please contact Zorblatt at zb@corp.example.com about item {n} and order {n}{n} today" for n in names]
+    rows += [f"please contact Quimby at {n}@corp.example.com about item and order today" for n in names[:1] * 2]  # one window, copied
+    rows += ["the quick and order today about contact someone please at brown item fox " * 20 for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert all(got[i] == rows[i].replace("Zorblatt", "[TERM]").replace("zb@corp.example.com", "[EMAIL]") for i in (0, 1))
+    assert all(got[i] == rows[i].replace("alpha@corp.example.com", "[EMAIL]") for i in (2, 3))
+    assert all(got[i] == rows[i] for i in range(4, len(rows)))
+
+
 def test_privacy_of_edge_rows(edges, empty):
     out = privacy.sanitised(edges)
     assert out.columns == edges.columns
