@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
+#: Bytes of an Arrow batch, of the texts that Python works on at once, and of the texts of a shuffle partition.
+BATCH_BYTES, SLICE_BYTES, PART_BYTES = 2 << 20, 1 << 20, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,16 +36,48 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/lumengrid/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; an open `scratch` deletes it at its end."""
+    path = f"{shared_folder(spark).rstrip('/')}/lumengrid/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, reread: cuts the lineage and survives lost executors."""
     path = table_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The tables that each open scratch has to delete, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within, intermediate tables are written; at the end they are deleted.  What is given to the function that this
+    yields is written as a table that stays (until the end of the scratch around this one, where there is one)."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        path = own.pop()
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(path)
+        return out
+
+    try:
+        yield kept
+    finally:
+        _SCRATCH.pop()
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -81,21 +115,24 @@ def mapped(df: DataFrame, schema, each: Callable[[pa.RecordBatch], pa.RecordBatc
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Within: Arrow batches of at most `rows` rows, so that rows with long texts take less memory beside the heap.
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Within: Arrow batches of about `size` bytes at most (one row at least), however long the rows' texts are.
 
     It holds for what runs within, not for what is only planned there.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about most_bytes of the column each, one row at least, in order."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
@@ -117,8 +154,9 @@ def crc_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def partitions_for(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for `size` bytes: of about PART_BYTES each, and as many as the session asks for at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
 
 
 def in_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -7,7 +7,8 @@ the bit offset of every 256th id.  Each of these blocks can be decoded alone; a
 of a segment side by side, an id of each at a time, from one table of 2^16 entries.
 
 Defined results: a null text is an empty document (the end id alone); null keys come first; rows with the
-same key lie in order of their ids; an empty table gives no segments; other columns are ignored.
+same key lie in order of a hash of their ids, however many they are (their range is cut there, and among equal rows
+by row number, so no key has to fit in a task); an empty table gives no segments; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from . import common, tokens
 
 MOST_BITS = 16
 BLOCK = 256
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 18
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -132,7 +133,8 @@ def from_bits(stream: bytes, offsets: np.ndarray, n: int, table: np.ndarray) ->
 def write_ids(ids: DataFrame, path: str, key: str = "doc_id") -> None:
     """Write ids (key, `ids`) in ascending order of key: path/code holds the code lengths, path/segments the segments."""
     spark = ids.sparkSession
-    lengths = code_lengths(id_counts(ids))
+    counts = id_counts(ids)
+    lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytes(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     names = ["part", "seq", "first", "n_ids", "keys", "counts", "offsets", "stream"]
@@ -162,8 +164,12 @@ def write_ids(ids: DataFrame, path: str, key: str = "doc_id") -> None:
             yield segment()
 
     simple = ids.schema[key].dataType.simpleString()
-    ordered = ids.select(key, "ids").repartitionByRange(common.partitions_for(spark), key).sortWithinPartitions(key, "ids")
-    ordered.mapInArrow(run, f"part int, seq int, first long, n_ids long, keys array<{simple}>, counts array<long>, offsets binary, stream binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    by = ["key", "_hash", "_row"]
+    rows = ids.select(F.col(key).alias("key"), "ids", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(common.partitions_for(spark, 2 * int(counts.sum())), *by).sortWithinPartitions(*by).select("key", "ids")
+    made = ordered.mapInArrow(run, f"part int, seq int, first long, n_ids long, keys array<{simple}>, counts array<long>, offsets binary, stream binary")
+    with common.small_batches(spark):
+        made.write.option("compression", "uncompressed").parquet(f"{path}/segments")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -196,6 +202,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids through the file format and back."""
-    path = common.table_path(spark, "ids")
-    write_ids(common.written(tokenised(common.documents(spark, sf_dir)), "tokenised"), path)
-    return read_ids(spark, path, digest=True).withColumnRenamed("key", "doc_id")
+    with common.scratch(spark) as kept:
+        path = common.table_path(spark, "ids")
+        write_ids(common.written(tokenised(common.documents(spark, sf_dir)), "tokenised"), path)
+        return kept(read_ids(spark, path, digest=True).withColumnRenamed("key", "doc_id"), "id-digests")

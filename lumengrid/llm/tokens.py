@@ -2,9 +2,9 @@
 
 The tokenizers library spends most of its time on words that it has met before.  A byte-level BPE
 encodes each pre-token on its own, so a text's ids are the ids of its pre-tokens put together; each
-worker therefore keeps the ids of every space-led chunk in a sorted table (by a 64-bit hash, confirmed by
-a 32-bit one) and of every word in a dictionary, both of bounded size, and the library's model sees a word
-only when it is new there.  All chunks of a batch are hashed, looked up and put together as arrays.  The
+worker therefore keeps the ids of space-led chunks in a sorted table (by a 64-bit hash, confirmed by
+a 32-bit one) and of words in a dictionary, both of bounded size, and the library's model sees a word
+only when it is new there.  Chunks are hashed, looked up and put together as arrays, PART bytes at a time.  The
 split into words is done here only for texts whose characters all lie in a plain set (ASCII, Latin
 letters, some quotes) and that hold no two white-space characters in a row; every other text, and each
 text that could hold a special token's string, goes to the library whole.  Both ways give the same ids.
@@ -18,8 +18,11 @@ import re
 import numpy as np
 
 END_ID = 0
-#: Chunks and words whose ids a worker keeps; past that they start anew (memory stays bounded).
-CACHE_CHUNKS, CACHE_WORDS = 4_000_000, 600_000
+#: What a worker keeps: chunks (about 40 bytes each with their ids), words (about 200), and the longest of either in
+#: bytes.  Past that number they start anew, so the tables take some 60 MB at most.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_BYTES = 800_000, 150_000, 64
+#: Bytes that are hashed and put together at once; each takes about 40 bytes of arrays for that time.
+PART = 1 << 18
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = "!-/:-@\\[-`{-~¡¿«»–—‘’“”…€"
@@ -94,7 +97,10 @@ class Encoder:
         if found is None:
             mapped = word if word.isascii() else word.encode().decode("latin-1")
             found = np.array([x.id for x in self.library.model.tokenize(mapped.translate(_ALPHABET))], dtype="<u2").tobytes()
-            self.words[word] = found
+            if len(word) <= CACHE_BYTES:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def _words(self, text: str) -> bytes:
@@ -108,19 +114,48 @@ class Encoder:
         value = raw.astype(np.uint64) + np.uint64(1)
         return [np.add.reduceat(value * p[offset], starts) for p in self.powers]
 
-    def _plain(self, rests: list[str]) -> list[np.ndarray]:
-        """Ids of texts that each begin with a space."""
-        data = "".join(rests).encode()
+    def _plain(self, rests: list[str]) -> list[bytes]:
+        """Ids of texts that each begin with a space: cut at spaces into parts of about PART bytes, and longer chunks by themselves."""
+        out: list[list[bytes]] = [[] for _ in rests]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, rest in enumerate(rests):
+            data = rest.encode()
+            at = 0
+            while at < len(data):
+                stop = len(data)
+                if stop - at > PART:
+                    stop = data.rfind(b" ", at + 1, at + PART)
+                    if stop < 0:
+                        stop = data.find(b" ", at + PART)
+                        stop = len(data) if stop < 0 else stop
+                if stop - at > PART:  # one chunk: not worth keeping
+                    self._put(held, out)
+                    held, size = [], 0
+                    out[i].append(self._words(data[at:stop].decode()))
+                else:
+                    held.append((i, data[at:stop]))
+                    size += stop - at
+                    if size >= PART:
+                        self._put(held, out)
+                        held, size = [], 0
+                at = stop
+        self._put(held, out)
+        return [b"".join(x) for x in out]
+
+    def _put(self, parts: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Adds the ids of each part (text's number, bytes that begin with a space) to its text's."""
+        if not parts:
+            return
+        data = b"".join(x for _, x in parts)
         raw = np.frombuffer(data, np.uint8)
         starts = np.flatnonzero(raw == 32)
         sizes = np.diff(np.append(starts, len(raw)))
         keys, checks = self._hashes(raw, starts, sizes)
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         checks = (checks[first] >> np.uint64(32)).astype(np.uint32)
-        if len(self.chunks.keys) > CACHE_CHUNKS:
+        if len(self.chunks.keys) > CACHE_CHUNKS or self.chunks.used > 4 * CACHE_CHUNKS:
             self.chunks = _Chunks()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         at, known = self.chunks.find(keys, checks)
         new = np.flatnonzero(~known)
         if len(new):
@@ -130,8 +165,11 @@ class Encoder:
         n = self.chunks.sizes[at][inverse]
         end = np.cumsum(n)
         ids = self.chunks.pool[np.repeat(self.chunks.starts[at][inverse] - end + n, n) + np.arange(end[-1])]
-        stops = end[np.cumsum([x.count(" ") for x in rests]) - 1]
-        return np.split(ids, stops[:-1])
+        stops = end[np.cumsum([x.count(b" ") for _, x in parts]) - 1].tolist()
+        start = 0
+        for (i, _), stop in zip(parts, stops, strict=True):
+            out[i].append(ids[start:stop].tobytes())
+            start = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text (null: none), without an end id."""
@@ -150,7 +188,7 @@ class Encoder:
                 rests.append(" " + rest)
         if plain:
             for i, ids in zip(plain, self._plain(rests), strict=True):
-                out[i] += ids.tobytes()
+                out[i] += ids
         for i, ids in zip(others, self.whole([texts[i] for i in others]), strict=True):
             out[i] = ids
         return out
