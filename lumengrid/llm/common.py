@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 #: Bytes of an Arrow batch, of the texts that Python works on at once, and of the texts of a shuffle partition.
-BATCH_BYTES, SLICE_BYTES, PART_BYTES = 2 << 20, 1 << 20, 16 << 20
+BATCH_BYTES, SLICE_BYTES, PART_BYTES = 2 << 20, 1 << 20, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

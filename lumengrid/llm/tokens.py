@@ -3,7 +3,7 @@
 The tokenizers library spends most of its time on words that it has met before.  A byte-level BPE
 encodes each pre-token on its own, so a text's ids are the ids of its pre-tokens put together; each
 worker therefore keeps the ids of space-led chunks in a sorted table (by a 64-bit hash, confirmed by
-a 32-bit one) and of words in a dictionary, both of bounded size, and the library's model sees a word
+a 32-bit one) and of words in dictionaries, all of bounded size, and the library's model sees a word
 only when it is new there.  Chunks are hashed, looked up and put together as arrays, PART bytes at a time.  The
 split into words is done here only for texts whose characters all lie in a plain set (ASCII, Latin
 letters, some quotes) and that hold no two white-space characters in a row; every other text, and each
@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 END_ID = 0
-#: What a worker keeps: chunks (about 40 bytes each with their ids), words (about 200), and the longest of either in
-#: bytes.  Past that number they start anew, so the tables take some 60 MB at most.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_BYTES = 800_000, 150_000, 64
+#: What a worker keeps: chunks (about 30 bytes each with their ids; past that number they start anew), and two
+#: generations of words of WORD_BYTES bytes at most (about 200 bytes each): some 150 MB when all are full.
+CACHE_CHUNKS, CACHE_WORDS, WORD_BYTES = 1_500_000, 250_000, 64
 #: Bytes that are hashed and put together at once; each takes about 40 bytes of arrays for that time.
-PART = 1 << 18
+PART = 1 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = "!-/:-@\\[-`{-~¡¿«»–—‘’“”…€"
@@ -45,7 +46,7 @@ class _Chunks:
 
     def __init__(self):
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +55,33 @@ class _Chunks:
         there = np.minimum(at, max(len(self.keys) - 1, 0))
         return at, (self.keys[there] == keys) & (self.checks[there] == checks) if len(self.keys) else np.zeros(len(keys), bool)
 
-    def add(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
-        sizes = np.array([len(x) // 2 for x in ids], np.int64)
-        new = np.frombuffer(b"".join(ids), np.uint16)
-        while self.used + len(new) > len(self.pool):
+    def add(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint16)])
-        self.pool[self.used : self.used + len(new)] = new
+        self.pool[self.used : self.used + len(ids)] = ids
         self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
         self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
         self.sizes = np.insert(self.sizes, at, sizes)
-        self.used += len(new)
+        self.used += len(ids)
+
+
+class _Known(dict):
+    """Pre-token -> its ids, by the library's BPE model on its byte alphabet; what was known in the generation before moves over."""
+
+    def __init__(self, model):
+        self.model, self.older = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1")
+            found = array("H", [x.id for x in self.model.tokenize(mapped.translate(_ALPHABET))]).tobytes()
+        if len(word) <= WORD_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,7 +101,7 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits are not supported")
         self.chunks = _Chunks()
-        self.words: dict[str, bytes] = {}
+        self.words = _Known(self.library.model)
         self.powers = [np.ones(1, np.uint64)] * 2
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -91,20 +109,16 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u2").tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, by the library's BPE model on its byte alphabet."""
-        found = self.words.get(word)
-        if found is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1")
-            found = np.array([x.id for x in self.library.model.tokenize(mapped.translate(_ALPHABET))], dtype="<u2").tobytes()
-            if len(word) <= CACHE_BYTES:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
     def _words(self, text: str) -> bytes:
-        return b"".join(map(self._word, _WORDS.findall(text)))
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+
+    def _new(self, chunks: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that lie one after the other (each begins with its only space), and how many each has."""
+        words = _WORDS.findall(chunks)
+        found = list(map(self.words.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 2
+        heads = np.flatnonzero(np.fromiter([x[0] == " " for x in words], bool, len(words)))
+        return np.frombuffer(b"".join(found), np.uint16), np.add.reduceat(sizes, heads)
 
     def _hashes(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         most = int(sizes.max())
@@ -154,13 +168,13 @@ class Encoder:
         keys, checks = self._hashes(raw, starts, sizes)
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         checks = (checks[first] >> np.uint64(32)).astype(np.uint32)
-        if len(self.chunks.keys) > CACHE_CHUNKS or self.chunks.used > 4 * CACHE_CHUNKS:
+        if len(self.chunks.keys) > CACHE_CHUNKS or self.chunks.used > 8 * CACHE_CHUNKS:
             self.chunks = _Chunks()
         at, known = self.chunks.find(keys, checks)
         new = np.flatnonzero(~known)
         if len(new):
             cut = zip(starts[first[new]].tolist(), (starts + sizes)[first[new]].tolist(), strict=True)
-            self.chunks.add(at[new], keys[new], checks[new], [self._words(data[a:b].decode()) for a, b in cut])
+            self.chunks.add(at[new], keys[new], checks[new], *self._new(b"".join([data[a:b] for a, b in cut]).decode()))
             at = np.searchsorted(self.chunks.keys, keys)  # of two chunks with one 64-bit hash, the newer stands first
         n = self.chunks.sizes[at][inverse]
         end = np.cumsum(n)
