@@ -3,17 +3,19 @@
 Features are indicators of byte 1-grams to 4-grams, hashed into 2^17 buckets, and of n-grams of the
 sequence that says whether a word equals the one before it (and whether a line repeats), which no n-gram
 of bytes can tell for words not seen before.  A row is divided by the root of its number of indicators,
-so short and long texts weigh alike.  Class log-count ratios
 so short and long texts weigh alike.  The model is fitted on a documented, bounded sample of labelled
 rows: of each class the SAMPLE / 2 rows that come first in a seeded hash order of their keys (all of them
-where there are fewer).  Class log-count ratios r = log((p / |p|) / (q / |q|)) of the indicators scale
+where there are fewer), and of these, in that order, those keys whose texts still fit in SAMPLE_BYTES / 2
+bytes.  Class log-count ratios r = log((p / |p|) / (q / |q|)) of the indicators scale
 them; dual coordinate descent on the driver fits a linear hinge-loss model, its rows weighted to the
 classes' own rates among all labels.  Weights are interpolated with their mean magnitude, as usual for
 this model, and a logistic curve turns margins into scores.  Scoring reads each whole text.
 
 Defined results: a null or empty text has no features and gets the curve's value at the bias; with no
 labels, or labels of one class only, every score is that class's share (0.5 without labels); labels other
-than 0 and 1, or null, teach nothing; repeated rows count each; columns other than those named are ignored.
+than 0 and 1, or null, teach nothing; repeated rows count each; a score of exactly 0.5 is predicted 1; rows of one
+hash in the sample's order follow their keys; an empty table gives no rows, and a model without labels; columns
+other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import common
 BUCKETS = 1 << 17
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: UTF-8 bytes of their texts, at most: what the driver holds while it fits is bounded whatever the rows' length.
+SAMPLE_BYTES = 64 << 20
 EPOCHS, COST, MIXED = 12, 0.3, 0.5
 #: Buckets of the repetition indicators: 1, 2, 4, 8 or 16 words in a row that equal the one before; a repeated line.
 RUNS = (1, 2, 4, 8, 16)
@@ -125,20 +129,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margins + self.b, -35, 35)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """`key`, `text` and `label` of the sampled labelled rows, and how many labels are 0 and 1 in all.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, key: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, np.ndarray]:
+    """`key`, `text` and `label` of the sampled labelled rows as a table, and how many labels are 0 and 1 in all.
 
     The sample's labels (at most `sample` rows, whatever the corpus) are broadcast to the documents.
     """
+    spark = docs.sparkSession
     usable = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull())
     rows = np.zeros(2, np.int64)
     for y, n in usable.groupBy("_y").count().collect():
         rows[y] = n
     order = [F.xxhash64(F.lit(11), "_k"), F.col("_k"), F.col("_y")]
-    first = [usable.filter(F.col("_y") == y).orderBy(*order).limit(sample // 2).collect() for y in (0, 1)]
-    chosen = docs.sparkSession.createDataFrame([tuple(x) for x in first[0] + first[1]], usable.schema)
+    first = [[tuple(x) for x in usable.filter(F.col("_y") == y).orderBy(*order).limit(sample // 2).collect()] for y in (0, 1)]
+    chosen = spark.createDataFrame(first[0] + first[1], usable.schema)
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("_k"))
-    return found.select("key", "text", F.col("_y").alias("label")), rows
+    found = common.written(found.select("key", "text", F.col("_y").alias("label")), "labelled-sample")
+    sizes = {r[0]: r[1] for r in found.groupBy("key").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()}  # `sample` keys at most
+    fitting: set = set()
+    for side in first:
+        room = most_bytes // 2
+        for k, _ in side:
+            if sizes.get(k, 0) <= room:
+                fitting.add(k)
+                room -= sizes.get(k, 0)
+    left_out = [(k,) for k in sizes if k not in fitting]
+    if left_out:
+        kind = docs.schema[key].dataType.simpleString()
+        found = found.join(F.broadcast(spark.createDataFrame(left_out, f"key {kind}")), "key", "left_anti")
+    return found, rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
@@ -197,6 +215,7 @@ def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that are not held out."""
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, not_held_out(labels, 3, 1), "quality")
     held = F.coalesce(common.crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    with common.scratch(spark) as kept:
+        model = fit(docs, not_held_out(labels, 3, 1), "quality")
+        return kept(scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted"), "quality-scores")

@@ -1,8 +1,9 @@
 """Operator 10: toxicity by nearest labelled examples.
 
 Terms are lower-case words and their first 4, 5 and 6 characters.  Examples are a documented, bounded sample of
-labelled rows (at most SAMPLE, half of each class, first in a seeded hash order of their keys, near copies of an
-earlier one, similar to it by COPY or more on the full sets of word pairs, left out).  The vocabulary holds all terms of the examples.  A term's weight in a text is
+labelled rows (at most SAMPLE and of quality.SAMPLE_BYTES bytes, half of each class, first in a seeded hash order of
+their keys; near copies of an earlier one, similar to it by COPY or more on the full sets of word pairs, are left
+out).  The vocabulary holds all terms of the examples.  A term's weight in a text is
 (1 + log count) * idf * rf: the inverse document frequency comes from all documents, the relevance frequency
 rf = log2(2 + rows of label 1 with it / max(1, rows of label 0 with it, at equal class sizes)) lets terms that mark
 label 1 count more; no term counts nothing.  Texts are compared by the cosine of these vectors, a text's own
@@ -14,7 +15,8 @@ postings' part of every cosine is summed, the block maxima bound the rest, and b
 above the K-th best cosine so far are skipped.  The nearest are found in single precision with a margin and their
 cosines computed again in double precision: the K nearest examples are exact.  Each votes with
 1 / (SOFT + distance), weighted to its class's own rate; a logistic curve fitted on the examples' leave-one-out
-votes turns the vote into a score.
+votes turns the vote into a score.  Each text is taken apart once: its terms and their counts are written as a table,
+which both the document frequencies and the scores are made from.
 
 The evidence of a score: the nearest examples of label 1 (`neighbours`) and of label 0 (`clean_neighbours`), and the
 text's terms that mark label 1, significantly more frequent there (`terms`).
@@ -30,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,64 +62,66 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+class _Known(dict):
+    """Word -> numbers of the vocabulary's terms in it, for WORDS words at most."""
+
+    def __init__(self, at: dict[str, int]):
+        self.at = at
+
+    def __missing__(self, w: str) -> tuple:
+        k = len(w)
+        terms = (w, w[:4] + "*", w[:5] + "*" if k > 4 else "", w[:6] + "*" if k > 5 else "") if k > 3 else (w,)
+        if len(self) >= WORDS:
+            self.clear()
+        out = self[w] = tuple(self.at[x] for x in terms if x in self.at)
+        return out
+
+
 class Vocabulary:
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.at = {x: i for i, x in enumerate(terms)}
-        self.seen: dict[str, tuple] = {}
+        self.known = _Known(self.at)
 
     def __reduce__(self):
         return Vocabulary, (self.terms,)
 
-    def of_word(self, w: str) -> tuple:
-        """Numbers of the vocabulary's terms in the word."""
-        k = len(w)
-        terms = (w, w[:4] + "*", w[:5] + "*" if k > 4 else "", w[:6] + "*" if k > 5 else "") if k > 3 else (w,)
-        if len(self.seen) >= WORDS:
-            self.seen.clear()
-        out = self.seen[w] = tuple(self.at[x] for x in terms if x in self.at)
-        return out
-
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the vocabulary's terms in the text, ascending, and how often they occur."""
-        seen, out = self.seen, {}
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            found = seen.get(w)
-            for i in self.of_word(w) if found is None else found:
-                out[i] = out.get(i, 0) + n
-        terms, counts = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
-        order = np.argsort(terms)
-        return terms[order], counts[order]
+        found = chain.from_iterable(map(self.known.__getitem__, _WORD.findall((text or "").lower())))
+        terms, counts = np.unique(np.fromiter(found, np.int32), return_counts=True)
+        return terms, counts.astype(np.int32)
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
     """examples (key, text, label) without near copies: those whose set of hashed word pairs has a Jaccard similarity of
-    COPY or more to that of an earlier row kept of the same label.  Candidates share a band of BAND_ROWS minima; a pair at
-    0.75 shares none of the bands with probability 3e-7."""
+    COPY or more to that of an earlier row kept of the same label.  Candidates share a band of BAND_ROWS minima (a pair at
+    0.75 shares none of the bands with probability 3e-7) and have an estimate by all minima within five standard errors."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, bands = [], []
+        found, minima = [], []
         for text in batch.column(1).to_pylist():
             words = (text or "").lower().split()
             pairs = np.unique(np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, [*words[1:], ""], strict=True)] or [0], np.uint64))
-            minima = np.array([(pairs * m + (pairs >> np.uint64(7)) * m2 & _LOW).min() for m, m2 in _MIX], "<u4").reshape(-1, BAND_ROWS)
+            minima.append(np.array([(pairs * m + (pairs >> np.uint64(7)) * m2 & _LOW).min() for m, m2 in _MIX], "<u4").tobytes())
             found.append(pairs.astype("<u4").tobytes())
-            bands.append([zlib.crc32(x.tobytes()) for x in minima])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "label", "pairs", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(minima, pa.binary())], ["key", "label", "pairs", "minima"])
 
     kind = examples.schema["key"].dataType.simpleString()
-    made = common.written(common.mapped(examples, f"key {kind}, label int, pairs binary, bands array<long>", sets), "toxicity-pairs")
-    rows = sorted((key, label, bytes(pairs), list(bands)) for key, label, pairs, bands in made.toLocalIterator())
+    made = common.written(common.mapped(examples, f"key {kind}, label int, pairs binary, minima binary", sets), "toxicity-pairs")
+    rows = sorted((key, label, bytes(pairs), bytes(low)) for key, label, pairs, low in made.toLocalIterator())
     with_band: dict = {}
-    kept, known = [], []
-    for key, label, raw, bands in rows:
-        pairs = np.frombuffer(raw, "<u4")
-        marks = [(label, i, x) for i, x in enumerate(bands)]
-        near = {j for m in marks for j in with_band.get(m, ())}
-        if any(_jaccard(pairs, known[j]) >= COPY for j in near):
+    kept, known, signed = [], [], np.zeros((len(rows), len(_MIX)), np.uint32)
+    for key, label, raw, low in rows:
+        pairs, minima = np.frombuffer(raw, "<u4"), np.frombuffer(low, "<u4")
+        marks = [(label, i, x.tobytes()) for i, x in enumerate(minima.reshape(-1, BAND_ROWS))]
+        near = np.array(sorted({j for m in marks for j in with_band.get(m, ())}), np.int64)
+        near = near[(signed[near] == minima).mean(1) >= COPY - 5 * (COPY * (1 - COPY) / len(_MIX)) ** 0.5]
+        if any(_jaccard(pairs, known[j]) >= COPY for j in near.tolist()):
             continue
         for m in marks:
             with_band.setdefault(m, []).append(len(known))
+        signed[len(known)] = minima
         known.append(pairs)
         kept.append((key,))
     keys = examples.sparkSession.createDataFrame(kept, f"_kept {kind}")  # SAMPLE rows at most
@@ -165,23 +170,41 @@ def relevance(with_term: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.log2(2 + with_term[1] / np.maximum(with_term[0] * (rows[1] / max(rows[0], 1)), 1))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that have each term, of all documents; and their number."""
+def taken_apart(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", label: str | None = None) -> DataFrame:
+    """`key` (and `label`), and the text's `terms` (the first number, then the steps to the next) and `counts`, as 32-bit integers, as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of SAMPLE texts at most
 
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shared.value.counts(x) for x in batch.column(1).to_pylist()]
+        columns = [pa.array([np.diff(t, prepend=0).astype("<i4").tobytes() for t, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in made], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "terms", "counts"] + ["label"] * bool(label)
+    chosen = docs.select(F.col(key).alias("key"), text, *[F.col(label).cast("int").alias("label")] * bool(label))
+    return common.written(common.mapped(chosen, f"key {kind}, terms binary, counts binary" + ", label int" * bool(label), each), "toxicity-terms")
+
+
+def _parts(terms: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.cumsum(np.frombuffer(t, "<i4"), dtype=np.int32), np.frombuffer(n, "<i4")) for t, n in zip(terms, counts, strict=True)]
+
+
+def document_frequencies(apart: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """Documents that have each term, of all rows of `taken_apart`; and their number."""
+
     def run(batches):
-        v = shared.value
-        total, rows = np.zeros(len(v.terms) + 1, np.int64), 0
+        total, rows = np.zeros(n_terms + 1, np.int64), 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total[v.counts(x)[0]] += 1
+                total[np.cumsum(np.frombuffer(x, "<i4"))] += 1
             rows += batch.num_rows
         total[-1] = rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(len(vocabulary.terms) + 1, np.int64)
-    found = docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_terms + 1, np.int64)
+    # few tasks, each with a total of its own: the totals are what is shuffled
+    found = apart.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -222,6 +245,7 @@ class BlockMaxIndex:
         outside = outside[np.argsort(self.terms[outside], kind="stable")]
         self.slots, self.values = slots[outside], self.weights[outside]
         self.first = np.cumsum(np.concatenate([[0], np.bincount(self.terms[outside], minlength=self.n_terms)]))
+        self.whole = np.zeros(self.n_terms)  # a query's weights while its cosines are computed
 
     def _from_postings(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The part of every example's cosine that these terms' postings give."""
@@ -266,12 +290,17 @@ class BlockMaxIndex:
 
     def _exact(self, query: tuple[np.ndarray, np.ndarray], near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the examples whose cosines in single precision are near."""
-        least = np.partition(near, -k)[-k] - MARGIN if len(near) > k else 0.0
-        found = np.flatnonzero((near > 0) & (near >= least))
-        whole = np.zeros(self.n_terms)
+        least = max(np.partition(near, -k)[-k] - MARGIN, 0) if len(near) > k else 0.0
+        found = np.flatnonzero(near >= least)
+        found = found[near[found] > 0]
+        if not len(found):
+            return self.order[found], np.zeros(0)
+        whole = self.whole
         whole[query[0]] = query[1]
-        cosines = np.array([np.dot(whole[self.terms[a:b]], self.weights[a:b]) for a, b in zip(self.starts[found].tolist(), self.starts[found + 1].tolist(), strict=True)])
-        best = np.lexsort((found, -cosines))[:k] if len(found) else found
+        starts, stops = self.starts[found], self.starts[found + 1]
+        cosines = np.array([np.dot(whole[self.terms[a:b]], self.weights[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+        whole[query[0]] = 0
+        best = np.lexsort((found, -cosines))[:k]
         return self.order[found[best]], np.minimum(cosines[best], 1.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -299,68 +328,60 @@ class Model:
                 out.append((float(np.log((toxic + 0.05) / (float(votes.sum()) - toxic + 0.05))), found, cosines))
         return out
 
-    def scores(self, texts: list[str | None]) -> list[tuple]:
-        """Of each text the score, and the evidence: keys and cosines of the neighbours of label 1, the terms that mark
-        label 1, keys and cosines of the neighbours of label 0."""
-        out: list[tuple] = [(self.rest, [], [], [], [], [])] * len(texts)
+    def scores(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        """Of each text (its terms and counts) the score, and the evidence: keys and cosines of the neighbours of label 1,
+        the terms that mark label 1, keys and cosines of the neighbours of label 0."""
+        out: list[tuple] = [(self.rest, [], [], [], [], [])] * len(parts)
         if self.index is None:
             return out
-        made = [self.vector(*self.vocabulary.counts(x)) for x in texts]
-        own = [i for i, x in enumerate(made) if len(x[0])]
-        for i, (vote, found, cosines) in zip(own, self.votes([made[i] for i in own]), strict=True):
+        own = [i for i, x in enumerate(parts) if len(x[0])]
+        for i, (vote, found, cosines) in zip(own, self.votes([self.vector(*parts[i]) for i in own]), strict=True):
             p = 1 / (1 + np.exp(-np.clip(self.a * vote + self.b, -35, 35)))
             toxic = self.labels[found] == 1
             sides = [([self.keys[j] for j in found[x].tolist()], cosines[x].tolist()) for x in (toxic, ~toxic)]
-            terms = made[i][0]
+            terms = parts[i][0]
             out[i] = (float(p), *sides[0], [self.vocabulary.terms[j] for j in terms[self.marks[terms]].tolist()], *sides[1])
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and all docs as `taken_apart` by its vocabulary."""
     examples, rows = quality.sampled(docs, labels, label, sample, key, text)
-    examples = common.written(examples, "toxicity-examples")
     examples = common.written(without_copies(examples), "toxicity-distinct")
     terms, by_label, drawn = example_terms(examples)
     vocabulary = Vocabulary(terms)
-    with_term, n_docs = document_frequencies(docs, vocabulary, text)
+    apart = taken_apart(docs, vocabulary, key, text)
+    with_term, n_docs = document_frequencies(apart, len(terms))
     idf = (np.log((1 + n_docs) / (1 + with_term)) + 1) * relevance(by_label, drawn)
     marks = marking(by_label, drawn)
     if not drawn.min():
-        return Model(vocabulary, idf, marks, None, np.zeros(0, np.int64), [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shared.value.counts(x) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([x[k].astype("<i4").tobytes() for x in made], pa.binary()) for k in (0, 1)]], ["key", "label", "terms", "counts"])
-
-    kind = docs.schema[key].dataType.simpleString()
+        return Model(vocabulary, idf, marks, None, np.zeros(0, np.int64), [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0)), apart
     # read back a partition at a time: the driver holds the vectors once, not the JVM's copy of all of them too
-    found = common.written(common.mapped(examples, f"key {kind}, label int, terms binary, counts binary", vectors), "toxicity-vectors")
-    got = [(y, k, bytes(t), bytes(c)) for k, y, t, c in found.toLocalIterator()]
+    got = [(y, k, bytes(t), bytes(c)) for k, t, c, y in taken_apart(examples, vocabulary, "key", label="label").toLocalIterator()]
     got.sort()
     classes = np.array([x[0] for x in got], np.int64)
     weight = rows / rows.sum() / (drawn / drawn.sum())
     model = Model(vocabulary, idf, marks, None, classes, [x[1] for x in got], weight, 0.0)
-    made = [model.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for _, _, t, c in got]
+    made = [model.vector(*x) for x in _parts([x[2] for x in got], [x[3] for x in got])]
     model.index = BlockMaxIndex(made, len(vocabulary.terms))
     bare = np.array([not len(x[0]) for x in made])
     mass = [float(weight[y] * (bare & (classes == y)).sum()) for y in (0, 1)]
-    model.rest = min((mass[1] + 0.05) / (mass[0] + mass[1] + 1), 0.49)
+    model.rest = (mass[1] + 0.05) / (mass[0] + mass[1] + 1)
     own = np.flatnonzero(~bare)
     if len(own):
         votes = np.array([x[0] for x in model.votes([made[i] for i in own.tolist()], own.tolist())])
         model.a, model.b = quality.logistic(votes, classes[own], weight[classes[own]])
-    return model
+    return model, apart
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(apart: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, `score`, `predicted`, and the evidence: `neighbours` of label 1 and their `cosines`, the marking `terms`
-    found, and `clean_neighbours` of label 0 with `clean_cosines`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+    found, and `clean_neighbours` of label 0 with `clean_cosines`, of all rows of `taken_apart`."""
+    shared = apart.sparkSession.sparkContext.broadcast(model)
+    kind = apart.schema["key"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = shared.value.scores(batch.column(1).to_pylist())
+        made = shared.value.scores(_parts(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
         score = pa.array([x[0] for x in made], pa.float64())
         predicted = pa.array([int(x[0] >= 0.5) for x in made], pa.int32())
         kinds = (batch.column(0).type, pa.float64(), pa.string(), batch.column(0).type, pa.float64())
@@ -368,13 +389,15 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         return pa.RecordBatch.from_arrays([batch.column(0), score, predicted, *evidence], [key, "score", "predicted", "neighbours", "cosines", "terms", "clean_neighbours", "clean_cosines"])
 
     evidence = f"neighbours array<{kind}>, cosines array<double>, terms array<string>, clean_neighbours array<{kind}>, clean_cosines array<double>"
-    return common.mapped(docs.select(key, text), f"`{key}` {kind}, score double, predicted int, {evidence}", each)
+    return common.mapped(apart.select("key", "terms", "counts"), f"`{key}` {kind}, score double, predicted int, {evidence}", each)
 
 
 def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with its nearest labelled examples as evidence."""
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, quality.not_held_out(labels, 5, 0), "toxic")
     held = F.coalesce(common.crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "terms", "clean_neighbours")
+    with common.scratch(spark) as kept:
+        model, apart = fit(docs, quality.not_held_out(labels, 5, 0), "toxic")
+        found = scored(apart, model).select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "terms", "clean_neighbours")
+        return kept(found, "toxicity-scores")

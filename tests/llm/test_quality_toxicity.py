@@ -62,12 +62,15 @@ def test_edge_rows(spark, edges, empty, no_labels):
             assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
             kept = quality.accepted(docs, model)
             assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)
-        model = toxicity.fit(edges, labels, "toxic")
+        model, _ = toxicity.fit(edges, labels, "toxic")
         for docs in (edges, empty):
-            rows = toxicity.scored(docs, model).collect()
+            rows = toxicity.scored(toxicity.taken_apart(docs, model.vocabulary), model).collect()
             assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.scored(edges, quality.fit(edges, no_labels, "quality")).collect()} == {0.5}
-    assert {r.score for r in toxicity.scored(edges, toxicity.fit(edges, no_labels, "toxic")).collect()} == {0.5}
+    model, apart = toxicity.fit(edges, no_labels, "toxic")
+    assert {r.score for r in toxicity.scored(apart, model).collect()} == {0.5}
+    model, apart = toxicity.fit(empty, marks, "toxic")
+    assert toxicity.scored(apart, model).collect() == []
 
 
 def test_block_max_index_finds_the_nearest():
@@ -101,7 +104,8 @@ def test_toxic_words_and_evidence(spark):
     toxic = [(100 + i, f"{filler()} wretched gribble {filler()}") for i in range(60)]
     docs = spark.createDataFrame(clean + toxic + [(500, "such a GRIBBLE"), (501, "barley fields")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(docs, labels, "toxic")).collect()}
+    model, apart = toxicity.fit(docs, labels, "toxic")
+    got = {r.doc_id: r for r in toxicity.scored(apart, model).collect()}
     assert got[500].predicted == 1 and "gribble" in got[500].terms and min(got[500].neighbours) >= 100
     assert got[501].predicted == 0 and got[501].neighbours == []
 
@@ -113,8 +117,8 @@ def test_texts_without_a_marking_term_have_neighbours(spark):
     toxic = [(100 + i, f"{filler()} gribble {filler()}") for i in range(60)]
     docs = spark.createDataFrame(clean + toxic + [(500, "barley fields"), (501, filler()), (502, "zq")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, "toxic")
-    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    model, apart = toxicity.fit(docs, labels, "toxic")
+    got = {r.doc_id: r for r in toxicity.scored(apart, model).collect()}
     assert "barley" in model.vocabulary.terms and len(got[500].clean_neighbours) == toxicity.K and got[500].neighbours == []
     # no term of this text marks a label, but its nearest examples are known
     assert got[501].terms == [] and len(got[501].neighbours) + len(got[501].clean_neighbours) == toxicity.K
@@ -133,3 +137,127 @@ def test_only_confirmed_copies_are_left_out(spark):
 def test_texts_with_a_common_pair_stay(spark):
     rows = [(i, f"of the w{i} x{i} y{i}", 1) for i in range(200)]
     assert toxicity.without_copies(spark.createDataFrame(rows, "key long, text string, label int")).count() == 200
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 7 else 500)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = quality.sampled(docs, labels, "quality", 40, most_bytes=400)[0].collect()
+    assert all(sum(r.label == y for r in rows) >= 16 for y in (0, 1)) and {len(r.text) for r in rows} == {10}
+    assert quality.sampled(docs, labels, "quality", 40)[0].count() == 40
+
+
+def naive_gram_ids(text):
+    """Buckets of all byte n-grams and repetitions, one by one."""
+    data, out = text.encode(), set()
+    for n in range(1, 5):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for x in data[i : i + n]:
+                code = (code * 257 + x + 1) % 2**32
+            out.add((((code ^ code >> 15) * 0x9E3779B1) % 2**32) >> 15)
+    words, run, longest = text.split(), 0, 0
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 0
+        longest = max(longest, run)
+    out |= {i for i, n in enumerate((1, 2, 4, 8, 16)) if longest >= n}
+    lines = [x for x in text.split("\n") if x]
+    return sorted(out | ({5} if len(set(lines)) < len(lines) else set()))
+
+
+def test_quality_query_against_brute_force(spark, data, texts):
+    """The whole of op1 again with plain loops over sets: features, ratios, hinge-loss model, curve."""
+    marks = sorted((r.quality, r.doc_id) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    grams = {i: naive_gram_ids(t or "") for i, t in texts.items()}
+    assert all(np.array_equal(quality.features(texts[i]), g) for i, g in grams.items())
+    rows = sorted((y, np.array(grams[i], "<i4").tobytes(), i) for y, i in marks if i in grams)
+    p, q = (1 + sum(np.bincount(grams[i], minlength=quality.BUCKETS) for y, _, i in rows if y == c) for c in (1, 0))
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    size = np.array([sum(1 for y, _ in marks if y == c) for c in (0, 1)])
+    drawn = np.array([sum(1 for y, *_ in rows if y == c) for c in (0, 1)])
+    natural = np.array([size[y] / size.sum() / (drawn[y] / drawn.sum()) for y, *_ in rows])
+    w, alpha, rng, order = np.zeros(quality.BUCKETS), np.zeros(len(rows)), np.random.default_rng(7), np.arange(len(rows))
+    bias = 0.0
+    for _ in range(quality.EPOCHS):
+        rng.shuffle(order)
+        moved = 0.0
+        for i in order:
+            x, sign = grams[rows[i][2]], 1 if rows[i][0] else -1
+            v = r[x] / np.sqrt(max(len(x), 1))
+            old = alpha[i]
+            alpha[i] = np.clip(old - (sign * (w[x] @ v + bias) - 1) / (v @ v + 1), 0, quality.COST * natural[i])
+            w[x] += (alpha[i] - old) * sign * v
+            bias += (alpha[i] - old) * sign
+            moved = max(moved, abs(alpha[i] - old) / (quality.COST * natural[i]))
+        if moved < 1e-3:
+            break
+    weights = (0.5 * np.abs(w).mean() + 0.5 * w) * r
+    margin = lambda i: weights[grams[i]].sum() / np.sqrt(max(len(grams[i]), 1)) + bias
+    a, b = quality.logistic(np.array([margin(i) for *_, i in rows]), np.array([y for y, *_ in rows]), natural)
+    for row in QUERIES["op1_nbsvm_quality"](spark, data).collect():
+        assert row.score == pytest.approx(1 / (1 + np.exp(-(a * margin(row.doc_id) + b))), abs=1e-4)
+
+
+def test_toxicity_query_against_brute_force(spark, data, texts):
+    """The whole of op10 again over dictionaries of all terms: weights, cosines to every example, votes, curve."""
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    counts = {i: toxicity.term_counts(t) for i, t in texts.items()}
+    pairs = {}
+    for i in marks:
+        words = (texts[i] or "").lower().split()
+        pairs[i] = {zlib.crc32(f"{x} {y}".encode()) for x, y in zip(words, [*words[1:], ""], strict=True)} or {0}
+    kept = []
+    for i in sorted(marks):
+        if not any(marks[j] == marks[i] and len(pairs[i] & pairs[j]) / len(pairs[i] | pairs[j]) >= toxicity.COPY for j in kept):
+            kept.append(i)
+    assert len(kept) < len(marks)
+    drawn = [sum(marks[i] == y for i in kept) for y in (0, 1)]
+    rows = [sum(x == y for x in marks.values()) for y in (0, 1)]
+    by_label = [{}, {}]
+    for i in kept:
+        for t in counts[i]:
+            by_label[marks[i]][t] = by_label[marks[i]].get(t, 0) + 1
+    df: dict = {}
+    for c in counts.values():
+        for t in c:
+            df[t] = df.get(t, 0) + 1
+
+    def vector(i):
+        out = {}
+        for t, n in counts[i].items():
+            if t in by_label[0] or t in by_label[1]:
+                rf = np.log2(2 + by_label[1].get(t, 0) / max(by_label[0].get(t, 0) * drawn[1] / drawn[0], 1))
+                out[t] = (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) * rf
+        length = np.sqrt(sum(x * x for x in out.values()))
+        return {t: x / length for t, x in out.items()}
+
+    vectors = {i: vector(i) for i in texts}
+    weight = [rows[y] / sum(rows) / (drawn[y] / sum(drawn)) for y in (0, 1)]
+
+    def vote(i, without=None):
+        cosines = {j: sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()) for j in kept if j != without}
+        best = sorted((j for j in cosines if cosines[j] > 0), key=lambda j: -cosines[j])[: toxicity.K]
+        side = [sum(weight[y] / (toxicity.SOFT + 1 - min(cosines[j], 1)) for j in best if marks[j] == y) for y in (0, 1)]
+        return np.log((side[1] + 0.05) / (side[0] + 0.05)), {j for j in best if marks[j]}, {j for j in best if not marks[j]}
+
+    own = sorted((i for i in kept if vectors[i]), key=lambda i: (marks[i], i))
+    a, b = quality.logistic(np.array([vote(i, i)[0] for i in own]), np.array([marks[i] for i in own]), np.array([weight[marks[i]] for i in own]))
+    same = 0
+    for row in QUERIES["op10_nearest_toxic"](spark, data).collect():
+        if vectors[row.doc_id]:
+            v, toxic, clean = vote(row.doc_id)
+            assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(a * v + b, -35, 35))), abs=1e-3)
+            same += set(row.neighbours) == toxic and set(row.clean_neighbours) == clean
+    assert same >= 0.98 * len(texts)  # the others have equal cosines at the last place
+
+
+def test_equal_cosines_at_the_last_place(spark):
+    clean = [(i, "barley fields") for i in range(3)] + [(10 + i, f"barley q{chr(97 + i)}{chr(98 + i)}") for i in range(toxicity.K + 4)]
+    toxic = [(100 + i, f"gribble z{chr(97 + i)}{chr(98 + i)}") for i in range(toxicity.K + 4)]
+    docs = spark.createDataFrame(clean + toxic + [(500, "barley")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    found = []
+    for parts in (1, 5):
+        model, apart = toxicity.fit(docs.repartition(parts), labels, "toxic")
+        found.append({r.doc_id: (r.score, tuple(r.neighbours), tuple(r.clean_neighbours)) for r in toxicity.scored(apart, model).collect()})
+    assert found[0] == found[1] and len(found[0][500][2]) == toxicity.K
