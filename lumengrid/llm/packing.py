@@ -8,8 +8,10 @@ however many pieces there are.  Pieces are then ranked within their length witho
 one task: counts of each hash bucket give its first rank, and a task ranks its own bucket's rows.
 
 Defined results: a null text is an empty document (one token, the end id); a document of more than
-`capacity` tokens is cut, the remainder first; equal lengths are interchangeable (order: bucket, key, piece);
-repeated rows are packed each; an empty table gives no rows; other columns than key and text are ignored.
+`capacity` tokens is cut, the remainder first; equal lengths are interchangeable (order: bucket, then columns);
+repeated rows are packed each, and dealt to buckets by row number too, so no bucket is larger for them; an empty
+table gives no rows; other columns than key and text are ignored; `packed` replaces columns named sequence_id
+and offset.
 """
 
 from __future__ import annotations
@@ -93,21 +95,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """parts (a table whose column `length` is at most capacity) with `sequence_id` and `offset`."""
-    names = parts.columns
+    """parts (a written table, whose row numbers are the same each time; its column `length` is at most capacity) with `sequence_id` and `offset`."""
+    parts = parts.drop("sequence_id", "offset")
+    names, bucket = parts.columns, common.fresh(parts, "_bucket")
     total = parts.count()
     buckets = max(1, -(-total // bucket_rows))
-    dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
-    cells = common.written(dealt.groupBy("_bucket", "length").count(), "length-counts")
+    dealt = parts.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in names], F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
+    cells = common.written(dealt.groupBy(bucket, "length").agg(F.count(F.lit(1)).alias("count")), "length-counts")
     histogram = {int(n): int(c) for n, c in cells.groupBy("length").agg(F.sum("count")).collect()}  # capacity rows at most
     rules = plan(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = cells.select("_bucket", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = cells.select(bucket, "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     reach = (1 << 62) // (capacity + 1)
     codes = rules[:, 0] * reach + rules[:, 1]
 
     def place(rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_bucket").sort_values(["length", *[x for x in names if x != "length"]], kind="stable").reset_index(drop=True)
+        rows = rows.drop(columns=bucket).sort_values(["length", *[x for x in names if x != "length"]], kind="stable").reset_index(drop=True)
         length = rows["length"].to_numpy(np.int64)
         at = np.arange(len(rows)) - np.searchsorted(length, length)
         rank = at + first.set_index("length")["first"].reindex(length).to_numpy(np.int64)
@@ -117,10 +120,11 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET
         rows["offset"] = rule[:, 4] + nth % rule[:, 3] * length
         return rows
 
-    schema = dealt.drop("_bucket").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return dealt.groupBy("_bucket").cogroup(firsts.groupBy("_bucket")).applyInPandas(place, schema)
+    schema = parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    return dealt.groupBy(bucket).cogroup(firsts.groupBy(bucket)).applyInPandas(place, schema)
 
 
 def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return packed(common.written(pieces(common.documents(spark, sf_dir)), "pieces"))
+    with common.scratch(spark) as kept:
+        return kept(packed(common.written(pieces(common.documents(spark, sf_dir)), "pieces")), "packed")
