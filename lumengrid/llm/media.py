@@ -1,13 +1,17 @@
 """Operator 8: text as sound.  WAV columns, short-time Fourier transforms, spectral-peak pairs.
 
 A payload (a text's UTF-8 bytes, padded with byte 32 to a positive multiple of 192) becomes the samples
-of an 8-bit mono WAV file, written and read by the wave module.  Its fingerprint: frames of 384 samples
-every 192, Hann window, power spectrum; the two strongest local maxima of each frame are its peaks; the
-strongest one is paired with both peaks of the next frame and the strongest of the one after.  A pair is
-the long  frame << 32 | f1 << 16 | f2 << 8 | frames between,  in order of time.
-
-Defined results: a null text is an empty one (192 spaces); bytes that are no WAV file of 8-bit mono
-samples raise; one-frame sounds have no pairs; equal texts give equal values.
+of an 8-bit mono WAV file, written by the wave module into a media column of a table and read back from there.
+Its fingerprint: frames of 384 samples every 192, Hann window, power spectrum; the two strongest local maxima of
+each frame are its peaks (of equally strong bins the lowest); the strongest one is paired with both peaks of the
+next frame and the strongest of the one after.  A pair is the long  frame << 32 | f1 << 16 | f2 << 8 | frames between,
+in order of time.  Sounds of fewer than LEAST frames are heard again and again until they have as many, so short
+sounds have pairs, too.
+
+Defined results: a null text is an empty one (192 spaces); a sound of one value throughout has no peaks and no
+pairs; bytes that are no WAV file of 8-bit mono samples raise; equal texts give equal values; repeated rows give a
+row each; an empty table gives no rows; texts of any length are whole, a text at a time where they are long; columns
+other than key and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNIT = 192
-FRAME, HOP, RATE = 384, 192, 16_000
+FRAME, HOP, RATE, LEAST = 384, 192, 16_000, 4
 BLOCK = 20_000  # frames transformed at once
 
 
@@ -66,13 +70,13 @@ def peaks(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_codes(payloads: list[bytes]) -> list[np.ndarray]:
     """Time-coded peak pairs of each payload; frames of all of them are transformed together."""
-    counts = [max(1, -(-len(x) // HOP) - 1) for x in payloads]
+    counts = [max(LEAST, -(-len(x) // HOP) - 1) for x in payloads]
     firsts, seconds = [], []
 
     def frames():
         for data, n in zip(payloads, counts, strict=True):
             x = np.frombuffer(data, np.uint8).astype(np.float32) - 128
-            x = np.pad(x, (0, (n - 1) * HOP + FRAME - len(x))) if (n - 1) * HOP + FRAME > len(x) else x
+            x = np.resize(x, (n - 1) * HOP + FRAME) if n == LEAST else x
             yield np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
 
     held, size = [], 0
@@ -137,15 +141,17 @@ def features(sounds: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op8_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a WAV file, read back, with its spectral-peak pairs as hex."""
-    found = features(with_media(common.documents(spark, sf_dir)))
-    return found.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("samples").cast("long").alias("payload_bytes"),
-        F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        F.lower(F.array_join(F.transform("pairs", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("feature"),
-    )
+    """Every document as a WAV file in a table, read back, with its spectral-peak pairs as hex."""
+    with common.scratch(spark) as kept:
+        found = features(common.written(with_media(common.documents(spark, sf_dir)), "media"))
+        found = found.select(
+            "doc_id",
+            "n_bytes",
+            F.octet_length("samples").cast("long").alias("payload_bytes"),
+            F.sha2("samples", 256).alias("payload_sha256"),
+            F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+            "media_bytes",
+            "media_sha256",
+            F.lower(F.array_join(F.transform("pairs", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("feature"),
+        )
+        return kept(found, "media-features")
