@@ -9,9 +9,10 @@ share of the SIZE smallest hashes of their union that both hold: an estimate of
 similarity (exact for sets of SIZE phrases or less), which falls as the texts compress less well together.
 
 Defined results: a null text is an empty one; an empty text has the empty fingerprint, like 1.0 to another
-empty one and 0.0 to others; equal texts have equal fingerprints; rows with the same key follow each
-other in order of their texts; with one row the next document is itself; null keys come first; all rows of a key share a task; an empty table gives no rows;
-further columns are ignored.
+empty one and 0.0 to others; equal texts have equal fingerprints; rows with the same key follow each other in order
+of a hash of their texts; with one row the next document is itself; null keys come first; a key of very many rows
+is cut into several ranges by that hash; rows of one key and one text share a task; texts are whole, however long;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SIZE = 64
+#: A row counts once more for every so many bytes of its text where ranges are cut.
+WEIGHT = 16 << 10
 _MASK = (1 << 61) - 1
 _STEP = 1_000_003
 
@@ -78,15 +81,24 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def ranges(docs: DataFrame, key: str, parts: int) -> DataFrame:
-    """docs with `_range`: at most `parts` ranges of ascending keys with about as many rows each (null: the first)."""
-    found = docs.filter(F.col(key).isNotNull()).approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(found or []))
-
-    @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.fillna(-np.inf).to_numpy(float), side="right").astype("int32"))
-
-    return docs.withColumn("_range", place(F.col(key).cast("double")))
+    """docs (with `_h`, a hash of the text) and `_range`: at most `parts` ranges of ascending (key, _h) with about as many
+    rows and bytes of text each."""
+    known = F.col(key).cast("double")
+    weight = F.explode(F.sequence(F.lit(0), F.expr(f"octet_length(text) div {WEIGHT}").cast("int")))
+    found = docs.filter(known.isNotNull()).select(known.alias("k"), weight).approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds, times = np.unique(np.array(found or [], float), return_counts=True)
+    if not len(bounds):
+        return docs.withColumn("_range", F.lit(0))
+    # the place of a key among the bounds, by binary search; a key that is `times` bounds at once has as many ranges and one more
+    placed = Bucketizer(splits=[-np.inf, *bounds.tolist(), np.inf], inputCol="_known", outputCol="_place", handleInvalid="keep").transform(docs.withColumn("_known", F.coalesce(known, F.lit(-np.inf))))
+    before = np.concatenate([[0], np.cumsum(times)]).tolist()  # ranges before each place
+    first = F.element_at(F.array(*[F.lit(int(x)) for x in before]), (F.col("_place") + 1).cast("int"))
+    many = [(b, int(n)) for b, n in zip(bounds.tolist(), times.tolist(), strict=True) if n > 1]
+    if many:
+        part = F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * (F.element_at(F.create_map(*[F.lit(x) for pair in many for x in pair]), F.col("_known")) + 1))
+        n = F.element_at(F.create_map(*[F.lit(x) for pair in many for x in pair]), F.col("_known"))
+        first = F.when(n.isNotNull(), first - n + F.least(part, n)).otherwise(first)
+    return placed.withColumn("_range", first.cast("int")).drop("_known", "_place")
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,17 +108,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     before it as well.  A task reads its rows in order and holds two texts at a time.  key is a number.
     """
     spark = docs.sparkSession
-    parts = common.partitions_for(spark)
+    parts = common.partitions_for(spark, common.in_bytes(docs, text)[1])
     kind = docs.schema[key].dataType.simpleString()
-    placed = ranges(docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")), "key", parts)
-    first = placed.groupBy("_range").agg(F.min(F.struct(F.col("key").isNotNull(), F.col("key"))).alias("head"))
-    heads = sorted((r, h["key"]) for r, h in first.collect())  # a key for each range
-    sent = [(r, k, heads[i - 1][0]) for i, (r, k) in enumerate(heads)]  # the first range's head follows the last range
-    sent = spark.createDataFrame(sent, f"_r int, _k {kind}, _before int")
-    extra = placed.join(F.broadcast(sent), (F.col("_range") == F.col("_r")) & F.col("key").eqNullSafe(F.col("_k")))
-    extra = extra.groupBy("_before").agg(F.min(F.struct("key", F.xxhash64("text").alias("h"), "text")).alias("head"))
-    extra = extra.select(F.col("head.key").alias("key"), F.col("head.text").alias("text"), F.col("_before").alias("_range"), F.lit(True).alias("_follows"))
-    both = placed.withColumn("_follows", F.lit(False)).unionByName(extra).withColumn("_h", F.xxhash64("text"))
+    placed = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    placed = ranges(placed.withColumn("_h", F.xxhash64("text")), "key", parts)
+    first = placed.groupBy("_range").agg(F.min(F.struct(F.col("key").isNotNull(), F.col("key"), F.col("_h"))).alias("head"))
+    heads = sorted((r, h["key"], h["_h"]) for r, h in first.collect())  # a key and a hash for each range
+    sent = [(r, k, h, heads[i - 1][0]) for i, (r, k, h) in enumerate(heads)]  # the first range's head follows the last range
+    sent = spark.createDataFrame(sent, f"_r int, _k {kind}, _kh long, _before int")
+    extra = placed.join(F.broadcast(sent), (F.col("_range") == F.col("_r")) & F.col("key").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh")))
+    extra = extra.select("key", "text", "_h", F.col("_before").alias("_range"), F.lit(True).alias("_follows")).dropDuplicates(["_range"])
+    both = placed.withColumn("_follows", F.lit(False)).unionByName(extra)
     sorted_rows = both.repartition(parts, "_range").sortWithinPartitions("_range", "_follows", "key", "_h").select("key", "text", "_range", "_follows")
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -115,7 +127,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         range_now = before = None  # before: (key, text, kept part, its phrases, signature) of the row before
         for batch in batches:
             out: list[tuple] = []
-            for k, t, r, follows in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            for k, t, r, follows in (row for part in common.slices(batch, "text") for row in zip(*[x.to_pylist() for x in part.columns], strict=True)):
                 if r != range_now:
                     range_now, before = r, None
                 elif before is None:
@@ -138,4 +150,5 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def op4_lz_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lempel-Ziv fingerprints of all documents and of their edited texts."""
-    return with_next(common.documents(spark, sf_dir))
+    with common.scratch(spark) as kept:
+        return kept(with_next(common.documents(spark, sf_dir)), "fingerprints")
