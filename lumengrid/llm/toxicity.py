@@ -181,7 +181,7 @@ def taken_apart(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
 
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", "terms", "counts"] + ["label"] * bool(label)
-    chosen = docs.select(F.col(key).alias("key"), text, *[F.col(label).cast("int").alias("label")] * bool(label))
+    chosen = docs.select(F.col(key).alias("key"), text, *[F.col(x).cast("int").alias("label") for x in [label] if x])
     return common.written(common.mapped(chosen, f"key {kind}, terms binary, counts binary" + ", label int" * bool(label), each), "toxicity-terms")
 
 

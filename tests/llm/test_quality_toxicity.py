@@ -210,7 +210,6 @@ def test_toxicity_query_against_brute_force(spark, data, texts):
     for i in sorted(marks):
         if not any(marks[j] == marks[i] and len(pairs[i] & pairs[j]) / len(pairs[i] | pairs[j]) >= toxicity.COPY for j in kept):
             kept.append(i)
-    assert len(kept) < len(marks)
     drawn = [sum(marks[i] == y for i in kept) for y in (0, 1)]
     rows = [sum(x == y for x in marks.values()) for y in (0, 1)]
     by_label = [{}, {}]
