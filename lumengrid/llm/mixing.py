@@ -1,21 +1,26 @@
 """Operator 5: mixing domains to target weights, with DataFrame functions only.
 
-A labelled table (a key and a domain of it) teaches a naive Bayes classifier of words, in a documented bounded
-form: of each domain the SAMPLE rows that come first in a seeded hash order, the FEATURES words of the greatest
-information.  It gives every document posteriors p(d) over the domains: documents are soft members of all of
-them.  Rates x >= least for the documents are then fitted so that the expected token totals
+A labelled table (a key and a domain of it) teaches a naive Bayes classifier of words from a documented bounded
+sample: of each domain the SAMPLE rows that come first in a seeded hash order.  Every word counts, in one of BUCKETS
+hash buckets, so the model's size is fixed.  It gives every document posteriors p(d) over the domains: documents are
+soft members of all of them.  Rates x >= least for the documents are then fitted so that the expected token totals
 sum_i x_i n_i p_i(d) equal the targets, where n_i are the document's tokens (its words).  This is least
 squares in the metric of the Gram matrix G = sum_i n_i p_i p_i', solved by projected gradient steps
 
-    x_i <- max(least, x_i - p_i' G^-1 r),   r = sum_i x_i n_i p_i - targets,
+    x_i <- max(least, x_i - s p_i' G^-1 r),   r = sum_i x_i n_i p_i - targets,
 
-which start from x_i = 1 and have step size one (the Hessian's largest eigenvalue is one in this metric).  Each
-step is one aggregation over a table of tokens and posteriors; a document's rate is replayed from the short list
-of the steps' vectors G^-1 r, so no state is carried over and a lost task only replays.
+which start from x_i = 1.  The step size s is 1 at first (the Hessian's largest eigenvalue is one in this metric), then
+the last move's squared length over its curvature (Barzilai and Borwein), and 1 again whenever the misfit r' G^-1 r is
+above that of all the last WINDOW steps.  Each step is one aggregation over a table of tokens and posteriors; a document's
+rate is replayed from the short list of the steps' vectors, so no state is carried over and a lost task only replays.
+The steps end when every total is within TOLERANCE of all tokens, or, where the targets can't be met, when the last
+WINDOW steps have made the misfit smaller by less than a thousandth (the best step's rates are returned, and the gap is
+reported); if neither is so after STEPS steps, that is an error.
 
-Defined results: a null or empty text has no tokens, its posteriors are the class shares;
-without labels there is the one domain `all`; targets of unknown domains are an error; a domain without a target
-aims at 0; repeated rows count each; with an empty table there are no rows.
+Defined results: a null or empty text has no tokens, its posteriors are the class shares; texts are whole, however long;
+words of equal hash count as one; without labels there is the one domain `all`; targets of unknown domains are an error;
+a domain without a target aims at 0; repeated rows count each; with an empty table there are no rows; columns other than
+key and text are ignored, and travel along in `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, FEATURES, STEPS, TOLERANCE = 1_000, 1_500, 60, 1e-4
+SAMPLE, BUCKETS, STEPS, WINDOW, TOLERANCE = 1_000, 1 << 16, 500, 30, 1e-4
 #: Shares of the languages that the queries aim at; English is shrunk in favour of the others.
 TARGETS = {"en": 0.64, "de": 0.13, "fr": 0.13, "es": 0.10}
 _WORDS = r"[^\p{L}\p{N}]+"
@@ -36,14 +41,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORDS), lambda w: w != "")
 
 
+def buckets(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
 class Classifier:
-    """Naive Bayes over at most FEATURES words: log shares of the domains, and each word's log likelihoods."""
+    """Naive Bayes over BUCKETS buckets of words: log shares of the domains, and the log likelihoods of buckets that were seen."""
 
     def __init__(self, domains: list[str], prior: list[float], weights: list[tuple]):
         self.domains, self.prior, self.weights = domains, prior, weights
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.weights, ", ".join(["word string", *[f"w{i} double" for i in range(len(self.domains))]]))
+        """A row for each bucket seen: BUCKETS at most."""
+        return spark.createDataFrame(self.weights, ", ".join(["bucket int", *[f"w{i} double" for i in range(len(self.domains))]]))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
@@ -55,25 +65,22 @@ def classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
     domains = sorted(sizes)
     chosen = [tuple(r) for d in domains for r in known.filter(F.col("_d") == d).orderBy(F.xxhash64(F.lit(17), "_k"), "_k").limit(SAMPLE).collect()]
     sample = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))  # SAMPLE rows of each domain at most
-    seen = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(sample, "_k").select("_d", F.explode(words(F.col("_t"))).alias("word"))
+    seen = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(sample, "_k").select("_d", F.explode(buckets(F.col("_t"))).alias("bucket"))
     names = [f"c{i}" for i in range(len(domains))]
-    counts = common.written(seen.groupBy("word").agg(*[F.count(F.when(F.col("_d") == d, 1)).alias(n) for d, n in zip(domains, names, strict=True)]), "domain-words")
-    sums = [float(x or 0) for x in counts.agg(*[F.sum(x) for x in names]).first()]
-    share = [F.col(n) / (s + 1) for n, s in zip(names, sums, strict=True)]
-    spread = F.greatest(*share) - F.least(*share) if len(share) > 1 else share[0]
-    best = counts.orderBy(F.desc(spread), "word").limit(FEATURES).collect()
-    weights = [(r["word"], *[float(np.log((r[n] + 0.5) / (s + 0.5 * FEATURES))) for n, s in zip(names, sums, strict=True)]) for r in best]
+    counts = seen.groupBy("bucket").agg(*[F.count(F.when(F.col("_d") == d, 1)).alias(n) for d, n in zip(domains, names, strict=True)]).collect()  # BUCKETS rows at most
+    sums = [sum(r[n] for r in counts) for n in names]
+    weights = [(r["bucket"], *[float(np.log((r[n] + 0.5) / (s + 0.5 * BUCKETS))) for n, s in zip(names, sums, strict=True)]) for r in counts]
     return Classifier(domains, [float(np.log(sizes[d] / sum(sizes.values()))) for d in domains], weights)
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: key, `_h` (a hash of its text), its tokens `n` and posteriors `p0`, `p1`, ..., as a table."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("_h"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_words"))
-    rows = rows.select("key", "_h", "_row", F.explode_outer("_words").alias("word"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("_h"), F.monotonically_increasing_id().alias("_row"), buckets(F.col(text)).alias("_buckets"))
+    rows = rows.select("key", "_h", "_row", F.explode_outer("_buckets").alias("bucket"))
     ws = [f"w{i}" for i in range(len(model.domains))]
-    weighed = rows.join(F.broadcast(model.table(spark)), "word", "left")
-    sums = weighed.groupBy("_row", "key", "_h").agg(F.count("word").alias("n"), *[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in ws])
+    weighed = rows.join(F.broadcast(model.table(spark)), "bucket", "left")
+    sums = weighed.groupBy("_row", "key", "_h").agg(F.count("bucket").alias("n"), *[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in ws])
     logs = [F.col(w) + p for w, p in zip(ws, model.prior, strict=True)]
     most = F.greatest(*logs) if len(logs) > 1 else logs[0]
     raw = sums.select("key", "_h", "n", *[F.exp(x - most).alias(w) for x, w in zip(logs, ws, strict=True)])
@@ -81,17 +88,20 @@ def with_posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", tex
     return common.written(raw.select("key", "_h", "n", *[(F.col(w) / total).alias(f"p{i}") for i, w in enumerate(ws)]), "posteriors")
 
 
-def rate_of(steps: list[np.ndarray], least: float, domains: int) -> Column:
-    """A document's rate after the steps, replayed from its posteriors."""
+def replayed(steps: list[np.ndarray], least: float, domains: int) -> Column:
+    """A document's rate `now` after the steps and `before` the last of them, replayed from its posteriors."""
+    one = F.lit(1.0)
+    start = F.struct(one.alias("now"), one.alias("before"))
     if not steps:
-        return F.lit(1.0)
+        return start
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
     dot = lambda m: sum((F.col(f"p{i}") * m[i] for i in range(1, domains)), F.col("p0") * m[0])
-    return F.aggregate(moves, F.lit(1.0), lambda x, m: F.greatest(F.lit(float(least)), x - dot(m)))
+    return F.aggregate(moves, start, lambda x, m: F.struct(F.greatest(F.lit(float(least)), x["now"] - dot(m)).alias("now"), x["now"].alias("before")))
 
 
-def fitted(rows: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, least: float = 0.0) -> tuple[Column, dict[str, float]]:
-    """The rate of each row of with_posteriors, and the expected tokens of each domain under these rates.
+def fitted(rows: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, least: float = 0.0) -> tuple[Column, dict[str, float], float]:
+    """The rate of each row of with_posteriors, the expected tokens of each domain under these rates, and the largest
+    gap of one of them to its target, as a share of all tokens aimed at.
 
     targets are shares; they are met for `total` tokens: by default as many as there are, or with least > 0
     as many as no domain has to shrink for.
@@ -109,18 +119,31 @@ def fitted(rows: DataFrame, domains: list[str], targets: dict[str, float], total
     aim = share * total
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     steps: list[np.ndarray] = []
-    now = have
-    for _ in range(STEPS):
-        if np.abs(now - aim).max() <= TOLERANCE * max(total, 1):
-            break
-        steps.append(inverse @ (now - aim))
-        x = rate_of(steps, least, k)
-        then = np.array(rows.agg(*[F.coalesce(F.sum(x * n * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]).first(), float)
-        still = np.abs(then - now).max() <= 1e-9 * max(total, 1)
-        now = then
-        if still:  # the least-squares solution, where the targets can't be met
+    now, size, misfits, best, ended = have, 1.0, [], (np.inf, 0, have), False
+    while True:
+        gap = now - aim
+        misfits.append(float(gap @ inverse @ gap))
+        if misfits[-1] < best[0]:
+            best = (misfits[-1], len(steps), now)
+        ended = ended or np.abs(gap).max() <= TOLERANCE * max(total, 1)
+        if ended or len(misfits) > WINDOW and min(misfits[-WINDOW:]) >= 0.999 * min(misfits[:-WINDOW]):
             break
-    return rate_of(steps, least, k), dict(zip(domains, now.tolist(), strict=True))
+        if len(steps) == STEPS:
+            raise ArithmeticError(f"the rates have not converged in {STEPS} steps; the totals are {now.tolist()}, the targets {aim.tolist()}")
+        if len(misfits) > WINDOW and misfits[-1] > max(misfits[-WINDOW - 1 : -1]):
+            size = 1.0
+        steps.append(size * (inverse @ gap))
+        x = replayed(steps, least, k)
+        moved = F.sum(n * F.pow(x["now"] - x["before"], 2))
+        *then, length = (float(v or 0) for v in rows.agg(*[F.sum(x["now"] * n * F.col(f"p{i}")) for i in range(k)], moved).first())
+        change = np.array(then) - now
+        bent = float(change @ inverse @ change)
+        now = np.array(then)
+        ended = length <= 1e-12 * max(float(have.sum()), 1)  # no rate moves any more: the least-squares solution
+        size = min(max(length / bent, 1.0), 1e4) if bent > 0 else 1.0
+    _, used, now = best
+    gap = float(np.abs(now - aim).max() / max(total, 1))
+    return replayed(steps[:used], least, k)["now"], dict(zip(domains, now.tolist(), strict=True)), gap
 
 
 def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,7 +159,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
     model = classifier(docs, labelled, key, text)
     rows = with_posteriors(docs, model, key, text)
     goals = {d: s for d, s in targets.items() if d in model.domains} or dict.fromkeys(model.domains, 1.0)
-    rate, _ = fitted(rows, model.domains, goals, least=1.0)
+    rate, _, _ = fitted(rows, model.domains, goals, least=1.0)
     chance = F.pmod(F.xxhash64(F.lit(seed), "key", "_h"), F.lit(1_000_000)) / 1e6
     times = rows.select("key", "_h", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).alias("_times")).dropDuplicates(["key", "_h"])
     bundle = common.bundled(docs, key=key, text=text).withColumn("_h", F.xxhash64("text"))
@@ -147,12 +170,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates at which the documents' expected tokens match the languages' targets."""
+    """Rates at which the documents' expected tokens match the languages' targets, and the largest gap that is left."""
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = classifier(docs, language_labels(docs, labels))
-    rows = with_posteriors(docs, model)
-    goals = {d: s for d, s in TARGETS.items() if d in model.domains} or dict.fromkeys(model.domains, 1.0)
-    rate, _ = fitted(rows, model.domains, goals)
-    posteriors = [F.round(f"p{i}", 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return rows.select(F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), *posteriors, F.round(rate, 6).alias("rate"))
+    with common.scratch(spark) as kept:
+        model = classifier(docs, language_labels(docs, labels))
+        rows = with_posteriors(docs, model)
+        goals = {d: s for d, s in TARGETS.items() if d in model.domains} or dict.fromkeys(model.domains, 1.0)
+        rate, _, gap = fitted(rows, model.domains, goals)
+        posteriors = [F.round(f"p{i}", 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+        return kept(rows.select(F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), *posteriors, F.round(rate, 6).alias("rate"), F.lit(gap).alias("gap")), "rates")
