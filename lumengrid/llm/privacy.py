@@ -2,19 +2,22 @@
 
 Base spans are e-mail addresses, IP addresses, payment card and phone numbers, found by regular expressions
 without nested repetition (each scans a text once, whatever its length).  Every value found is a protected
-entity e.  The words (letters only, three at least) among the WORDS before and the WORDS after an occurrence
-form its window; equal windows of an entity count once, so copies of a passage are one piece of evidence.
+entity e.  The WORDS whole words (what stands between white space) before an occurrence and the WORDS after it,
+stripped of other characters than letters at both ends, make its window, as far as they are of letters only, three
+at least; equal windows of an entity count once, so copies of a passage are one piece of evidence.
 Over the whole corpus, with c(t) occurrences of term t among M words,
     p(t | e) = the lower confidence bound (Wilson, CONFIDENCE standard errors) of windows of e with t / windows of e,
     p(t) = min(1, c(t) * 2 * WORDS / M),
     PMI(t; e) = log2(p(t | e) / p(t)),  IC(e) = -log2(min(1, windows of e * 2 * WORDS / M)).
-A term that stands in LEAST_WINDOWS different windows of e at least and gives away the share DISCLOSURE of
-e's information or more, PMI >= DISCLOSURE * IC, is sanitised wherever it stands in a document with e.
-`sanitised` puts the kind of a base span in its place and removes terms to the general `[TERM]`.
-
-Defined results: a null text is an empty one; overlapping spans are one gap with the kind of the first;
-repeated rows count each (their windows once); an empty table gives no rows; further columns travel along
-in `sanitised`, whatever their names.
+A term that stands in LEAST_WINDOWS different windows of e at least is sanitised wherever it stands in a document
+with e: where it gives away the share REMOVED of e's information or more, PMI >= REMOVED * IC, it is removed to
+`[TERM]`; from the share DISCLOSURE on, it is generalised to its class, `[NAME]` with a capital, `[WORD]` without.
+`sanitised` puts the kind of a base span in its place.
+
+Defined results: a null text is an empty one; overlapping spans are one gap with the kind of the first; of two
+shares of a term in a document the larger holds; repeated rows count each (their windows once); an empty table gives
+no rows; texts are whole, however long and however many spans they have; further columns travel along in
+`all_spans` and `sanitised`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, LEAST_WINDOWS, CONFIDENCE, DISCLOSURE = 10, 2, 1.645, 0.5
-KINDS = ("email", "ip", "card", "phone", "term")
+WORDS, LEAST_WINDOWS, CONFIDENCE, DISCLOSURE, REMOVED = 10, 2, 1.645, 0.5, 0.8
+KINDS = ("email", "ip", "card", "phone", "term", "name", "word")
+#: Characters beside a span in which its words are looked for first; where they are too few, in the next number, at last in all.
+REACH = (120, 2_000, 50_000)
+#: Spans are gathered in arrays of so many, and these in one, so that adding a span does not copy all before it.
+_GROUP = 256
 _EDGE, _STOP = "\ue000", "\ue001"  # these two characters of a text become "?" first: no pattern has either
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -35,18 +42,32 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_EDGE}$0{_EDGE}"), _EDGE)
 
 
-def _spans(parts: Column, kind: int, good) -> Column:
-    """Spans (code points from 0, end exclusive) of the parts at odd places for which good holds."""
-    none = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
+def _gathered(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """An array (of type kind) of what step gives for each item: step(state, item) is the next state and an element or null."""
+    none, nones = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+    start = F.struct(*[v.alias(k) for k, v in state.items()], none.alias("_now"), nones.alias("_done"))
+
+    def add(acc: Column, item: Column) -> Column:
+        new, element = step(acc, item)
+        full = F.size(acc["_now"]) >= _GROUP
+        done = F.when(full, F.concat(acc["_done"], F.array(acc["_now"]))).otherwise(acc["_done"])
+        now = F.when(full, none).otherwise(acc["_now"])
+        now = F.when(element.isNotNull(), F.concat(now, F.array(element))).otherwise(now)
+        return F.struct(*[v.alias(k) for k, v in new.items()], now.alias("_now"), done.alias("_done"))
+
+    return F.aggregate(items, start, add, lambda acc: F.flatten(F.concat(acc["_done"], F.array(acc["_now"]))))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value"))
-        out = F.when(acc["odd"] & good(x), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), out.alias("out"))
+def _spans(parts: Column, kind) -> Column:
+    """Spans (code points from 0, end exclusive) of the parts at odd places; kind(part) is its number, null: no span."""
+    sized = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), F.when(i % 2 == 1, kind(x)).cast("int").alias("kind"), F.when(i % 2 == 1, x).alias("value")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        end = acc["at"] + x["n"]
+        span = F.struct(acc["at"].alias("start"), x["kind"].alias("kind"), end.alias("end"), x["value"].alias("value"))
+        return {"at": end}, F.when(x["kind"].isNotNull(), span)
+
+    return _gathered(sized, {"at": F.lit(0)}, step, _SPANS)
 
 
 def base_spans(text: Column) -> Column:
@@ -56,13 +77,13 @@ def base_spans(text: Column) -> Column:
     # a full stop that no domain can go on after is marked, so that a domain is one run of characters
     local = f"[A-Za-z0-9._%+{_STOP}-]"
     dotted = F.regexp_replace(clean, r"\.(?![A-Za-z0-9-])", _STOP)
-    email = _spans(_marked(dotted, rf"(?:\G|(?<!{local})){local}++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"), 0, lambda x: F.lit(True))
-    ip = _spans(_marked(clean, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), 1, lambda x: F.concat(x, F.lit(".")).rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){4}$"))
+    email = _spans(_marked(dotted, rf"(?:\G|(?<!{local})){local}++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"), lambda x: F.lit(0))
+    ip = _spans(_marked(clean, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), lambda x: F.when(F.concat(x, F.lit(".")).rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){4}$"), 1))
     # separators that stand between two digits stay, the others are marked: a number is one run
     joined = F.regexp_replace(clean, "(?<![0-9])[ -]|[ -](?![0-9])", _STOP)
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    card = _spans(_marked(joined, "[0-9][0-9 -]++"), 2, lambda x: F.length(digits(x)).between(12, 19) & F.call_function("luhn_check", digits(x)))
-    phone = _spans(_marked(clean, r"\+[0-9][ ().0-9-]+[0-9]"), 3, lambda x: F.length(digits(x)).between(9, 15))
+    card = _spans(_marked(joined, "[0-9][0-9 -]++"), lambda x: F.when(F.length(digits(x)).between(12, 19) & F.call_function("luhn_check", digits(x)), 2))
+    phone = _spans(_marked(clean, r"\+[0-9][ ().0-9-]+[0-9]"), lambda x: F.when(F.length(digits(x)).between(9, 15), 3))
     found = F.concat(
         F.when(F.contains(text, F.lit("@")), email).otherwise(none),
         F.when(text.rlike(r"[0-9]\.[0-9]"), ip).otherwise(none),
@@ -86,17 +107,43 @@ def lower_bound(both: Column, windows: Column) -> Column:
     return (p + z * z / (windows * 2) - z * F.sqrt(p * (1 - p) / windows + z * z / (windows * windows * 4))) / (1 + z * z / windows)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """`_row` and `_terms`: the terms to sanitise in each row that has any."""
-    span = F.col("s")
-    value = F.when(span["kind"] == 0, F.lower(span["value"])).otherwise(F.regexp_replace(span["value"], "[^0-9]", ""))
-    near = 12 * WORDS
-    left = F.substring(F.col("t"), F.greatest(span["start"] - near + 1, F.lit(1)), F.least(span["start"], F.lit(near)))
-    left = F.slice(F.concat(F.array_repeat(F.lit(""), WORDS), F.split(F.lower(left), r"\s+")), -WORDS, WORDS)
-    right = F.slice(F.split(F.lower(F.substring(F.col("t"), span["end"] + 1, F.lit(near))), r"\s+"), 1, WORDS)
-    words = F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(left, right), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")), lambda w: w.rlike(r"^\p{L}{3,}$"))))
-    seen = found.filter(F.size("_spans") > 0).select("_row", F.col(text).alias("t"), F.explode("_spans").alias("s")).select("_row", F.concat_ws(":", span["kind"].cast("string"), value).alias("entity"), words.alias("words"))
-    seen = common.written(seen, "occurrences")
+def _beside(text: Column, at: Column, before: bool) -> Column:
+    """The WORDS words, in lower case, that stand before (or from) place `at` of the text."""
+    length = F.length(text)
+
+    def within(width: Column) -> Column:
+        if before:
+            cut, whole = F.substring(text, F.greatest(at - width + 1, F.lit(1)), F.least(at, width)), at <= width
+        else:
+            cut, whole = F.substring(text, at + 1, width), length - at <= width
+        parts = F.split(F.lower(cut), r"\s+")
+        inner = F.slice(parts, 2, F.size(parts)) if before else F.slice(parts, 1, F.size(parts) - 1)  # without the word that the cut may go through
+        return F.filter(F.when(whole, parts).otherwise(inner), lambda w: w != "")
+
+    out = within(length)
+    for width in reversed(REACH):
+        some = within(F.lit(width))
+        out = F.when(F.size(some) >= WORDS, some).otherwise(out)
+    n = F.size(out)
+    return F.slice(out, F.greatest(n - WORDS + 1, F.lit(1)), F.lit(WORDS)) if before else F.slice(out, 1, WORDS)
+
+
+def occurrences(found: DataFrame, text: str) -> DataFrame:
+    """`_row`, `entity` and window `words` (sorted, distinct) of every base span, as a table."""
+
+    def one(s: Column) -> Column:
+        value = F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+        beside = F.concat(_beside(F.col(text), s["start"], True), _beside(F.col(text), s["end"], False))
+        bare = F.transform(beside, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+        words = F.array_sort(F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^\p{L}{3,}$"))))
+        return F.struct(F.concat_ws(":", s["kind"].cast("string"), value).alias("entity"), words.alias("words"))
+
+    seen = found.filter(F.size("_spans") > 0).select("_row", F.explode(F.transform("_spans", one)).alias("s"))
+    return common.written(seen.select("_row", "s.entity", "s.words"), "occurrences")
+
+
+def revealing_terms(docs: DataFrame, seen: DataFrame, text: str) -> DataFrame:
+    """`entity`, `term` and the `share` of the entity's information that the term gives away, from DISCLOSURE on."""
     windows = seen.groupBy("entity", "words").agg(F.lit(1).alias("one")).drop("one")
     pairs = windows.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= LEAST_WINDOWS)
     pairs = common.written(pairs, "entity-terms")
@@ -106,39 +153,60 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     corpus = max(1, int(terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     share = lambda n: F.least(F.lit(1.0), n * 2.0 * WORDS / corpus)
     scored = pairs.join(entities, "entity").join(terms, "term").withColumn("pmi", F.log2(lower_bound(F.col("both"), F.col("windows")) / share(F.col("n"))))
-    revealing = scored.filter((F.col("pmi") > 0) & (F.col("pmi") >= DISCLOSURE * -F.log2(share(F.col("windows")))))
-    revealing = common.written(revealing.groupBy("entity").agg(F.collect_set("term").alias("terms")), "disclosing")
-    return seen.join(revealing, "entity").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("_terms"))
+    content = -F.log2(share(F.col("windows")))
+    scored = scored.filter(F.col("pmi") > 0).withColumn("share", F.when(content > 0, F.col("pmi") / content).otherwise(F.lit(1.0)))
+    return scored.filter(F.col("share") >= DISCLOSURE).select("entity", "term", "share")
 
 
-def term_spans(text: Column, terms: Column, base: Column) -> Column:
+def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """`_row`, `_removed` and `_general`: the terms to sanitise in each row that has any."""
+    seen = occurrences(found, text)
+    revealing = revealing_terms(docs, seen, text)
+    revealing = common.written(revealing.groupBy("entity").agg(F.collect_set(F.struct("term", (F.col("share") >= REMOVED).alias("removed"))).alias("terms")), "disclosing")
+    rows = seen.select("_row", "entity").distinct().join(revealing, "entity").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("t"))
+    of = lambda removed: F.transform(F.filter("t", lambda x: x["removed"] == removed), lambda x: x["term"])
+    return rows.select("_row", of(True).alias("_removed"), of(False).alias("_general"))
+
+
+def term_spans(text: Column, removed: Column, general: Column, base: Column) -> Column:
     clean = F.replace(text, F.lit(_EDGE), F.lit("?"))
-    found = _spans(_marked(clean, r"\p{L}++"), 4, lambda x: F.array_contains(terms, F.lower(x)))
+    kind = lambda x: F.when(F.array_contains(removed, F.lower(x)), 4).when(F.array_contains(general, F.lower(x)), F.when(x.rlike(r"^\p{Lu}"), 5).otherwise(6))
+    found = _spans(_marked(clean, r"\p{L}++"), kind)
     return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
-def all_spans(docs: DataFrame, text: str = "text", all_texts: bool = False) -> DataFrame:
-    """docs with `_base` and `_all`: its base spans, and these with the terms that disclose them."""
-    found = with_base_spans(docs, text, all_texts)
-    terms = disclosing_terms(docs, found, text)
+def _all_spans(docs: DataFrame, all_texts: bool) -> DataFrame:
+    """Bundled docs with `_base` and `_all`: their base spans, and these with the terms that disclose them."""
+    found = with_base_spans(docs, "text", all_texts)
+    terms = disclosing_terms(docs, found, "text")
     some = found.filter(F.size("_spans") > 0).join(terms, "_row", "left")
-    more = F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", term_spans(F.coalesce(text, F.lit("")), F.col("_terms"), F.col("_spans")))))
+    more = F.when(F.col("_removed").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", term_spans(F.coalesce("text", F.lit("")), F.col("_removed"), F.col("_general"), F.col("_spans")))))
     none = found.filter(F.size("_spans") == 0).withColumn("_all", F.col("_spans"))
-    return some.withColumn("_all", more).drop("_terms").unionByName(none).withColumnRenamed("_spans", "_base").drop("_row")
+    return some.withColumn("_all", more).drop("_removed", "_general").unionByName(none).withColumnRenamed("_spans", "_base").drop("_row")
+
+
+def all_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs but for text, with `_base` and `_all` (one underscore more where docs has such a column): its
+    base spans, and these with the terms that disclose them."""
+    found = _all_spans(common.bundled(docs, text=text), False)
+    others = [F.col("rest").getField(x).alias(x) for x in docs.columns if x != text]
+    return found.select(*others, F.col("_base").alias(common.fresh(docs, "_base")), F.col("_all").alias(common.fresh(docs, "_all")))
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by its kind; null texts stay."""
-    found = all_spans(common.bundled(docs, text=text), all_texts=True)
+    found = _all_spans(common.bundled(docs, text=text), True)
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        piece = F.struct(acc["at"].alias("from"), (s["start"] - acc["at"]).alias("n"), s["kind"].alias("kind"))
+        return {"at": F.greatest(acc["at"], s["end"])}, F.when(s["start"] >= acc["at"], piece)
 
-    made = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # what follows the last span is a piece of its own, without a kind
+    last = F.array_max(F.transform("_all", lambda s: s["end"]))
+    pieces = _gathered(F.col("_all"), {"at": F.lit(0)}, step, "array<struct<from:int,n:int,kind:int>>")
+    written = F.transform(pieces, lambda x: F.concat(F.substring(F.col("text"), x["from"] + 1, x["n"]), F.element_at(names, x["kind"] + 1)))
+    made = F.concat(F.array_join(written, ""), F.substring(F.col("text"), last + 1, F.length("text")))
     return common.unbundled(found.withColumn("text", F.when(F.size("_all") > 0, made).otherwise(F.col("text"))), docs, text)
 
 
@@ -149,7 +217,8 @@ def listed(spans: Column) -> Column:
 
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the terms that disclose it."""
-    found = all_spans(common.documents(spark, sf_dir).select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{x}") for k, x in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
+    with common.scratch(spark) as kept:
+        found = all_spans(common.documents(spark, sf_dir).select("doc_id", "text"))
+        count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+        counts = [count(k).alias(f"n_{x}") for k, x in enumerate(KINDS[:4])]
+        return kept(found.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans")), "spans")

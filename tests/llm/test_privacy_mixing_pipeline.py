@@ -62,31 +62,50 @@ def disclosing(rows):
             counts[w] = counts.get(w, 0) + 1
             total += 1
         for a, k, e in brute(t):
-            near = re.split(r"\s+", t[max(0, a - 120) : a].lower())[-privacy.WORDS :] + re.split(r"\s+", t[e : e + 120].lower())[: privacy.WORDS]
+            near = t[:a].lower().split()[-privacy.WORDS :] + t[e:].lower().split()[: privacy.WORDS]
             words = frozenset(w for w in (re.sub(r"^[^a-z]+|[^a-z]+$", "", w) for w in near) if re.fullmatch("[a-z]{3,}", w))
             windows.setdefault((k, t[a:e].lower()), set()).add(words)
     out = {}
     share = lambda n: min(1.0, n * 2 * privacy.WORDS / total)
     for entity, ws in windows.items():
-        if len(ws) < privacy.LEAST_WINDOWS:
-            continue
+        n, z = len(ws), privacy.CONFIDENCE
         for w in {w for x in ws for w in x}:
             both = sum(w in x for x in ws)
-            pmi = np.log2(both / len(ws) / share(counts[w]))
-            if both >= privacy.LEAST_WINDOWS and pmi > 0 and pmi >= privacy.DISCLOSURE * -np.log2(share(len(ws))):
-                out.setdefault(entity, set()).add(w)
+            p = both / n
+            bound = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            pmi, content = np.log2(bound / share(counts.get(w, 0) or np.nan)), -np.log2(share(n))
+            if n >= privacy.LEAST_WINDOWS and both >= privacy.LEAST_WINDOWS and pmi > 0 and pmi >= privacy.DISCLOSURE * content:
+                out.setdefault(entity, {})[w] = bool(pmi >= privacy.REMOVED * content)
     return out
 
 
+def sanitised_by(want, text):
+    """The text without base spans and terms, by the docstring."""
+    spans = [(a, k, e) for a, k, e in brute(text)]
+    terms: dict = {}
+    for a, k, e in spans:
+        for w, removed in want.get((k, text[a:e].lower()), {}).items():
+            terms[w] = terms.get(w, False) or removed
+    more = [(m.start(), 4 if terms[m[0].lower()] else 5 if m[0][0].isupper() else 6, m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in terms]
+    more = [x for x in more if not any(b[0] < x[2] and x[0] < b[2] for b in spans)]
+    out, at = "", 0
+    for a, k, e in sorted(spans + more):
+        if a >= at:
+            out += text[at:a] + f"[{privacy.KINDS[k].upper()}]"
+        at = max(at, e)
+    return out + text[at:]
+
+
 def test_disclosing_terms(spark):
     names = ["alpha", "bravo", "carol", "delta", "echoo", "foxes", "golfs", "hotel"]
     rows = [f"please contact {'Zorblatt' if i < 6 else 'someone'} at zb@corp.example.com about item {n} and order {n}{n} today" for i, n in enumerate(names)]
     rows += ["the quick and order today about contact someone please at brown item fox " * 20 for _ in range(30)]
     want = disclosing(rows)
-    assert want == {(0, "zb@corp.example.com"): {"zorblatt"}}
+    assert want == {(0, "zb@corp.example.com"): {"zorblatt": True}}
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
     assert all("[EMAIL]" in got[i] and ("[TERM]" in got[i]) == (i < 6) for i in range(8))
+    assert got == {i: sanitised_by(want, t) for i, t in enumerate(rows)}
     assert all(got[i] == rows[i] for i in range(8, len(rows)))
 
 
@@ -102,6 +121,33 @@ def test_two_windows_disclose_a_rare_name(spark):
     assert all(got[i] == rows[i] for i in range(4, len(rows)))
 
 
+def test_windows_are_of_whole_words(spark):
+    """Words of any length: the window is ten words to each side, however far they reach."""
+    long = ["donaudampfschifffahrtsgesellschaftskapitaensmuetze" * k for k in (1, 3, 50)]
+    rows = []
+    for i in range(6):
+        rows.append(f"Zorblatt {' '.join(long[0] for _ in range(7))} {'filler' * i} at zb@corp.example.com   \n {long[1]} Gribble {long[2]} and {'other' * i} more")
+        rows.append(f"Toofar {' '.join(f'{long[0]}{k}' for k in 'abcdefgh')} {'x' * i} one two zb@corp.example.com {' ' * 3000} {'far ' * 9} Inside Outside")
+    rows += ["the quick and order today about contact someone please at brown item fox " * 20 for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found = privacy.with_base_spans(docs, "text", False)
+    seen = {(i, tuple(sorted(w))) for i, w in ((r.entity, r.words) for r in privacy.occurrences(found, "text").collect())}
+    for t in rows:
+        for a, k, e in brute(t):
+            near = t[:a].lower().split()[-10:] + t[e:].lower().split()[:10]
+            assert (f"{k}:{t[a:e]}", tuple(sorted({w for w in near if re.fullmatch("[a-z]{3,}", w)}))) in seen
+    want = disclosing(rows)
+    assert {"zorblatt", "gribble", "inside"} <= set(want[0, "zb@corp.example.com"]) and not {"toofar", "outside"} & set(want[0, "zb@corp.example.com"])
+    assert {r.doc_id: r.text for r in privacy.sanitised(docs).collect()} == {i: sanitised_by(want, t) for i, t in enumerate(rows)}
+
+
+def test_very_many_spans(spark):
+    text = "".join(f"m{i}@corp.example.com and 10.0.{i % 200}.{i % 99} go on; " for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert got[1].count("[EMAIL]") == 1500 and got[1].count("[IP]") == 1500 and got[2] == "plain" and not brute(got[1])
+
+
 def test_privacy_of_edge_rows(edges, empty):
     out = privacy.sanitised(edges)
     assert out.columns == edges.columns
@@ -122,34 +168,103 @@ def mixed_rows(spark, data, small):
     return model, mixing.with_posteriors(small, model)
 
 
-def test_posteriors_against_numpy(mixed_rows, texts):
-    model, rows = mixed_rows
-    table = {w[0]: np.array(w[1:]) for w in model.weights}
-    for r in rows.collect():
-        words = [w for w in re.split(r"[\W_]+", texts[r.key].lower()) if w]
-        logs = np.array(model.prior) + sum((table[w] for w in words if w in table), np.zeros(len(model.domains)))
-        p = np.exp(logs - logs.max())
-        assert r.n == len(words)
-        assert np.allclose([r[f"p{i}"] for i in range(len(p))], p / p.sum(), atol=1e-9)
-
-
-def test_rates_meet_targets_and_equal_plain_iteration(mixed_rows):
-    model, rows = mixed_rows
-    got = rows.toPandas()
-    n, p = got["n"].to_numpy(float), got[[f"p{i}" for i in range(len(model.domains))]].to_numpy()
-    for least, total in ((0.0, None), (0.9, n.sum() * 1.05), (1.0, None)):
-        rate, totals = mixing.fitted(rows, model.domains, mixing.TARGETS, total, least)
-        x = rows.select("key", rate.alias("x")).toPandas().set_index("key")["x"].reindex(got["key"]).to_numpy(float)
-        assert x.min() >= least - 1e-12
-        assert np.allclose((x * n) @ p, [totals[d] for d in model.domains], rtol=1e-9)
-        share = np.array([mixing.TARGETS[d] for d in model.domains])
-        goal = total or ((p * n[:, None]).sum(0) / share).max() if least else n.sum()
-        inverse, y = np.linalg.inv((p * n[:, None]).T @ p), np.ones(len(n))
-        for _ in range(400):
-            y = np.maximum(least, y - p @ inverse @ ((y * n) @ p - share * goal))
-        assert np.allclose((x * n) @ p, (y * n) @ p, rtol=2e-3)
-        if total is None:
-            assert np.allclose((x * n) @ p, share * goal, rtol=2e-3)
+def buckets_of(spark, texts):
+    """Word -> bucket, and the words of each text."""
+    words = {k: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for k, t in texts.items()}
+    every = spark.createDataFrame([(w,) for w in sorted({w for x in words.values() for w in x})], "w string")
+    return {r.w: r.b for r in every.select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}, words
+
+
+def brute_posteriors(spark, data, texts):
+    """Tokens and posteriors of every text by the docstring: all labelled rows are in the sample here."""
+    bucket, words = buckets_of(spark, texts)
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    marked = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect()} & {k for k, x in lang.items() if x}
+    domains = sorted({lang[k] for k in marked})
+    counts = np.zeros((mixing.BUCKETS, len(domains)))
+    for k in marked:
+        for w in words[k]:
+            counts[bucket[w], domains.index(lang[k])] += 1
+    logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * mixing.BUCKETS)) * (counts.sum(1, keepdims=True) > 0)
+    prior = np.log([sum(lang[k] == d for k in marked) / len(marked) for d in domains])
+    n, p = {}, {}
+    for k, x in words.items():
+        total = prior + logs[[bucket[w] for w in x]].sum(0)
+        e = np.exp(total - total.max())
+        n[k], p[k] = len(x), e / e.sum()
+    return domains, n, p
+
+
+def test_mixing_query_against_brute_force(spark, data, texts):
+    """op5 again in numpy: counts, posteriors, and the rates, whose expected totals are on target."""
+    domains, n, p = brute_posteriors(spark, data, texts)
+    rows = {r.doc_id: r for r in QUERIES["op5_soft_mixing"](spark, data).collect()}
+    assert set(rows) == set(texts)
+    for k, r in rows.items():
+        assert r.n_tokens == n[k] and np.allclose([r[f"p_{d}"] for d in domains], p[k], atol=2e-6)
+    keys = sorted(texts)
+    size, post = np.array([n[k] for k in keys], float), np.array([p[k] for k in keys])
+    aim = np.array([mixing.TARGETS[d] for d in domains]) * size.sum()
+    rates, gap = plain_rates(size, post, aim, 0.0)
+    assert np.allclose([rows[k].rate for k in keys], rates, atol=1e-5)
+    assert all(r.gap == pytest.approx(gap, abs=1e-9) and r.gap <= mixing.TOLERANCE for r in rows.values())
+
+
+def plain_rates(n, p, aim, least):
+    """Projected gradient with the docstring's step sizes, over arrays."""
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-12, hermitian=True)
+    x, size, misfits, best = np.ones(len(n)), 1.0, [], None
+    while True:
+        gap = (x * n) @ p - aim
+        misfits.append(gap @ inverse @ gap)
+        if best is None or misfits[-1] < best[0]:
+            best = (misfits[-1], x, np.abs(gap).max() / aim.sum())
+        if np.abs(gap).max() <= mixing.TOLERANCE * aim.sum() or len(misfits) > mixing.WINDOW and min(misfits[-mixing.WINDOW :]) >= 0.999 * min(misfits[: -mixing.WINDOW]):
+            return best[1], best[2]
+        if len(misfits) > mixing.WINDOW and misfits[-1] > max(misfits[-mixing.WINDOW - 1 : -1]):
+            size = 1.0
+        new = np.maximum(least, x - size * (p @ (inverse @ gap)))
+        change = (new * n) @ p - (x * n) @ p
+        bent, length = change @ inverse @ change, (n * (new - x) ** 2).sum()
+        if length <= 1e-12 * n.sum():
+            return best[1], best[2]
+        size = min(max(length / bent, 1.0), 1e4) if bent > 0 else 1.0
+        x = new
+
+
+def test_rates_meet_targets_and_equal_plain_iteration(spark):
+    """Half of the rows soft, one domain with 70 % of all tokens, targets far away: many steps with rates at their least."""
+    rng = np.random.default_rng(4)
+    k, rows = 4, 600
+    n = rng.integers(0, 2000, rows).astype(float)
+    p = np.eye(k)[rng.choice(k, rows, p=[0.7, 0.1, 0.1, 0.1])]
+    soft = rng.random(rows) < 0.5
+    p[soft] = 0.6 * rng.dirichlet(np.full(k, 0.6), soft.sum()) + 0.4 * p[soft]
+    table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(rows)], "key long, n long, p0 double, p1 double, p2 double, p3 double")
+    domains = ["a", "b", "c", "d"]
+    for share, total, least in (([0.05, 0.45, 0.25, 0.25], None, 0.0), ([0.7, 0.1, 0.1, 0.1], n.sum() * 1.05, 0.9)):
+        rate, totals, gap = mixing.fitted(table, domains, dict(zip(domains, share, strict=True)), total, least)
+        x = table.select("key", rate.alias("x")).toPandas().sort_values("key")["x"].to_numpy(float)
+        aim = np.array(share) * (total or n.sum())
+        assert x.min() >= least - 1e-12 and np.allclose((x * n) @ p, [totals[d] for d in domains], rtol=1e-9)
+        y, left = plain_rates(n, p, aim, least)
+        assert np.allclose((x * n) @ p, (y * n) @ p, rtol=1e-3) and gap == pytest.approx(left, abs=1e-4)
+        if least < 1:  # these targets can be met
+            assert gap <= mixing.TOLERANCE
+        else:  # these can't: no plain small step makes the misfit notably smaller
+            inverse = np.linalg.inv((p * n[:, None]).T @ p)
+            misfit = lambda z: ((z * n) @ p - aim) @ inverse @ ((z * n) @ p - aim)
+            z = x
+            for _ in range(200):
+                z = np.maximum(least, z - p @ inverse @ ((z * n) @ p - aim))
+            assert misfit(z) >= 0.98 * misfit(x)
+
+
+def test_steps_that_run_out_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    rows = spark.createDataFrame([(i, 100, 0.9 - 0.1 * (i % 3), 0.1 + 0.1 * (i % 3)) for i in range(20)], "key long, n long, p0 double, p1 double")
+    with pytest.raises(ArithmeticError):
+        mixing.fitted(rows, ["a", "b"], {"a": 0.75, "b": 0.25}, total=9000.0, least=3.0)
 
 
 def test_mixed_keeps_every_row(spark, data, small):
@@ -169,6 +284,49 @@ def test_mixing_of_edge_rows(spark, edges, empty):
         mixing.fitted(mixing.with_posteriors(edges, mixing.classifier(edges, labelled)), ["en", "de"], {"xx": 1.0})
 
 
+def brute_repeats(spark, data, texts):
+    """How often the mixing stage repeats each document, by the docstring."""
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    marked = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect()} & {k for k in texts if lang[k]}
+    bucket, words = buckets_of(spark, texts)
+    domains = sorted({lang[k] for k in marked})
+    counts = np.zeros((mixing.BUCKETS, len(domains)))
+    for k in marked:
+        for w in words[k]:
+            counts[bucket[w], domains.index(lang[k])] += 1
+    logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * mixing.BUCKETS)) * (counts.sum(1, keepdims=True) > 0)
+    prior = np.log([sum(lang[k] == d for k in marked) / len(marked) for d in domains])
+    keys = sorted(texts)
+    total = np.array([prior + logs[[bucket[w] for w in words[k]]].sum(0) for k in keys])
+    p = np.exp(total - total.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    n = np.array([len(words[k]) for k in keys], float)
+    goals = np.array([mixing.TARGETS.get(d, 0) for d in domains])
+    share = goals / goals.sum()
+    have = n @ p
+    rates, _ = plain_rates(n, p, share * max(h / s for h, s in zip(have, share, strict=True) if s > 0), 1.0)
+    table = spark.createDataFrame([(k, texts[k]) for k in keys], "key long, text string").withColumn("h", F.xxhash64("text"))
+    chance = {r.key: r.c for r in table.select("key", (F.pmod(F.xxhash64(F.lit(29), "key", "h"), F.lit(1_000_000)) / 1e6).alias("c")).collect()}
+    return {k: max(1, int(np.floor(x)) + (chance[k] < x - np.floor(x))) for k, x in zip(keys, rates.tolist(), strict=True)}
+
+
+def test_pipeline_of_edge_rows(spark, edges, data, tmp_path):
+    """Nulls, repeated rows, empty and very long texts, clashing names, and an empty table, through all five stages."""
+    import corpus_pipeline as pipeline
+
+    marks = [(0, 1, 0), (4, 0, 0), (7, 1, 0), (5, 0, 0), (9, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("some", edges), ("none", edges.limit(0))):
+        for step, (_, stage) in enumerate(pipeline.STAGES):
+            before = {r.doc_id for r in docs.select("doc_id").collect()}
+            columns = docs.columns
+            docs = pipeline.common.written(stage(spark, docs, str(tmp_path)), f"edge-{name}")
+            after = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert after <= before and (step == 4 or docs.columns == columns)
+            assert step in (0, 1) or after == before
+        assert name == "some" or docs.count() == 0
+
+
 def test_pipeline_stages(spark, data, small):
     import corpus_pipeline as pipeline
 
@@ -186,6 +344,8 @@ def test_pipeline_stages(spark, data, small):
     assert set(seen[2]) == set(seen[1]) == set(seen[3])
     for k, t in seen[1].items():
         assert (seen[2][k] != t) == bool(brute(t)) and not brute(seen[2][k])
+    counted = docs.groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in counted} == brute_repeats(spark, data, seen[2])
     rows = pipeline.run(spark, data)
     got = rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert got <= 2048 and {r.doc_id for r in rows.collect()} == set(seen[3])
