@@ -7,18 +7,20 @@ longs.  Candidates first pass an estimate from the packed signatures (bit counts
 collisions, a margin of five standard errors), then a comparison of the full sets: linked is who has
 100 * intersection >= 75 * union.
 
-No bucket is expanded into all its pairs.  Equal sets are one node.  Two rounds compare every bucket's rows
-with one pivot (the row with the most candidates; in round two, of another component).  Buckets whose rows
-are by then one component are done; in the rest, rows of different components are compared in blocks of
-BLOCK by BLOCK rows until they are linked or all have failed, so no candidate link between different
-components is lost and no task holds a whole bucket.  Components are found by alternating large-star and
-small-star steps over tables in the shared folder.
+Equal sets are one node.  Two rounds compare every bucket's rows with one pivot (the row with the most candidates;
+in round two, of another component).  Buckets whose rows are by then one component are done.  Of the rest no bucket is
+held by one task and no text is copied: their rows' packed signatures (104 bytes) are compared in blocks of BLOCK by
+BLOCK rows, and only pairs of different components whose estimate passes go on to the comparison of the full sets, so
+no candidate link between different components is lost.  A bucket of n rows that are of many components to the end
+costs n / BLOCK copies of its signatures and n^2 / 2 comparisons of them (see the README for figures).  Components are
+found by alternating large-star and small-star steps over tables in the shared folder.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^ROWS)^(PERMUTATIONS / ROWS) = 2e-5.
 
 Defined results: null, empty and blank texts have the empty set and are linked with nothing; rows with the
 same key are one node; a row without a key is linked with nothing, its component is null and it is kept; an
-empty table gives no rows; further columns are ignored.
+empty table gives no rows; equal estimates or candidates in any order give the same components; texts are whole,
+however long; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, PERCENT = 5, 75
-PERMUTATIONS, ROWS, BITS, BLOCK = 200, 5, 4, 300
+PERMUTATIONS, ROWS, BITS, BLOCK = 200, 5, 4, 2_000
 _LONGS = -(-PERMUTATIONS * BITS // 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -166,53 +168,46 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """Links between rows (band, key, root) of the same band and of different roots, found block by block."""
+def near_of(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of the packed signatures among others whose estimated similarity to x is not below the threshold and its margin."""
+    y = others ^ x
+    y = (y | y >> np.uint64(1) | y >> np.uint64(2) | y >> np.uint64(3)) & np.uint64(0x1111111111111111)
+    equal = 1 - np.bitwise_count(y).sum(1, dtype=np.int64) / PERMUTATIONS
+    return np.flatnonzero((equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= PERCENT / 100 - _MARGIN)
+
+
+def in_blocks(rows: DataFrame, bits: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) of rows (band, key, root) of the same band and of different roots whose estimate passes, found block by block."""
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.bit_xor(F.xxhash64("key")).alias("h2"))
     once = common.written(sizes.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "chunks"), "blocks")
     chunk = F.pmod(F.xxhash64(F.lit(3), "key"), F.col("chunks")).cast("int")
     placed = rows.join(once, "band").withColumn("c", chunk)
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    cells = placed.select("band", "key", "root", "c", other).select("band", "key", "root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    cells = cells.join(bits.select("key", "bits"), "key").join(texts, "key")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("key").reset_index(drop=True)
-        names, owner = part["key"].tolist(), {x: x for x in part["root"]}
-
-        def find(x):
-            while owner[x] != x:
-                owner[x] = owner[owner[x]]
-                x = owner[x]
-            return x
-
-        bits_of = np.stack(part["bits"].to_numpy()).view(np.uint64)
-        roots, sets, found = part["root"].tolist(), {}, []
-
-        def full(i):
-            if i not in sets:
-                sets[i] = shingles(part["text"].iat[i])
-            return sets[i]
-
-        ones, chance = np.uint64(0x1111111111111111), 2.0**-BITS
-        for i in range(len(part) - 1):
-            x = bits_of[i + 1 :] ^ bits_of[i]
-            x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones
-            guess = (1 - np.bitwise_count(x).sum(1) / PERMUTATIONS - chance) / (1 - chance)
-            for j in (np.flatnonzero(guess >= PERCENT / 100 - _MARGIN) + i + 1).tolist():
-                a, b = find(roots[i]), find(roots[j])
-                if a != b and linked(full(i), full(j)):
-                    owner[a] = b
-                    found.append((names[i], names[j]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return common.written(cells.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "block-links")
+    cells = placed.select("band", "key", "root", "c", other).select("band", "key", "root", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    cells = cells.join(bits.select("key", "bits"), "key")
+
+    def compare(cell: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key")
+        one, two = (part[part["c"] == x] for x in cell[1:])
+        words = np.stack(two["bits"].to_numpy()).view(np.uint64) if len(two) else np.zeros((0, _LONGS), np.uint64)
+        names, roots = two["key"].to_numpy(), two["root"].to_numpy()
+        left, right = [], []
+        for i, (k, r, x) in enumerate(zip(one["key"], one["root"], one["bits"], strict=True)):
+            start = i + 1 if cell[1] == cell[2] else 0
+            found = near_of(np.asarray(x).view(np.uint64), words[start:]) + start
+            found = found[roots[found] != r]
+            left.append(np.full(len(found), k))
+            right.append(names[found])
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)} if left else {"a": [], "b": []})
+
+    found = cells.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    return common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "block-pairs")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable) and kept for every row."""
-    with common.small_batches(docs.sparkSession):
-        return _near_duplicates(docs, key, text)
+    """key, n_shingles, component_id (the smallest key reachable) and kept for every row, as a table."""
+    with common.scratch(docs.sparkSession) as kept:
+        return kept(_near_duplicates(docs, key, text), "near-duplicates")
 
 
 def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -220,7 +215,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     signed = common.written(signatures(docs, key, text), "signatures")
     usable = signed.filter(F.col("same").isNotNull())
     groups = common.written(usable.groupBy("same").agg(F.min("key").alias("node")), "equal-sets")
-    members = common.written(signed.select("key", "n_shingles", "same").join(groups, "same", "left").select("key", "n_shingles", "node"), "members")
+    members = common.written(usable.select("key", "n_shingles", "same").join(groups, "same").select("key", "n_shingles", "node"), "members")
     nodes = usable.join(groups.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     nodes = common.written(nodes.select("key", "bands", "bits"), "nodes")
     banded = nodes.select("key", F.explode("bands").alias("band"))
@@ -246,10 +241,12 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
         met = pivots.select(F.col("band"), F.col("b").alias("key"), F.lit(0).alias("zero"))
         rows = rooted.join(common.written(open_bands, "open"), "band", "left_semi").join(met, ["band", "key"], "left")
         rows = common.written(rows.select("band", "key", F.coalesce("zero", "degree").alias("degree"), "root"), "candidates")
-    links = common.written(links.unionByName(in_blocks(rows.select("band", "key", "root"), bits, texts, kind)), "links")
-    roots = components(links)
-    found = members.join(roots.select(F.col("key").alias("node"), "root"), "node", "left")
-    own = F.coalesce("root", "node", "key")
+    found = verified(in_blocks(rows.select("band", "key", "root"), bits, kind), bits, texts, kind)
+    roots = components(common.written(links.unionByName(found), "links"))
+    found = members.join(roots.select(F.col("key").alias("node"), "root"), "node", "left").withColumn("own", F.coalesce("root", "node"))
+    alone = signed.filter(F.col("same").isNull()).select("key", "n_shingles", F.col("key").alias("own"))
+    found = found.select("key", "n_shingles", "own").unionByName(alone)
+    own = F.col("own")
     return found.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))
 
 
@@ -260,6 +257,34 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi").unionByName(docs.filter(F.col(f"`{key}`").isNull()))
 
 
+#: Exact sets, all pairs that share a shingle, and what links reach: an independent way to the same rows on small tables.
+SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+    from words
+), shingles as (
+    select doc_id, unnest(s) as g from sets
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select c.a, c.b from common c join sets x on x.doc_id = c.a join sets y on y.doc_id = c.b where 100 * c.n >= 75 * (len(x.s) + len(y.s) - c.n)
+), edges as (
+    select a, b from links union all select b, a from links
+), reached as (
+    select doc_id, doc_id as root from documents
+    union
+    select e.b, r.root from reached r join edges e on e.a = r.doc_id where r.root < e.b
+), least as (
+    select doc_id, min(root) as component_id from reached group by 1
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least using (doc_id)
+"""
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(common.documents(spark, sf_dir))

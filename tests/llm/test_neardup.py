@@ -82,15 +82,40 @@ def test_blocks_link_what_pivots_leave(spark):
     ids = sorted(texts)
     rows = spark.createDataFrame([(1, k, k) for k in ids], "band long, key long, root long")
     bits = spark.createDataFrame([(k, neardup.packed(neardup.minima(neardup.shingles(texts[k]))).tolist()) for k in ids], "key long, bits array<long>")
-    held = spark.createDataFrame(list(texts.items()), "key long, text string")
     block, neardup.BLOCK = neardup.BLOCK, 13
     try:
-        got = {tuple(sorted((r.a, r.b))) for r in neardup.in_blocks(rows, bits, held, "bigint").collect()}
+        got = {tuple(sorted((r.a, r.b))) for r in neardup.in_blocks(rows, bits, "bigint").collect()}
     finally:
         neardup.BLOCK = block
     assert got == {(2 * g, 2 * g + 1) for g in range(30)}
 
 
+def test_sql_and_query_agree(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    want = sorted(con.execute(neardup.SQL).fetchall())
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in QUERIES["op2_bbit_minhash"](spark, data).collect()) == want
+
+
+def test_hot_band_of_unlike_texts_and_late_links(spark):
+    """A passage that makes up most of the minima of 400 texts, and pairs among them that only the block comparison links."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(90)]
+    texts = {}
+    for i in range(200):
+        own = [f"o{i}w{k}" for k in range(70)]
+        texts[2 * i] = " ".join(passage + own)
+        texts[2 * i + 1] = " ".join(passage + own[:-6] + [f"z{rng.random()}"] * 6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    block, neardup.BLOCK = neardup.BLOCK, 60
+    try:
+        check(neardup.near_duplicates(docs).collect(), texts)
+    finally:
+        neardup.BLOCK = block
+
+
 def test_estimate_is_near_the_similarity(spark):
     rng = np.random.default_rng(1)
     for share in (0.0, 0.5, 0.9):
