@@ -12,8 +12,8 @@ over the vocabulary's terms in it.
 The examples' vectors form an inverted index in blocks of 64 examples: the DENSE most frequent terms as a matrix
 with the greatest weight of each term in each block, all others as postings.  Queries are answered in batches: the
 postings' part of every cosine is summed, the block maxima bound the rest, and blocks whose bound is not
-above the K-th best cosine so far are skipped.  The nearest are found in single precision with a margin and their
-cosines computed again in double precision: the K nearest examples are exact.  Each votes with
+above the K-th best cosine so far are skipped.  Cosines are sums in single precision; where that can't tell which example
+takes the K-th place, they are computed again in double precision: the K nearest examples are exact.  Each votes with
 1 / (SOFT + distance), weighted to its class's own rate; a logistic curve fitted on the examples' leave-one-out
 votes turns the vote into a score.  Each text is taken apart once: its terms and their counts are written as a table,
 which both the document frequencies and the scores are made from.
@@ -31,8 +31,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ SAMPLE, LEAST_ROWS, LEAST_Z = 6_000, 5, 5.0
 COPY, BAND_ROWS = 0.75, 4
 K, BLOCK, SOFT = 24, 64, 0.05
 #: Terms of the index that are kept as a matrix; queries answered at once; words whose terms a task remembers; error of single-precision cosines.
-DENSE, QUERIES, WORDS, MARGIN = 2_048, 128, 100_000, 1e-4
+DENSE, QUERIES, WORDS, MARGIN = 3_072, 128, 150_000, 1e-5
 _LOW = np.uint64(0xFFFFFFFF)
 _MIX = [(np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(5).integers(1 << 20, 1 << 30, (160, 2))]
 _WORD = re.compile(r"\w+")
@@ -63,19 +63,32 @@ def term_counts(text: str | None) -> Counter:
 
 
 class _Known(dict):
-    """Word -> numbers of the vocabulary's terms in it, for WORDS words at most."""
+    """Word -> numbers of the vocabulary's terms in it (32-bit integers), for two generations of WORDS words."""
 
     def __init__(self, at: dict[str, int]):
-        self.at = at
+        self.at, self.older = at, {}
 
-    def __missing__(self, w: str) -> tuple:
-        k = len(w)
-        terms = (w, w[:4] + "*", w[:5] + "*" if k > 4 else "", w[:6] + "*" if k > 5 else "") if k > 3 else (w,)
+    def __missing__(self, w: str) -> bytes:
+        out = self.older.get(w)
+        if out is None:
+            out = self._of(w)
         if len(self) >= WORDS:
+            self.older = dict(self)
             self.clear()
-        out = self[w] = tuple(self.at[x] for x in terms if x in self.at)
+        self[w] = out
         return out
 
+    def _of(self, w: str) -> bytes:
+        get, k = self.at.get, len(w)
+        if k < 4:
+            whole = get(w)
+            return b"" if whole is None else array("i", (whole,)).tobytes()
+        four = get(w[:4] + "*")
+        if four is None:  # no example has a word that begins so, and so neither this word nor a longer beginning
+            return b""
+        found = (get(w), four, get(w[:5] + "*") if k > 4 else None, get(w[:6] + "*") if k > 5 else None)
+        return array("i", [x for x in found if x is not None]).tobytes()
+
 
 class Vocabulary:
     def __init__(self, terms: list[str]):
@@ -88,8 +101,8 @@ class Vocabulary:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the vocabulary's terms in the text, ascending, and how often they occur."""
-        found = chain.from_iterable(map(self.known.__getitem__, _WORD.findall((text or "").lower())))
-        terms, counts = np.unique(np.fromiter(found, np.int32), return_counts=True)
+        found = b"".join(map(self.known.__getitem__, _WORD.findall((text or "").lower())))
+        terms, counts = np.unique(np.frombuffer(found, np.int32), return_counts=True)
         return terms, counts.astype(np.int32)
 
 
@@ -110,19 +123,20 @@ def without_copies(examples: DataFrame) -> DataFrame:
     kind = examples.schema["key"].dataType.simpleString()
     made = common.written(common.mapped(examples, f"key {kind}, label int, pairs binary, minima binary", sets), "toxicity-pairs")
     rows = sorted((key, label, bytes(pairs), bytes(low)) for key, label, pairs, low in made.toLocalIterator())
-    with_band: dict = {}
-    kept, known, signed = [], [], np.zeros((len(rows), len(_MIX)), np.uint32)
-    for key, label, raw, low in rows:
-        pairs, minima = np.frombuffer(raw, "<u4"), np.frombuffer(low, "<u4")
-        marks = [(label, i, x.tobytes()) for i, x in enumerate(minima.reshape(-1, BAND_ROWS))]
+    signed = np.array([np.frombuffer(x[3], "<u4") for x in rows], np.uint32).reshape(len(rows), len(_MIX))
+    bands = np.array([[zlib.crc32(b) + (i + 1000 * label << 32) for i, b in enumerate(x.reshape(-1, BAND_ROWS))] for x, (_, label, *_) in zip(signed, rows, strict=True)], np.int64)
+    shared, places, times = np.unique(bands, return_inverse=True, return_counts=True)
+    places = np.where(times[places] > 1, places, -1).reshape(len(rows), -1)  # bands of a single row make no candidates
+    with_band: dict[int, list[int]] = {}
+    kept, margin = [], 5 * (COPY * (1 - COPY) / len(_MIX)) ** 0.5
+    for i, (key, _, raw, _) in enumerate(rows):
+        pairs, marks = np.frombuffer(raw, "<u4"), [x for x in places[i].tolist() if x >= 0]
         near = np.array(sorted({j for m in marks for j in with_band.get(m, ())}), np.int64)
-        near = near[(signed[near] == minima).mean(1) >= COPY - 5 * (COPY * (1 - COPY) / len(_MIX)) ** 0.5]
-        if any(_jaccard(pairs, known[j]) >= COPY for j in near.tolist()):
+        near = near[(signed[near] == signed[i]).mean(1) >= COPY - margin]
+        if any(_jaccard(pairs, np.frombuffer(rows[j][2], "<u4")) >= COPY for j in near.tolist()):
             continue
         for m in marks:
-            with_band.setdefault(m, []).append(len(known))
-        signed[len(known)] = minima
-        known.append(pairs)
+            with_band.setdefault(m, []).append(i)
         kept.append((key,))
     keys = examples.sparkSession.createDataFrame(kept, f"_kept {kind}")  # SAMPLE rows at most
     return examples.join(F.broadcast(keys.distinct()), F.col("key") == F.col("_kept"), "left_semi")
@@ -286,22 +300,21 @@ class BlockMaxIndex:
                 cosines[open_, part] += dense[open_] @ self.matrix[:, part]
             if len(open_) < len(queries):
                 cosines[np.flatnonzero(bounds[:, b] <= least), part] = 0
-        return [self._exact(q, row, k) for q, row in zip(queries, cosines, strict=True)]
-
-    def _exact(self, query: tuple[np.ndarray, np.ndarray], near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the examples whose cosines in single precision are near."""
-        least = max(np.partition(near, -k)[-k] - MARGIN, 0) if len(near) > k else 0.0
-        found = np.flatnonzero(near >= least)
-        found = found[near[found] > 0]
-        if not len(found):
-            return self.order[found], np.zeros(0)
-        whole = self.whole
-        whole[query[0]] = query[1]
-        starts, stops = self.starts[found], self.starts[found + 1]
-        cosines = np.array([np.dot(whole[self.terms[a:b]], self.weights[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
-        whole[query[0]] = 0
-        best = np.lexsort((found, -cosines))[:k]
-        return self.order[found[best]], np.minimum(cosines[best], 1.0)
+        return [self._best(q, row, k) for q, row in zip(queries, cosines, strict=True)]
+
+    def _best(self, query: tuple[np.ndarray, np.ndarray], near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the greatest cosines: those within MARGIN of the k-th place are told apart in double precision."""
+        last = float(np.partition(near, -k)[-k]) if len(near) > k else 0.0
+        sure = np.flatnonzero(near > max(last + MARGIN, 0))
+        close = np.flatnonzero((near > 0) & (near >= last - MARGIN) & (near <= last + MARGIN))
+        if len(sure) + len(close) > k:
+            self.whole[query[0]] = query[1]
+            cosines = np.array([np.dot(self.whole[self.terms[a:b]], self.weights[a:b]) for a, b in zip(self.starts[close].tolist(), self.starts[close + 1].tolist(), strict=True)])
+            self.whole[query[0]] = 0
+            close = close[np.lexsort((close, -cosines))[: k - len(sure)]]
+        found = np.concatenate([sure, close])
+        found = found[np.lexsort((found, -near[found]))]
+        return self.order[found], np.minimum(near[found].astype(float), 1.0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of([(terms, weights)], k, [without])[0]
@@ -310,8 +323,10 @@ class BlockMaxIndex:
 class Model:
     """Everything that scoring needs; its size is bounded by the texts of SAMPLE rows."""
 
-    def __init__(self, vocabulary, idf, marks, index, labels, keys, weight, rest, a=1.0, b=0.0):
-        self.vocabulary, self.idf, self.marks, self.index = vocabulary, idf, marks, index
+    def __init__(self, idf, marking, index, labels, keys, weight, rest, a=1.0, b=0.0):
+        self.idf, self.marking, self.index = idf, marking, index  # marking: number -> term that marks label 1
+        self.marks = np.zeros(len(idf), bool)
+        self.marks[list(marking)] = True
         self.labels, self.keys, self.weight, self.rest, self.a, self.b = labels, keys, weight, rest, a, b
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,12 +355,12 @@ class Model:
             toxic = self.labels[found] == 1
             sides = [([self.keys[j] for j in found[x].tolist()], cosines[x].tolist()) for x in (toxic, ~toxic)]
             terms = parts[i][0]
-            out[i] = (float(p), *sides[0], [self.vocabulary.terms[j] for j in terms[self.marks[terms]].tolist()], *sides[1])
+            out[i] = (float(p), *sides[0], [self.marking[j] for j in terms[self.marks[terms]].tolist()], *sides[1])
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and all docs as `taken_apart` by its vocabulary."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame, Vocabulary]:
+    """The model, all docs as `taken_apart` by its vocabulary, and the vocabulary."""
     examples, rows = quality.sampled(docs, labels, label, sample, key, text)
     examples = common.written(without_copies(examples), "toxicity-distinct")
     terms, by_label, drawn = example_terms(examples)
@@ -353,17 +368,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, ke
     apart = taken_apart(docs, vocabulary, key, text)
     with_term, n_docs = document_frequencies(apart, len(terms))
     idf = (np.log((1 + n_docs) / (1 + with_term)) + 1) * relevance(by_label, drawn)
-    marks = marking(by_label, drawn)
+    marks = {i: terms[i] for i in np.flatnonzero(marking(by_label, drawn)).tolist()}
     if not drawn.min():
-        return Model(vocabulary, idf, marks, None, np.zeros(0, np.int64), [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0)), apart
+        return Model(idf, marks, None, np.zeros(0, np.int64), [], np.ones(2), 0.5 if not drawn.sum() else float(drawn[1] > 0)), apart, vocabulary
     # read back a partition at a time: the driver holds the vectors once, not the JVM's copy of all of them too
     got = [(y, k, bytes(t), bytes(c)) for k, t, c, y in taken_apart(examples, vocabulary, "key", label="label").toLocalIterator()]
     got.sort()
     classes = np.array([x[0] for x in got], np.int64)
     weight = rows / rows.sum() / (drawn / drawn.sum())
-    model = Model(vocabulary, idf, marks, None, classes, [x[1] for x in got], weight, 0.0)
+    model = Model(idf, marks, None, classes, [x[1] for x in got], weight, 0.0)
     made = [model.vector(*x) for x in _parts([x[2] for x in got], [x[3] for x in got])]
-    model.index = BlockMaxIndex(made, len(vocabulary.terms))
+    model.index = BlockMaxIndex(made, len(terms))
     bare = np.array([not len(x[0]) for x in made])
     mass = [float(weight[y] * (bare & (classes == y)).sum()) for y in (0, 1)]
     model.rest = (mass[1] + 0.05) / (mass[0] + mass[1] + 1)
@@ -371,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, ke
     if len(own):
         votes = np.array([x[0] for x in model.votes([made[i] for i in own.tolist()], own.tolist())])
         model.a, model.b = quality.logistic(votes, classes[own], weight[classes[own]])
-    return model, apart
+    return model, apart, vocabulary
 
 
 def scored(apart: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -398,6 +413,6 @@ def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.coalesce(common.crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     with common.scratch(spark) as kept:
-        model, apart = fit(docs, quality.not_held_out(labels, 5, 0), "toxic")
+        model, apart, _ = fit(docs, quality.not_held_out(labels, 5, 0), "toxic")
         found = scored(apart, model).select("doc_id", held.alias("held_out"), "score", "predicted", "neighbours", "terms", "clean_neighbours")
         return kept(found, "toxicity-scores")

@@ -62,14 +62,14 @@ def test_edge_rows(spark, edges, empty, no_labels):
             assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
             kept = quality.accepted(docs, model)
             assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)
-        model, _ = toxicity.fit(edges, labels, "toxic")
+        model, _, vocabulary = toxicity.fit(edges, labels, "toxic")
         for docs in (edges, empty):
-            rows = toxicity.scored(toxicity.taken_apart(docs, model.vocabulary), model).collect()
+            rows = toxicity.scored(toxicity.taken_apart(docs, vocabulary), model).collect()
             assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.scored(edges, quality.fit(edges, no_labels, "quality")).collect()} == {0.5}
-    model, apart = toxicity.fit(edges, no_labels, "toxic")
+    model, apart, _ = toxicity.fit(edges, no_labels, "toxic")
     assert {r.score for r in toxicity.scored(apart, model).collect()} == {0.5}
-    model, apart = toxicity.fit(empty, marks, "toxic")
+    model, apart, _ = toxicity.fit(empty, marks, "toxic")
     assert toxicity.scored(apart, model).collect() == []
 
 
@@ -104,7 +104,7 @@ def test_toxic_words_and_evidence(spark):
     toxic = [(100 + i, f"{filler()} wretched gribble {filler()}") for i in range(60)]
     docs = spark.createDataFrame(clean + toxic + [(500, "such a GRIBBLE"), (501, "barley fields")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
-    model, apart = toxicity.fit(docs, labels, "toxic")
+    model, apart, _ = toxicity.fit(docs, labels, "toxic")
     got = {r.doc_id: r for r in toxicity.scored(apart, model).collect()}
     assert got[500].predicted == 1 and "gribble" in got[500].terms and min(got[500].neighbours) >= 100
     assert got[501].predicted == 0 and got[501].neighbours == []
@@ -117,9 +117,9 @@ def test_texts_without_a_marking_term_have_neighbours(spark):
     toxic = [(100 + i, f"{filler()} gribble {filler()}") for i in range(60)]
     docs = spark.createDataFrame(clean + toxic + [(500, "barley fields"), (501, filler()), (502, "zq")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
-    model, apart = toxicity.fit(docs, labels, "toxic")
+    model, apart, vocabulary = toxicity.fit(docs, labels, "toxic")
     got = {r.doc_id: r for r in toxicity.scored(apart, model).collect()}
-    assert "barley" in model.vocabulary.terms and len(got[500].clean_neighbours) == toxicity.K and got[500].neighbours == []
+    assert "barley" in vocabulary.terms and len(got[500].clean_neighbours) == toxicity.K and got[500].neighbours == []
     # no term of this text marks a label, but its nearest examples are known
     assert got[501].terms == [] and len(got[501].neighbours) + len(got[501].clean_neighbours) == toxicity.K
     assert got[502].neighbours == got[502].clean_neighbours == [] and got[502].score == model.rest
@@ -257,6 +257,6 @@ def test_equal_cosines_at_the_last_place(spark):
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
     found = []
     for parts in (1, 5):
-        model, apart = toxicity.fit(docs.repartition(parts), labels, "toxic")
+        model, apart, _ = toxicity.fit(docs.repartition(parts), labels, "toxic")
         found.append({r.doc_id: (r.score, tuple(r.neighbours), tuple(r.clean_neighbours)) for r in toxicity.scored(apart, model).collect()})
     assert found[0] == found[1] and len(found[0][500][2]) == toxicity.K
