@@ -124,9 +124,10 @@ def without_copies(examples: DataFrame) -> DataFrame:
     made = common.written(common.mapped(examples, f"key {kind}, label int, pairs binary, minima binary", sets), "toxicity-pairs")
     rows = sorted((key, label, bytes(pairs), bytes(low)) for key, label, pairs, low in made.toLocalIterator())
     signed = np.array([np.frombuffer(x[3], "<u4") for x in rows], np.uint32).reshape(len(rows), len(_MIX))
-    bands = np.array([[zlib.crc32(b) + (i + 1000 * label << 32) for i, b in enumerate(x.reshape(-1, BAND_ROWS))] for x, (_, label, *_) in zip(signed, rows, strict=True)], np.int64)
+    n_bands = len(_MIX) // BAND_ROWS
+    bands = np.array([[zlib.crc32(b) + (i + 1000 * label << 32) for i, b in enumerate(x.reshape(-1, BAND_ROWS))] for x, (_, label, *_) in zip(signed, rows, strict=True)], np.int64).reshape(-1, n_bands)
     shared, places, times = np.unique(bands, return_inverse=True, return_counts=True)
-    places = np.where(times[places] > 1, places, -1).reshape(len(rows), -1)  # bands of a single row make no candidates
+    places = np.where(times[places.ravel()] > 1, places.ravel(), -1).reshape(-1, n_bands)  # bands of a single row make no candidates
     with_band: dict[int, list[int]] = {}
     kept, margin = [], 5 * (COPY * (1 - COPY) / len(_MIX)) ** 0.5
     for i, (key, _, raw, _) in enumerate(rows):
