@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import coding, further, imaging, more, samples  # noqa: F401  (registers its queries)
+from .plans import audits, coding, formats, further, imaging, modes, more, samples, variants  # noqa: F401  (registers its queries)
 from .plans.registry import QUERIES, SQL  # noqa: F401
 
 

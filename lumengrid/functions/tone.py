@@ -81,6 +81,11 @@ def acescct(v: Column, scale: float) -> Column:
     return _signed(v, F.when(a >= ACES_CUT, (F.log2(a) + ACES_LOG_A) / ACES_LOG_B).otherwise(ACES_A * a + ACES_B))
 
 
+def acescct_inverse(t: Column, scale: float) -> Column:
+    a, cut = F.abs(t), ACES_A * ACES_CUT + ACES_B
+    return _signed(t, F.when(a > cut, F.pow(F.lit(2.0), a * ACES_LOG_B - ACES_LOG_A)).otherwise((a - ACES_B) / ACES_A) * scale)
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return LUMA[0] * r.cast("double") + LUMA[1] * g.cast("double") + LUMA[2] * b.cast("double")
 

@@ -178,45 +178,72 @@ bits AS (SELECT rb.*, t.bit FROM rb, (SELECT CAST(unnest(range(31)) AS INTEGER)
 _RN_WEST = _RN.format(r=residual_sql("west"))
 
 
-def _fam_sql(f: str, i: int) -> str:
-    ctx = C.context(f)
-    if f == "hash_all":
-        k = f"CAST({ctx} AS BIGINT)"
-        fold = f"((xor({k}, {k} >> 11) * 2654435761) & 4294967295)"
-        ctx = f"(xor({fold}, {fold} >> 16) & 2047)"
-    return f"SELECT img, ty, tx, bit, '{f}' AS family, {i} AS ord, {ctx} AS ctx, (r >> bit) & 1 AS one FROM bits"
-
-
+def _at(v: str, up: int = 0) -> str:
+    return f"(({v} >> CAST(bit + {up} AS INTEGER)) & 1)"
+
+
+# Contexts written out by hand for SQL (the lowest bit first): not made from the operator's lists.
+_W, _N, _NW, _NE, _PC = _at("rw"), _at("rn"), _at("rnw"), _at("rne"), _at("rpc")
+_P1, _P2, _P3, _P4 = (_at("r", k) for k in (1, 2, 3, 4))
+_WP1, _WP2, _NP1, _NP2 = _at("rw", 1), _at("rw", 2), _at("rn", 1), _at("rn", 2)
+_C0, _C1, _C2 = (f"CAST(c = {k} AS INTEGER)" for k in (0, 1, 2))
+_XO, _YO = "(x % 2)", "(y % 2)"
+_CODE = f"({_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_PC} + 32*{_P1} + 64*{_P2} + 128*{_P3} + 256*{_P4} + 512*{_WP1} + 1024*{_NP1} + 2048*{_WP2} + 4096*{_NP2} + 8192*{_XO} + 16384*{_YO} + 32768*{_C0} + 65536*{_C1} + 131072*{_C2})"
+_MIXED = f"((xor(CAST({_CODE} AS BIGINT), CAST({_CODE} AS BIGINT) >> 11) * 2654435761) & 4294967295)"
+_FAMILY_SQL = {
+    "base": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_P1} + 32*{_P2} + 64*{_P3} + 128*{_P4}",
+    "prev": f"{_P1} + 2*{_P2} + 4*{_P3} + 8*{_P4}",
+    "wn_prev": f"{_W} + 2*{_N} + 4*{_P1} + 8*{_P2} + 16*{_P3} + 32*{_P4}",
+    "spatial_prev_pc": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_PC} + 32*{_P1} + 64*{_P2} + 128*{_P3} + 256*{_P4}",
+    "spatial_prev_channel": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_C0} + 32*{_C1} + 64*{_C2} + 128*{_P1} + 256*{_P2} + 512*{_P3} + 1024*{_P4}",
+    "spatial_hi": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_P1} + 32*{_WP1} + 64*{_NP1} + 128*{_P2} + 256*{_WP2} + 512*{_NP2}",
+    "spatial_hi_channel": f"{_W} + 2*{_N} + 4*{_C0} + 8*{_C1} + 16*{_C2} + 32*{_P1} + 64*{_WP1} + 128*{_NP1} + 256*{_P2} + 512*{_WP2} + 1024*{_NP2}",
+    "spatial_hi_pc": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_PC} + 32*{_P1} + 64*{_WP1} + 128*{_NP1} + 256*{_P2} + 512*{_WP2} + 1024*{_NP2}",
+    "prev_xy_channel": f"{_P1} + 2*{_P2} + 4*{_XO} + 8*{_YO} + 16*{_C0} + 32*{_C1} + 64*{_C2}",
+    "hash_all": f"xor({_MIXED}, {_MIXED} >> 16) & 2047",
+    "prev4_channel": f"{_P1} + 2*{_P2} + 4*{_P3} + 8*{_P4} + 16*{_C0} + 32*{_C1} + 64*{_C2}",
+    "wn_prev4_channel": f"{_W} + 2*{_N} + 4*{_P1} + 8*{_P2} + 16*{_P3} + 32*{_P4} + 64*{_C0} + 128*{_C1} + 256*{_C2}",
+    "wn_prev4_pc": f"{_W} + 2*{_N} + 4*{_PC} + 8*{_P1} + 16*{_P2} + 32*{_P3} + 64*{_P4}",
+    "spatial_xy": f"{_W} + 2*{_N} + 4*{_NW} + 8*{_NE} + 16*{_XO} + 32*{_YO} + 64*{_P1} + 128*{_P2}",
+    "constant_zero": "0",
+}
 FAMS = list(C.FAMILIES)
-_FAM = "fam AS (" + " UNION ALL ".join(_fam_sql(f, i) for i, f in enumerate(FAMS)) + ")"
+_FAM = "fam AS (" + " UNION ALL ".join(f"SELECT img, ty, tx, bit, '{f}' AS family, {i} AS ord, {ctx} AS ctx, (r >> bit) & 1 AS one FROM bits" for i, (f, ctx) in enumerate(_FAMILY_SQL.items())) + ")"
 _CTXQ = f"WITH {grid_sql('ord3')}, {WORDS}, {NEIGHBOURS}, {_RN_WEST}, {_FAM}, n AS (SELECT img, ty, tx, bit, family, ord, ctx, count(*) AS n, sum(one) AS ones FROM fam GROUP BY ALL)"
+_LEGAL = f"CASE WHEN max(family) <> 'constant_zero' THEN sum({KT}) WHEN sum(ones) = 0 THEN 0.0 END"
 
 
 def families(spark, d, names=("ord3",)):
     n = near(spark, d, *names).select(*KEYS, P.body_residual(c("o"), c("w")).alias("r"))
-    return C.exploded(C.with_residual_neighbours(n), FAMS, range(31))
+    return C.counted(C.with_residual_neighbours(n), FAMS, range(31))
+
+
+
+def _cost():
+    """Adaptive bits of n bits with `ones` ones."""
+    return E.kt_bits(c("n") - c("ones"), c("ones"))
 
 
 @query("c00_context_counts", f"{_CTXQ} SELECT family, bit, count(*) AS contexts, sum(n)::BIGINT AS n, sum(ones)::BIGINT AS ones, sum(ctx * n)::BIGINT AS weight FROM n GROUP BY ALL")
 def c00(spark, d):
     """Contexts of every bit of the west residual in every family."""
-    n = families(spark, d).groupBy("img", "ty", "tx", "bit", "family", "ctx").agg(F.count(F.lit(1)).alias("n"), F.sum("one").alias("ones"))
+    n = families(spark, d)
     return n.groupBy("family", "bit").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum(c("ctx") * c("n")).alias("weight"))
 
 
-@query("a13_context_cost", f"{_CTXQ} SELECT img, ty, tx, family, round(sum({KT}), 3) AS bits FROM n GROUP BY ALL")
+@query("a13_context_cost", f"{_CTXQ}, k AS (SELECT img, ty, tx, bit, family, {_LEGAL} AS bits FROM n GROUP BY ALL) SELECT img, ty, tx, family, count(bits) AS planes, round(sum(bits), 3) AS bits FROM k GROUP BY ALL")
 def a13(spark, d):
-    """Adaptive bits of each family over all planes of a tile."""
-    cost = E.context_bits(families(spark, d), ["img", "ty", "tx", "bit", "family"], "ctx", "one")
-    return cost.groupBy("img", "ty", "tx", "family").agg(F.round(F.sum("bits"), 3).alias("bits"))
+    """Adaptive bits of each family over the planes of a tile that it may code."""
+    cost = C.family_bits(families(spark, d), ["img", "ty", "tx", "bit", "family"], _cost())
+    return cost.groupBy("img", "ty", "tx", "family").agg(F.count("bits").alias("planes"), F.round(F.sum("bits"), 3).alias("bits"))
 
 
-@query("a14_best_family", f"{_CTXQ}, k AS (SELECT img, ty, tx, bit, family, ord, round(sum({KT}), 6) AS bits FROM n GROUP BY ALL), m AS (SELECT img, ty, tx, bit, min(bits) AS bits, arg_min(family, bits * 100 + ord * 1e-6) AS family FROM k GROUP BY ALL) SELECT img, ty, tx, round(sum(bits), 3) AS bits, count(*) AS planes FROM m GROUP BY ALL")
+@query("a14_best_family", f"{_CTXQ}, k AS (SELECT img, ty, tx, bit, family, ord, round({_LEGAL}, 6) AS bits FROM n GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY img, ty, tx, bit ORDER BY bits, ord) AS place FROM k WHERE bits IS NOT NULL) SELECT img, ty, tx, round(sum(bits), 3) AS bits, count(*) AS planes, count(*) FILTER (family = 'constant_zero') AS empty FROM m WHERE place = 1 GROUP BY ALL")
 def a14(spark, d):
-    """The cheapest family of each plane (the first wins ties), summed over planes."""
-    cost = E.context_bits(families(spark, d), ["img", "ty", "tx", "bit", "family", "ord"], "ctx", "one").withColumn("bits", F.round("bits", 6))
+    """The cheapest family of each plane (the first wins ties), summed over planes; C14 where a plane is empty."""
+    cost = C.family_bits(families(spark, d), ["img", "ty", "tx", "bit", "family", "ord"], _cost()).withColumn("bits", F.round("bits", 6)).filter("bits is not null")
     best = cost.groupBy("img", "ty", "tx", "bit").agg(F.min(F.struct("bits", "ord", "family")).alias("m"))
-    return best.groupBy("img", "ty", "tx").agg(F.round(F.sum("m.bits"), 3).alias("bits"), F.count(F.lit(1)).alias("planes"))
+    return best.groupBy("img", "ty", "tx").agg(F.round(F.sum("m.bits"), 3).alias("bits"), F.count(F.lit(1)).alias("planes"), F.count_if(c("m.family") == C.ZERO).alias("empty"))
 
 
 _MB = f"WITH {grid_sql(*TWO)}, {WORDS}, {NEIGHBOURS}, {_R}, t AS (SELECT img, y // 64 AS ty, mode, ord, r FROM r), s AS (SELECT img, ty, mode, ord, bit, count(*) AS n, sum((r >> bit) & 1) AS ones FROM t, (SELECT CAST(unnest(range(31)) AS INTEGER) AS bit) GROUP BY ALL), k AS (SELECT img, ty, mode, ord, round(sum({KT}), 4) AS bits FROM s GROUP BY ALL)"
