@@ -10,10 +10,12 @@ collisions, a margin of five standard errors), then a comparison of the full set
 Equal sets are one node.  Two rounds compare every bucket's rows with one pivot (the row with the most candidates;
 in round two, of another component).  Buckets whose rows are by then one component are done.  Of the rest no bucket is
 held by one task and no text is copied: their rows' packed signatures (104 bytes) are compared in blocks of BLOCK by
-BLOCK rows, and only pairs of different components whose estimate passes go on to the comparison of the full sets, so
-no candidate link between different components is lost.  A bucket of n rows that are of many components to the end
-costs n / BLOCK copies of its signatures and n^2 / 2 comparisons of them (see the README for figures).  Components are
-found by alternating large-star and small-star steps over tables in the shared folder.
+BLOCK rows.  Each row names the `cap` likeliest rows of other components whose estimate passes; these pairs' full sets
+are compared and components joined, and so on, with a cap that grows eightfold when a round links nothing, until no
+row has a partner left that it has not been compared with.  So no candidate link between different components is lost,
+and of a group of near copies few pairs are compared.  A bucket of n rows that are of many components costs n / BLOCK
+copies of its signatures and n^2 / 2 comparisons of them each round (see the README for figures).  Components are found
+by alternating large-star and small-star steps over tables in the shared folder.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^ROWS)^(PERMUTATIONS / ROWS) = 2e-5.
 
@@ -168,16 +170,20 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def near_of(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Places of the packed signatures among others whose estimated similarity to x is not below the threshold and its margin."""
+def estimates(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of the packed signature x to each of others."""
     y = others ^ x
     y = (y | y >> np.uint64(1) | y >> np.uint64(2) | y >> np.uint64(3)) & np.uint64(0x1111111111111111)
     equal = 1 - np.bitwise_count(y).sum(1, dtype=np.int64) / PERMUTATIONS
-    return np.flatnonzero((equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= PERCENT / 100 - _MARGIN)
+    return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def in_blocks(rows: DataFrame, bits: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b) of rows (band, key, root) of the same band and of different roots whose estimate passes, found block by block."""
+def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFrame:
+    """Pairs (band, a, b) of rows (band, key, root) of the same band and of different roots whose estimate passes, and
+    whether there are `more` in the band's block, as a table: of each row its `cap` likeliest partners.
+
+    Rows of the component that most rows of a block are of name none: the other side of each of their pairs does.
+    """
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.bit_xor(F.xxhash64("key")).alias("h2"))
     once = common.written(sizes.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "chunks"), "blocks")
     chunk = F.pmod(F.xxhash64(F.lit(3), "key"), F.col("chunks")).cast("int")
@@ -188,20 +194,52 @@ def in_blocks(rows: DataFrame, bits: DataFrame, kind: str) -> DataFrame:
 
     def compare(cell: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key")
-        one, two = (part[part["c"] == x] for x in cell[1:])
-        words = np.stack(two["bits"].to_numpy()).view(np.uint64) if len(two) else np.zeros((0, _LONGS), np.uint64)
-        names, roots = two["key"].to_numpy(), two["root"].to_numpy()
-        left, right = [], []
-        for i, (k, r, x) in enumerate(zip(one["key"], one["root"], one["bits"], strict=True)):
-            start = i + 1 if cell[1] == cell[2] else 0
-            found = near_of(np.asarray(x).view(np.uint64), words[start:]) + start
-            found = found[roots[found] != r]
-            left.append(np.full(len(found), k))
-            right.append(names[found])
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)} if left else {"a": [], "b": []})
-
-    found = cells.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
-    return common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "block-pairs")
+        most = part["root"].mode().iat[0]
+        left, right, more = [], [], False
+        for side in sorted({0, cell[2] - cell[1]}):  # rows of chunk i name rows of chunk j, and the other way round
+            mine, others = part[part["c"] == cell[1 + (side > 0)]], part[part["c"] == cell[2 - (side > 0)]]
+            mine = mine[mine["root"] != most]
+            if not len(mine) or not len(others):
+                continue
+            words = np.stack(others["bits"].to_numpy()).view(np.uint64)
+            names, roots = others["key"].to_numpy(), others["root"].to_numpy()
+            for k, r, x in zip(mine["key"], mine["root"], mine["bits"], strict=True):
+                guess = estimates(np.asarray(x).view(np.uint64), words)
+                found = np.flatnonzero((guess >= PERCENT / 100 - _MARGIN) & (roots != r))
+                more |= len(found) > cap
+                found = found[np.argsort(-guess[found], kind="stable")[:cap]]
+                left += [k] * len(found)
+                right += names[found].tolist()
+        return pd.DataFrame({"band": [cell[0]] * len(left), "a": np.minimum(left, right), "b": np.maximum(left, right), "more": [more] * len(left)})
+
+    found = cells.groupBy("band", "i", "j").applyInPandas(compare, f"band long, a {kind}, b {kind}, more boolean")
+    return common.written(found, "block-pairs")
+
+
+def linked_in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) -> DataFrame | None:
+    """All links (a, b) that rows (band, key, root) of shared bands need to become the components they belong to."""
+    links = tested = None
+    cap = 1
+    while not rows.isEmpty():
+        pairs = in_blocks(rows, bits, kind, cap)
+        new = pairs.select("a", "b").distinct()
+        new = common.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "new-pairs")
+        tested = new if tested is None else common.written(tested.unionByName(new), "tested")
+        found = verified(new, bits, texts, kind)
+        rows = rows.join(pairs.filter("more").select("band").distinct(), "band", "left_semi")
+        if found.isEmpty():
+            cap *= 8
+            rows = common.written(rows, "rooted")
+            continue
+        links = found if links is None else common.written(links.unionByName(found), "links")
+        # the links between roots: components of these, few, are enough to go on with
+        root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
+        between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = components(between).select(F.col("key").alias("root"), F.col("root").alias("top"))
+        rows = common.written(rows.join(joined, "root", "left").select("band", "key", F.coalesce("top", "root").alias("root")), "rooted")
+        left = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
+        rows = common.written(rows.join(left, "band", "left_semi"), "rooted")
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,8 +279,9 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
         met = pivots.select(F.col("band"), F.col("b").alias("key"), F.lit(0).alias("zero"))
         rows = rooted.join(common.written(open_bands, "open"), "band", "left_semi").join(met, ["band", "key"], "left")
         rows = common.written(rows.select("band", "key", F.coalesce("zero", "degree").alias("degree"), "root"), "candidates")
-    found = verified(in_blocks(rows.select("band", "key", "root"), bits, kind), bits, texts, kind)
-    roots = components(common.written(links.unionByName(found), "links"))
+    found = linked_in_blocks(rows.select("band", "key", "root"), bits, texts, kind)
+    if found is not None:
+        roots = components(common.written(links.unionByName(found), "links"))
     found = members.join(roots.select(F.col("key").alias("node"), "root"), "node", "left").withColumn("own", F.coalesce("root", "node"))
     alone = signed.filter(F.col("same").isNull()).select("key", "n_shingles", F.col("key").alias("own"))
     found = found.select("key", "n_shingles", "own").unionByName(alone)

@@ -84,10 +84,33 @@ def test_blocks_link_what_pivots_leave(spark):
     bits = spark.createDataFrame([(k, neardup.packed(neardup.minima(neardup.shingles(texts[k]))).tolist()) for k in ids], "key long, bits array<long>")
     block, neardup.BLOCK = neardup.BLOCK, 13
     try:
-        got = {tuple(sorted((r.a, r.b))) for r in neardup.in_blocks(rows, bits, "bigint").collect()}
+        got = {(r.a, r.b) for r in neardup.in_blocks(rows, bits, "bigint", 1).collect()}
+        held = spark.createDataFrame(list(texts.items()), "key long, text string")
+        links = {(r.a, r.b) for r in neardup.linked_in_blocks(rows, bits, held, "bigint").collect()}
     finally:
         neardup.BLOCK = block
-    assert got == {(2 * g, 2 * g + 1) for g in range(30)}
+    assert got == links == {(2 * g, 2 * g + 1) for g in range(30)}
+
+
+def test_links_among_many_that_fail(spark):
+    """Texts near the threshold: most pairs pass the estimate and fail, and each text has its one partner hidden among them."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for g in range(24):
+        t = list(base)
+        for _ in range(4):
+            t[rng.randrange(150)] = f"g{g}x{rng.randrange(999)}"
+        texts[2 * g] = " ".join(t)
+        texts[2 * g + 1] = " ".join(t[: 150 - g % 3])
+    sets, component = brute(texts)
+    ids = sorted(texts)
+    rows = spark.createDataFrame([(b, k, k) for b in (1, 2) for k in ids if b == 1 or k % 3], "band long, key long, root long")
+    bits = spark.createDataFrame([(k, neardup.packed(neardup.minima(neardup.shingles(texts[k]))).tolist()) for k in ids], "key long, bits array<long>")
+    held = spark.createDataFrame(list(texts.items()), "key long, text string")
+    links = neardup.linked_in_blocks(rows, bits, held, "bigint")
+    roots = {r.key: r.root for r in neardup.components(links).collect()}
+    assert {k: roots.get(k, k) for k in ids} == component
 
 
 def test_sql_and_query_agree(spark, data):
