@@ -45,7 +45,7 @@ SAMPLE, LEAST_ROWS, LEAST_Z = 6_000, 5, 5.0
 COPY, BAND_ROWS = 0.75, 4
 K, BLOCK, SOFT = 24, 64, 0.05
 #: Terms of the index that are kept as a matrix; queries answered at once; words whose terms a task remembers; error of single-precision cosines.
-DENSE, QUERIES, WORDS, MARGIN = 3_072, 128, 150_000, 1e-5
+DENSE, QUERIES, WORDS, MARGIN = 3_072, 256, 150_000, 1e-5
 _LOW = np.uint64(0xFFFFFFFF)
 _MIX = [(np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(5).integers(1 << 20, 1 << 30, (160, 2))]
 _WORD = re.compile(r"\w+")
@@ -126,7 +126,7 @@ def without_copies(examples: DataFrame) -> DataFrame:
     signed = np.array([np.frombuffer(x[3], "<u4") for x in rows], np.uint32).reshape(len(rows), len(_MIX))
     n_bands = len(_MIX) // BAND_ROWS
     bands = np.array([[zlib.crc32(b) + (i + 1000 * label << 32) for i, b in enumerate(x.reshape(-1, BAND_ROWS))] for x, (_, label, *_) in zip(signed, rows, strict=True)], np.int64).reshape(-1, n_bands)
-    shared, places, times = np.unique(bands, return_inverse=True, return_counts=True)
+    _, places, times = np.unique(bands, return_inverse=True, return_counts=True)
     places = np.where(times[places.ravel()] > 1, places.ravel(), -1).reshape(-1, n_bands)  # bands of a single row make no candidates
     with_band: dict[int, list[int]] = {}
     kept, margin = [], 5 * (COPY * (1 - COPY) / len(_MIX)) ** 0.5
@@ -253,9 +253,9 @@ class BlockMaxIndex:
         self.row[dense] = np.arange(len(dense))
         rows = self.row[self.terms]
         inside = rows >= 0
-        self.matrix = np.zeros((len(dense), self.blocks * BLOCK), np.float32)
-        self.matrix[rows[inside], slots[inside]] = self.weights[inside]
-        self.maxima = self.matrix.reshape(len(dense), self.blocks, BLOCK).max(axis=2, initial=0)
+        self.matrix = np.zeros((self.blocks, len(dense), BLOCK), np.float32)  # a block's part lies together
+        self.matrix[slots[inside] // BLOCK, rows[inside], slots[inside] % BLOCK] = self.weights[inside]
+        self.maxima = np.ascontiguousarray(self.matrix.max(axis=2, initial=0).T)
         outside = np.flatnonzero(~inside)
         outside = outside[np.argsort(self.terms[outside], kind="stable")]
         self.slots, self.values = slots[outside], self.weights[outside]
@@ -272,7 +272,7 @@ class BlockMaxIndex:
         """For each query the k examples of the greatest positive cosine (but for its `without`), and these cosines, greatest first."""
         if not self.blocks:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
-        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
+        dense = np.zeros((len(queries), len(self.maxima)), np.float32)
         cosines = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(queries):
             rows = self.row[terms]
@@ -296,9 +296,9 @@ class BlockMaxIndex:
                     least = np.maximum(np.partition(cosines[:, found], -k, axis=1)[:, -k] - MARGIN, 0)
             open_ = np.flatnonzero(bounds[:, b] > least)
             if len(open_) == len(queries):
-                cosines[:, part] += dense @ self.matrix[:, part]
+                cosines[:, part] += dense @ self.matrix[b]
             elif len(open_):
-                cosines[open_, part] += dense[open_] @ self.matrix[:, part]
+                cosines[open_, part] += dense[open_] @ self.matrix[b]
             if len(open_) < len(queries):
                 cosines[np.flatnonzero(bounds[:, b] <= least), part] = 0
         return [self._best(q, row, k) for q, row in zip(queries, cosines, strict=True)]
@@ -378,7 +378,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, ke
     classes = np.array([x[0] for x in got], np.int64)
     weight = rows / rows.sum() / (drawn / drawn.sum())
     model = Model(idf, marks, None, classes, [x[1] for x in got], weight, 0.0)
-    made = [model.vector(*x) for x in _parts([x[2] for x in got], [x[3] for x in got])]
+    made = [(t, w.astype(np.float32)) for t, w in (model.vector(*x) for x in _parts([x[2] for x in got], [x[3] for x in got]))]
+    got.clear()
     model.index = BlockMaxIndex(made, len(terms))
     bare = np.array([not len(x[0]) for x in made])
     mass = [float(weight[y] * (bare & (classes == y)).sum()) for y in (0, 1)]
@@ -404,8 +405,19 @@ def scored(apart: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
         evidence = [pa.array([x[k] for x in made], pa.list_(t)) for k, t in enumerate(kinds, 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), score, predicted, *evidence], [key, "score", "predicted", "neighbours", "cosines", "terms", "clean_neighbours", "clean_cosines"])
 
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:  # a pass over the index serves QUERIES texts
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= QUERIES:
+                yield each(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, rows = [], 0
+        if rows:
+            yield each(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
     evidence = f"neighbours array<{kind}>, cosines array<double>, terms array<string>, clean_neighbours array<{kind}>, clean_cosines array<double>"
-    return common.mapped(apart.select("key", "terms", "counts"), f"`{key}` {kind}, score double, predicted int, {evidence}", each)
+    return apart.select("key", "terms", "counts").mapInArrow(run, f"`{key}` {kind}, score double, predicted int, {evidence}")
 
 
 def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
