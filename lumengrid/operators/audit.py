@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tone as T
+from . import order as O
 from . import stencil as W
 
 c = F.col
@@ -28,9 +29,8 @@ def region_masks(px: DataFrame, route: Column) -> DataFrame:
     p = px.withColumn("_l", F.log2(F.greatest(T.luma(c("r"), c("g"), c("b")), F.lit(0.0)) + OFFSET)).withColumn("_route", route)
     back = lambda w: F.coalesce(F.abs(c("_l") - F.lag("_l").over(w)), F.lit(0.0))
     p = W.local_std(p.withColumn("_g", F.round(F.greatest(back(row), back(column)), 9)), "_l", "_s", LOCAL).withColumn("_s", F.round("_s", 6))
-    at = lambda name, *qs: F.percentile(name, F.array(*[F.lit(q) for q in qs]))
-    cuts = p.groupBy("img").agg(at("_g", GRAD_SMOOTH, GRAD_EDGE).alias("_gq"), at("_s", STD_SMOOTH, STD_TEXTURE).alias("_sq"))
-    p = p.join(cuts, "img")
+    cuts = O.quantiles(p, ["img"], {"_g": [GRAD_SMOOTH, GRAD_EDGE], "_s": [STD_SMOOTH, STD_TEXTURE]})
+    p = p.join(cuts.withColumnsRenamed({"_g": "_gq", "_s": "_sq"}), "img")
     v = F.greatest("r", "g", "b").cast("double")
     smooth = (c("_g") <= c("_gq")[0]) & (c("_s") <= c("_sq")[0])
     holds = (F.lit(True), v <= 0.25, (v > 0.25) & (v <= 1), (v > 1) & (v <= 4), v > 4, smooth, smooth & (v <= 0.25), c("_g") >= c("_gq")[1], c("_s") >= c("_sq")[1], c("_route"), ~c("_route"))

@@ -42,14 +42,22 @@ def local_std(df: DataFrame, value: str, new: str, r: int) -> DataFrame:
     return moments.withColumn(new, F.sqrt(F.greatest(F.col("_m2") - F.col("_m1") * F.col("_m1"), F.lit(0.0)))).drop("_sq", "_m1", "_m2")
 
 
-def guided(df: DataFrame, plane: str, guide: str, new: str, r: int, eps: float) -> DataFrame:
-    """Edge-keeping low-pass of plane: local linear models of the guide, averaged."""
-    p, g = F.col(plane), F.col(guide)
-    means = box_mean(df.withColumns({"_gp": g * p, "_gg": g * g}), {"_mp": plane, "_mg": guide, "_mgp": "_gp", "_mgg": "_gg"}, r)
-    a = (F.col("_mgp") - F.col("_mg") * F.col("_mp")) / (F.col("_mgg") - F.col("_mg") * F.col("_mg") + eps)
-    lines = means.withColumn("_a", a).withColumn("_b", F.col("_mp") - F.col("_a") * F.col("_mg"))
-    out = box_mean(lines, {"_ma": "_a", "_mb": "_b"}, r).withColumn(new, F.col("_ma") * g + F.col("_mb"))
-    return out.drop("_gp", "_gg", "_mp", "_mg", "_mgp", "_mgg", "_a", "_b", "_ma", "_mb")
+def guided(df: DataFrame, planes: dict[str, str], guide: str, r: int, eps: float, means: dict[str, str] | None = None) -> DataFrame:
+    """df with an edge-keeping low-pass of each plane (new -> plane): local linear models of the guide, averaged.
+
+    All planes share their passes; `means` (new -> column) are box means that are made in the first of them as well.
+    """
+    g = F.col(guide)
+    products = {"_gg": g * g} | {f"_gp_{k}": g * F.col(p) for k, p in planes.items()}
+    wanted = {"_mg": guide, "_mgg": "_gg"} | {f"_mp_{k}": p for k, p in planes.items()} | {f"_mgp_{k}": f"_gp_{k}" for k in planes} | (means or {})
+    first = box_mean(df.withColumns(products), wanted, r).drop(*products)
+    variance = F.col("_mgg") - F.col("_mg") * F.col("_mg") + eps
+    slopes = {f"_a_{k}": (F.col(f"_mgp_{k}") - F.col("_mg") * F.col(f"_mp_{k}")) / variance for k in planes}
+    lines = first.withColumns(slopes).withColumns({f"_b_{k}": F.col(f"_mp_{k}") - F.col(f"_a_{k}") * F.col("_mg") for k in planes})
+    lines = lines.drop("_mg", "_mgg", *[f"_{m}_{k}" for k in planes for m in ("mp", "mgp")])
+    out = box_mean(lines, {f"_m{m}_{k}": f"_{m}_{k}" for k in planes for m in "ab"}, r)
+    out = out.withColumns({k: F.col(f"_ma_{k}") * g + F.col(f"_mb_{k}") for k in planes})
+    return out.drop(*[f"_{m}_{k}" for k in planes for m in ("a", "b", "ma", "mb")])
 
 
 def block_reduced(df: DataFrame, scale: int, made: dict[str, Column]) -> DataFrame:

@@ -353,8 +353,15 @@ def a11(spark, d):
 def a12(spark, d):
     """Running counts before each bit give the same code length as counts alone."""
     s = P.with_words(G.grid(spark, d, "evt1")).select((c("y") % 4).alias("ctx"), (c("y") * 100 + c("x")).alias("pos"), B.bit(c("b"), 20).alias("one"))
-    before = Window.partitionBy("ctx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    k = s.withColumns({"n": F.count(F.lit(1)).over(before), "ones": F.coalesce(F.sum("one").over(before), F.lit(0))})
+    # counts before a chunk of 4,096 places from a small table, and running counts inside it
+    s = s.withColumn("chunk", F.expr("pos div 4096"))
+    run = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = s.groupBy("ctx", "chunk").agg(F.count(F.lit(1)).alias("m"), F.sum("one").alias("k"))
+    over = run(Window.partitionBy("ctx").orderBy("chunk"))
+    whole = whole.select("ctx", "chunk", F.coalesce(F.sum("m").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum("k").over(over), F.lit(0)).alias("k0"))
+    inside = run(Window.partitionBy("ctx", "chunk").orderBy("pos"))
+    k = s.withColumns({"n": F.count(F.lit(1)).over(inside), "ones": F.coalesce(F.sum("one").over(inside), F.lit(0))}).join(whole, ["ctx", "chunk"])
+    k = k.withColumns({"n": c("n") + c("n0"), "ones": c("ones") + c("k0")})
     hits = F.when(c("one") == 1, c("ones")).otherwise(c("n") - c("ones"))
     seq = k.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), F.sum("one").alias("ones"), F.sum(F.log2((c("n") + 1) / (hits + 0.5))).alias("sequential"))
     return seq.select("ctx", "n", F.round(E.kt_bits(c("n") - c("ones"), c("ones")), 6).alias("batch"), F.round("sequential", 6).alias("sequential"))

@@ -9,6 +9,7 @@ from ..functions import bits as B
 from ..functions import tone as T
 from ..operators import entropy as E
 from ..operators import multires as M
+from ..operators import order as D
 from ..operators import predict as P
 from ..operators import quality as Y
 from ..operators import quantize as Q
@@ -76,7 +77,7 @@ ab AS (SELECT *, (mgp - mg * mp) / (mgg - mg * mg + 0.1) AS a FROM b1), ac AS (S
 @query("w03_guided_filter", f"{_GUIDE} SELECT img, y, x, round(ma * yp + mb, 6) AS low FROM b2")
 def w03(spark, d):
     """Guided low-pass of the co plane by luma."""
-    return W.guided(N.planes(px(spark, d)).select("img", "y", "x", "yp", "co"), "co", "yp", "low", 2, 0.1).select("img", "y", "x", F.round("low", 6).alias("low"))
+    return W.guided(N.planes(px(spark, d)).select("img", "y", "x", "yp", "co"), {"low": "co"}, "yp", 2, 0.1).select("img", "y", "x", F.round("low", 6).alias("low"))
 
 
 @query("w04_block_mean", f"{_EVT} SELECT img, y // 2 AS by, x // 2 AS bx, round(avg(v), 6) AS mean, max(CASE WHEN v > 300 THEN 1 ELSE 0 END) AS hot, count(*) AS n FROM p GROUP BY ALL")
@@ -112,7 +113,7 @@ def w09(spark, d):
     r, k = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     grad = F.greatest(F.coalesce(F.abs(c("v") - F.lag("v").over(r)), F.lit(0.0)), F.coalesce(F.abs(c("v") - F.lag("v").over(k)), F.lit(0.0)))
     g = plane(spark, d, "evt1", "part1").withColumn("grad", grad)
-    q = g.groupBy("img").agg(F.percentile("grad", F.array(F.lit(0.35), F.lit(0.95))).alias("q"))
+    q = D.quantiles(g, ["img"], {"grad": [0.35, 0.95]}).withColumnRenamed("grad", "q")
     j = g.join(q, "img")
     return j.groupBy("img").agg(F.count_if(c("grad") <= c("q")[0]).alias("smooth"), F.count_if(c("grad") >= c("q")[1]).alias("edge"), F.round(F.max(c("q")[0]), 6).alias("q35"), F.round(F.max(c("q")[1]), 6).alias("q95"))
 
@@ -123,12 +124,19 @@ def w11(spark, d):
     return plane(spark, d, "evt1", "part1").withColumn("dx", dx).groupBy("img").agg(F.round(F.avg(F.when(c("x") % 16 == 0, c("dx"))), 5).alias("boundary"), F.round(F.avg(F.when(c("x") % 16 != 0, c("dx"))), 5).alias("inside"))
 
 
-@query("w14_bitshuffle", f"WITH {grid_sql('evt1')}, {WORDS}, i AS (SELECT (y * 100 + x) // 8 AS block, (y * 100 + x) % 8 AS k, b FROM go), f AS (SELECT *, count(*) OVER (PARTITION BY block) AS n FROM i) SELECT block, plane, sum(((b >> plane) & 1) << CAST(k AS INTEGER))::BIGINT AS v FROM f, (SELECT CAST(unnest(range(32)) AS INTEGER) AS plane) WHERE n = 8 GROUP BY ALL")
+@query("w14_bitshuffle", f"WITH {grid_sql('evt1')}, {WORDS}, i AS (SELECT (y * 100 + x) // 8 AS block, (y * 100 + x) % 8 AS k, b FROM go WHERE y * 100 + x <> 3), f AS (SELECT *, count(*) OVER (PARTITION BY block) AS n FROM i) SELECT block, plane, sum(((b >> plane) & 1) << CAST(k AS INTEGER))::BIGINT AS v FROM f, (SELECT CAST(unnest(range(32)) AS INTEGER) AS plane) WHERE n = 8 GROUP BY ALL UNION ALL SELECT block, CAST(-1 - k AS INTEGER), b FROM f WHERE n < 8")
 def w14(spark, d):
-    w = P.with_words(G.grid(spark, d, "evt1")).withColumn("i", c("y") * 100 + c("x"))
+    """Words by bit plane, eight to a byte; the words of a block that is not full stay as they are."""
+    w = P.with_words(G.grid(spark, d, "evt1")).withColumn("i", c("y") * 100 + c("x")).filter("i <> 3")
     return S.bitshuffled(w, [], "i", "b")
 
 
+@query("w14_bitshuffle_inverse", f"WITH {grid_sql('evt1')}, {WORDS} SELECT y * 100 + x AS index, b AS word FROM go WHERE y * 100 + x <> 3")
+def w14_inverse(spark, d):
+    """The words again from their planes."""
+    return S.unshuffled(w14(spark, d), [])
+
+
 @query("w16_point_guard", f"{_EVT} SELECT img, count(*) FILTER ((x - 20) * (x - 20) + (y - 5) * (y - 5) <= 16) AS disc, count(*) FILTER (x = 0 OR y = 0) AS edge FROM p GROUP BY img")
 def w16(spark, d):
     disc = (c("x") - 20) * (c("x") - 20) + (c("y") - 5) * (c("y") - 5) <= 16
@@ -179,7 +187,7 @@ def q11(spark, d):
 def q12(spark, d):
     """Q12: range between percentiles; what lies outside escapes."""
     p = plane(spark, d, "evt1")
-    b = p.groupBy("img").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
+    b = D.quantiles(p, ["img"], {"v": [0.01, 0.99]}).select("img", c("v")[0].alias("lo"), c("v")[1].alias("hi"))
     j = p.join(b, "img").withColumn("out", (c("v") < c("lo")) | (c("v") > c("hi")))
     return j.groupBy("img").agg(F.count_if("out").alias("escaped"), F.count(F.lit(1)).alias("n"), F.sum(F.when(c("out"), 0).otherwise(Q.index_of(c("v"), c("lo"), c("hi"), 7))).alias("total"))
 
@@ -210,8 +218,8 @@ def a48(spark, d):
 @query("a47_quantile_codebook", f"WITH {grid_sql('evt1')}, k AS (SELECT unnest(range(16)) AS k), b AS (SELECT k.k, quantile_cont(CAST(v AS DOUBLE), (k.k + 0.5) / 16) AS code FROM g, k GROUP BY k.k) SELECT k AS code_no, round(code, 5) AS code, round(max(code) OVER (ORDER BY k), 5) AS monotone FROM b".replace("quantile_cont(CAST(v AS DOUBLE), (k.k + 0.5) / 16)", "list_extract(quantile_cont(CAST(v AS DOUBLE), [" + ", ".join(str((i + 0.5) / 16) for i in range(16)) + "]), k.k + 1)"))
 def a47(spark, d):
     """Quantile codebook, made monotone by a running maximum."""
-    at = F.percentile("v", F.array(*[F.lit((i + 0.5) / 16) for i in range(16)]))
-    k = plane(spark, d, "evt1").agg(at.alias("p")).select(F.posexplode("p").alias("code_no", "code"))
+    p = D.quantiles(plane(spark, d, "evt1"), ["img"], {"v": [(i + 0.5) / 16 for i in range(16)]})
+    k = p.select(F.posexplode("v").alias("code_no", "code"))
     running = F.max("code").over(Window.partitionBy().orderBy("code_no").rowsBetween(Window.unboundedPreceding, 0))  # 16 rows
     return k.select(c("code_no").cast("long").alias("code_no"), F.round("code", 5).alias("code"), F.round(running, 5).alias("monotone"))
 
@@ -228,15 +236,16 @@ def a25(spark, d):
 def a26(spark, d):
     """Interpolated and nearest-rank percentiles."""
     g = G.grids(spark, d, *TWO)
-    rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by v)").cast("double")
-    return g.groupBy("img").agg(F.round(F.percentile("v", F.lit(0.97)), 6).alias("p97"), F.round(F.percentile("v", F.lit(0.5)), 6).alias("p50"), rank(0.99).alias("d99"), rank(0.999).alias("d999"))
+    between = D.quantiles(g, ["img"], {"v": [0.97, 0.5]}).select("img", F.round(c("v")[0], 6).alias("p97"), F.round(c("v")[1], 6).alias("p50"))
+    return between.join(D.quantiles(g, ["img"], {"v": [0.99, 0.999]}, nearest=True).select("img", c("v")[0].alias("d99"), c("v")[1].alias("d999")), "img")
 
 
 @query("a27_robust_sigma", f"WITH {grid_sql(*TWO)}, m AS (SELECT *, median(CAST(v AS DOUBLE)) OVER (PARTITION BY img) AS m FROM g) SELECT img, round(1.4826 * median(abs(CAST(v AS DOUBLE) - m)), 6) AS sigma FROM m GROUP BY img")
 def a27(spark, d):
     g = G.grids(spark, d, *TWO).withColumn("v", c("v").cast("double"))
-    m = g.groupBy("img").agg(F.median("v").alias("m"))
-    return g.join(m, "img").groupBy("img").agg(F.round(1.4826 * F.median(F.abs(c("v") - c("m"))), 6).alias("sigma"))
+    m = D.quantiles(g, ["img"], {"v": [0.5]}).select("img", c("v")[0].alias("m"))
+    off = D.quantiles(g.join(m, "img").withColumn("off", F.abs(c("v") - c("m"))), ["img"], {"off": [0.5]})
+    return off.select("img", F.round(1.4826 * c("off")[0], 6).alias("sigma"))
 
 
 _Q8 = "q AS (SELECT img, y, x, c, CAST(v AS DOUBLE) AS o, floor(CAST(v AS DOUBLE) * 16) / 16 AS d FROM g)"
@@ -338,7 +347,37 @@ def m11(spark, d):
     return N.chroma_split(p).select("img", "y", "x", F.round("co_high", 5).alias("high"))
 
 
-@query("m14_reconstruct")
+_BOTH = f"""WITH {grid_sql('ord3')}, {_PXR}, l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS luma, greatest(r, g, b) AS maxrgb, pow(r, 0.75) AS vr, pow(g, 0.75) AS vg, pow(b, 0.75) AS vb FROM px),
+p AS (SELECT *, log2(1 + greatest(luma, 0)) AS ll, (vr + 2 * vg + vb) / 4 AS yp, vr - vb AS co, vg - (vr + vb) / 2 AS cg FROM l), p2 AS (SELECT *, ll * ll AS l2, yp * yp AS gg, yp * co AS gco, yp * cg AS gcg FROM p),
+{box_sql('p2', 'b1', {'m1': 'll', 'm2': 'l2', 'mg': 'yp', 'mgg': 'gg', 'mco': 'co', 'mcg': 'cg', 'mgco': 'gco', 'mgcg': 'gcg'}, 2, 'img, y, x, r, g, b, luma, maxrgb, yp, co, cg')},
+s1 AS (SELECT *, luma <= 0.5 AND sqrt(greatest(m2 - m1 * m1, 0)) <= 0.0025 AS route0, (mgco - mg * mco) / (mgg - mg * mg + 0.1) AS aco, (mgcg - mg * mcg) / (mgg - mg * mg + 0.1) AS acg FROM b1),
+s2 AS (SELECT *, mco - aco * mg AS bco, mcg - acg * mg AS bcg FROM s1),
+{box_sql('s2', 'b2', {'xco': 'aco', 'zco': 'bco', 'xcg': 'acg', 'zcg': 'bcg'}, 2, 'img, y, x, r, g, b, luma, maxrgb, yp, co, cg, route0')},
+s3 AS (SELECT *, xco * yp + zco AS lco, xcg * yp + zcg AS lcg FROM b2), s4 AS (SELECT *, co - lco AS hco, cg - lcg AS hcg FROM s3),
+me AS (SELECT median(hco) AS mo, median(hcg) AS mc FROM s4), md AS (SELECT greatest(1.4826 * 2.5 * median(abs(hco - mo)), 1e-12) AS tho, greatest(1.4826 * 2.5 * median(abs(hcg - mc)), 1e-12) AS thc FROM s4, me),
+st AS (SELECT quantile_cont(maxrgb, 0.97) AS p97, quantile_cont(maxrgb, 0.99) AS p99, max(maxrgb) AS top FROM s4),
+cd AS (SELECT ord, CASE {' '.join(f"WHEN ord = {i} THEN (SELECT quantile_cont(maxrgb, {p / 100}) FROM s4)" for i, p in enumerate(N.CANDIDATES))} END AS t FROM (SELECT unnest(range({len(N.CANDIDATES)})) AS ord)),
+ce AS (SELECT ord, t, (coalesce(max(yp) FILTER (NOT route0 AND maxrgb <= t), max(yp)) - coalesce(min(yp) FILTER (NOT route0 AND maxrgb <= t), min(yp))) / 255 AS step FROM s4, cd GROUP BY ALL),
+ck AS (SELECT t AS cut FROM ce ORDER BY CASE WHEN step <= 0.0032 THEN ord ELSE 100 - ord END LIMIT 1),
+s5 AS (SELECT s4.*, route0 OR (greatest(top / p99, p99 / p97) >= 4 AND maxrgb > cut) AS route, sign(hco) * greatest(abs(hco) - tho, 0) AS co_high, sign(hcg) * greatest(abs(hcg) - thc, 0) AS cg_high, log2(1 + r) AS tr, log2(1 + g) AS tg, log2(1 + b) AS tb FROM s4, md, st, ck),
+s6 AS (SELECT *, NOT route AND (co_high <> 0 OR cg_high <> 0) AS high FROM s5),
+bl AS (SELECT y // 2 AS by, x // 2 AS bx, avg(lco) AS cco, avg(lcg) AS ccg, bool_or(route) AS touched FROM s6 GROUP BY ALL),
+ra AS (SELECT {', '.join(f"coalesce({f}({n}) FILTER ({w}), {f}({n})) AS {e}_{n}" for n, w in (('yp', 'NOT route'), ('co_high', 'high'), ('cg_high', 'high'), ('tr', 'route'), ('tg', 'route'), ('tb', 'route')) for e, f in (('lo', 'min'), ('hi', 'max')))} FROM s6),
+rb AS (SELECT {', '.join(f"coalesce({f}({n}) FILTER (NOT touched), {f}({n})) AS {e}_{n}" for n in ('cco', 'ccg') for e, f in (('lo', 'min'), ('hi', 'max')))} FROM bl)"""
+
+
+def _back_sql(n: str, bits: int) -> str:
+    top = (1 << bits) - 1
+    return f"CASE WHEN hi_{n} > lo_{n} THEN lo_{n} + least(greatest(floor(({n} - lo_{n}) / (hi_{n} - lo_{n}) * {top} + 0.5), 0), {top}) * (hi_{n} - lo_{n}) / {top} ELSE lo_{n} END"
+
+
+_M14 = f"""{_BOTH}, d AS (SELECT s6.img, s6.y, s6.x, r, g, b, route, {_back_sql('yp', 8)} AS dy, {_back_sql('cco', 8)} + CASE WHEN high THEN {_back_sql('co_high', 5)} ELSE 0 END AS dco, {_back_sql('ccg', 8)} + CASE WHEN high THEN {_back_sql('cg_high', 5)} ELSE 0 END AS dcg, {_back_sql('tr', 10)} AS dr, {_back_sql('tg', 10)} AS dg, {_back_sql('tb', 10)} AS db FROM s6 JOIN bl ON bl.by = s6.y // 2 AND bl.bx = s6.x // 2, ra, rb),
+e AS (SELECT *, dy - dcg / 2 + dco / 2 AS er, dy + dcg / 2 AS eg, dy - dcg / 2 - dco / 2 AS eb FROM d),
+f AS (SELECT img, y, x, route, r, g, b, {', '.join(f"CASE WHEN route THEN sign(d{k}) * (pow(2, abs(d{k})) - 1) ELSE sign(e{k}) * pow(abs(e{k}), 4.0 / 3) END AS {k}{k}" for k in 'rgb')} FROM e)"""
+_SHOWN = lambda k: f"pow(least(greatest({k} / 4, 0), 1), 1 / 2.2)"
+
+
+@query("m14_reconstruct", f"{_M14} SELECT img, y, x, route, abs((0.2126 * {_SHOWN('rr')} + 0.7152 * {_SHOWN('gg')} + 0.0722 * {_SHOWN('bb')}) - (0.2126 * {_SHOWN('r')} + 0.7152 * {_SHOWN('g')} + 0.0722 * {_SHOWN('b')})) >= 0.010 AS guard, round(rr, 4) AS rr, round(gg, 4) AS gg, round(bb, 4) AS bb FROM f")
 def m14(spark, d):
     """Every decoded pixel, its route and whether the visual guard would route it."""
     out = N.visual_guard(N.reconstructed(px(spark, d)))
@@ -349,7 +388,7 @@ def m14(spark, d):
 def m15(spark, d):
     r = N.first_route(N.planes(px(spark, d)))
     rate = lambda k: F.round(F.avg(c(k).cast("double")), 6).alias(f"{k}_rate")
-    return r.groupBy("img").agg(F.count(F.lit(1)).alias("n"), rate("dark"), rate("smooth"), F.round(F.max("maxrgb") / F.percentile("maxrgb", F.lit(0.99)), 6).alias("max_over_p99"))
+    return r.groupBy("img").agg(F.count(F.lit(1)).alias("n"), rate("dark"), rate("smooth"), F.max("maxrgb").alias("top")).join(D.quantiles(r, ["img"], {"maxrgb": [0.99]}), "img").select("img", "n", "dark_rate", "smooth_rate", F.round(c("top") / c("maxrgb")[0], 6).alias("max_over_p99"))
 
 
 # --- quality
@@ -541,7 +580,7 @@ def j13(spark, d):
 @query("j15_top_rate_mask", f"{_EVT}, t AS (SELECT img, quantile_cont(v, 0.95) AS t FROM p GROUP BY img) SELECT p.img, p.y, p.x FROM p JOIN t ON p.img = t.img WHERE v > t.t")
 def j15(spark, d):
     p = plane(spark, d, "evt1", "part1")
-    t = p.groupBy("img").agg(F.percentile("v", F.lit(0.95)).alias("t"))
+    t = D.quantiles(p, ["img"], {"v": [0.95]}).select("img", c("v")[0].alias("t"))
     return p.join(t, "img").filter("v > t").select("img", "y", "x")
 
 

@@ -211,7 +211,7 @@ _IDX = lambda e, lo, hi, n: f"CAST(least(greatest(floor(({e} - {lo}) / ({hi} - {
 
 @query("q16_asymmetric_color", f"{_YC} SELECT img, y, x, {_IDX('l', 'l0', 'l1', 255)} AS ql, {_IDX('co', 'o0', 'o1', 31)} AS qo, {_IDX('cg', 'g0', 'g1', 31)} AS qg FROM p, s")
 def q16(spark, d):
-    """Q15, Q16: eight bits of luma, five of each chroma plane."""
+    """Q16: eight bits of luma, five of each chroma plane."""
     r, g, b = (c(k).cast("double") for k in "rgb")
     y, co, cg = T.ycocg(r, g, b)
     p = G.pixels(G.grid(spark, d, "ord3")).select("img", "y", "x", y.alias("l"), co.alias("o"), cg.alias("g"))
@@ -244,13 +244,17 @@ def e12(spark, d):
     """The smallest of raw, order-0 and order-1 for each stream, with their tables."""
     from .coding import byte_planes
 
-    w = Window.partitionBy("img", "plane").orderBy("y", "x", "c")
-    return O.stream_methods(byte_planes(spark, d).withColumn("ctx", F.lag("byte", 1, 0).over(w)), ["img", "plane"], "ctx", "byte")
+    # the byte before: in the row, or the last one of the row before, from a table of a row for each line of the image
+    s = byte_planes(spark, d).withColumn("before", F.lag("byte").over(Window.partitionBy("img", "plane", "y").orderBy("x", "c")))
+    ends = s.groupBy("img", "plane", "y").agg(F.max_by("byte", F.struct("x", "c")).alias("end"))
+    ends = ends.select("img", "plane", "y", F.lag("end", 1, 0).over(Window.partitionBy("img", "plane").orderBy("y")).alias("carried"))
+    s = s.join(ends, ["img", "plane", "y"]).withColumn("ctx", F.coalesce("before", "carried"))
+    return O.stream_methods(s, ["img", "plane"], "ctx", "byte")
 
 
 @query("s17_stream_shares", f"{_ST} SELECT img, plane, CAST(size AS BIGINT) AS size, round(size / sum(size) OVER (PARTITION BY img), 6) AS share FROM w WHERE k = 1")
 def s17(spark, d):
-    """Each stream's share of its image's bytes."""
+    """Each byte plane's share of its image's bytes (s15 and s16 parse containers)."""
     e = e12(spark, d)
     return e.select("img", "plane", "size", F.round(c("size") / F.sum("size").over(Window.partitionBy("img")), 6).alias("share"))
 
@@ -315,7 +319,7 @@ def t03(spark, d):
 
 @query("t06_band_sigma", f"{_EVT}, q AS (SELECT img, y // 2 AS y, x // 2 AS x, max(v) FILTER (y % 2 = 0 AND x % 2 = 0) AS a, max(v) FILTER (y % 2 = 0 AND x % 2 = 1) AS b, max(v) FILTER (y % 2 = 1 AND x % 2 = 0) AS c, max(v) FILTER (y % 2 = 1 AND x % 2 = 1) AS d FROM p GROUP BY ALL HAVING count(*) = 4), s AS (SELECT img, unnest(['hl', 'lh', 'hh']) AS band, unnest([(a - b + c - d) / 2, (a + b - c - d) / 2, (a - b - c + d) / 2]) AS v FROM q) SELECT img, band, round(stddev_pop(v), 5) AS sigma FROM s GROUP BY ALL")
 def t06(spark, d):
-    """Deviations of the Haar detail bands."""
+    """Deviations of the Haar detail bands."""
     from ..operators import multires as M
 
     return M.haar(plane(spark, d, "evt1", "part1"), "v", 1).filter("band <> 'll'").groupBy("img", "band").agg(F.round(F.stddev_pop("v"), 5).alias("sigma"))
@@ -328,5 +332,3 @@ def t07(spark, d):
     features = {"w": B.bit(c("w"), 24), "n": B.bit(c("n"), 24), "nw": B.bit(c("nw"), 24), "p1": B.bit(c("o"), 25), "p2": B.bit(c("o"), 26), "xo": c("x") % 2}
     return O.context_tree(n.select(B.bit(c("o"), 24).alias("one"), *[v.cast("long").alias(k) for k, v in features.items()]), list(features), "one", 4)
 
-
-__all__ = ["results", "W", "Y", "S"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import tone as T
 from ..operators import entropy as E
+from ..operators import order as D
 from ..operators import predict as P
 from ..operators import pyramid as Y
 from ..operators import quantize as Q
@@ -295,7 +296,7 @@ def q04(spark, d):
 def q12(spark, d):
     """Q12: six bits inside the middle 98 %, samples outside kept as they are."""
     p = plane(spark, d, "evt1", "part1")
-    r = p.groupBy("img").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("r")).select("img", c("r")[0].alias("lo"), c("r")[1].alias("hi"))
+    r = D.quantiles(p, ["img"], {"v": [0.01, 0.99]}).select("img", c("v")[0].alias("lo"), c("v")[1].alias("hi"))
     j = p.join(r, "img").withColumn("escaped", (c("v") < c("lo")) | (c("v") > c("hi")))
     rec = Q.value_of(Q.index_of(c("v"), c("lo"), c("hi"), 6), c("lo"), c("hi"), 6)
     return j.select("img", "y", "x", "escaped", F.round(F.when(c("escaped"), c("v")).otherwise(rec), 5).alias("rec"))
@@ -373,7 +374,7 @@ def _lloyd_sql(steps: int, k: int) -> str:
 def a47(spark, d):
     """Eight centres from quantiles, then three Lloyd steps (means of codes; an empty code keeps its centre; running maximum)."""
     p, k = plane(spark, d, "evt1", "part1"), 8
-    cs = p.groupBy("img").agg(F.percentile("v", F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("cs"))
+    cs = D.quantiles(p, ["img"], {"v": [(i + 0.5) / k for i in range(k)]}).withColumnRenamed("v", "cs")
     for _ in range(3):
         code = F.size(F.filter(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: (F.element_at("cs", j) + F.element_at("cs", j + 1)) / 2 < c("v")))
         means = p.join(cs, "img").groupBy("img", "cs").agg(*[F.avg(F.when(code == i, c("v"))).alias(f"m{i}") for i in range(k)])  # one wide aggregate for each step
@@ -404,15 +405,15 @@ def a30(spark, d):
 
 
 _D3 = "(lgamma(n + 1.5) - lgamma(CAST(1.5 AS DOUBLE)) - lgamma(zero + 0.5) - lgamma(one + 0.5) - lgamma(n - zero - one + 0.5) + 3 * lgamma(CAST(0.5 AS DOUBLE))) / ln(2)"
-_BM = f"WITH {grid_sql(*TWO)}, {WORDS}, i AS (SELECT img, b, (row_number() OVER (PARTITION BY img ORDER BY y, x, c) - 1) // 8 AS k FROM go), u AS (SELECT img, k, bit, count(*) AS m, sum((b >> bit) & 1) AS s FROM i, (SELECT CAST(unnest(range(15)) AS INTEGER) AS bit) GROUP BY ALL), z AS (SELECT img, bit, count(*) AS n, count(*) FILTER (s > 0) AS ones, count(*) FILTER (s = 0) AS zero, count(*) FILTER (s = m) AS one FROM u GROUP BY ALL)"
+_BM = f"WITH {grid_sql(*TWO)}, {WORDS}, sd AS (SELECT img, max(x) + 1 AS wd, max(c) + 1 AS ch FROM go GROUP BY img), i AS (SELECT go.img, b, ((y * wd + x) * ch + c) // 8 AS k FROM go JOIN sd ON sd.img = go.img), u AS (SELECT img, k, bit, count(*) AS m, sum((b >> bit) & 1) AS s FROM i, (SELECT CAST(unnest(range(15)) AS INTEGER) AS bit) GROUP BY ALL), z AS (SELECT img, bit, count(*) AS n, count(*) FILTER (s > 0) AS ones, count(*) FILTER (s = 0) AS zero, count(*) FILTER (s = m) AS one FROM u GROUP BY ALL)"
 
 
 @query("a34_bit_matrix_costs", f"{_BM} SELECT img, round(sum({KT} + ones * 8), 3) AS zero_words, round(sum({_D3} + (n - zero - one) * 8), 3) AS constant_words, CAST(sum(n + ones * 8) AS BIGINT) AS fixed_mask FROM z GROUP BY img")
 def a34(spark, d):
     """Words of eight samples of each of 15 planes: an adaptive mask of zero words, one of zero, one and mixed words, a fixed mask."""
     w = P.with_words(G.grids(spark, d, *TWO)).select("img", "y", "x", "c", "b")
-    place = F.row_number().over(Window.partitionBy("img").orderBy("y", "x", "c")) - 1
-    i = w.withColumn("_k", place).select("img", "b", F.expr("_k div 8").alias("k"))
+    sides = w.groupBy("img").agg((F.max("x") + 1).alias("wd"), (F.max("c") + 1).alias("ch"))
+    i = w.join(sides, "img").select("img", "b", F.expr("((y * wd + x) * ch + c) div 8").alias("k"))
     sums = [F.sum(B.bit(c("b"), k)).alias(f"s{k}") for k in range(15)]
     u = i.groupBy("img", "k").agg(F.count(F.lit(1)).alias("m"), *sums)
     made = []

@@ -23,6 +23,3 @@ def window_entropy(counts: DataFrame) -> DataFrame:
     """Entropy of each window from its (finished) counts."""
     shares = counts.withColumn("total", F.expr("sum(n) over (partition by start)"))
     return shares.groupBy("start").agg(F.max("total").alias("n"), F.sum(F.col("n") * F.log2(F.col("total") / F.col("n"))).alias("bits"))
-
-
-__all__ = ["entropy_bits", "window_entropy", "windowed_counts"]
