@@ -6,7 +6,9 @@ order the four byte planes of its residual words.  A mode is chosen for each ima
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .functions import bits as B
 from .functions import tone as T
+from .operators import containers as K
 from .operators import entropy as E
 from .operators import predict as P
 from .operators import quantize as Q
 from .operators import router as N
 from .operators import streams as S
+from .sources import images as I
 
 #: Modes that a preset tries; the cheapest by adaptive bits of its planes is taken (the first wins ties).
 PRESETS: dict[str, tuple[str, ...]] = {"fast": ("raw",), "compact": ("west",), "balanced": ("raw", "west"), "quality": ("raw", "west", "north"), "max": ("raw", "west", "north")}
@@ -119,3 +123,53 @@ def encode_near_lossless(px: DataFrame) -> DataFrame:
 
 def inspect_header(frames: DataFrame, data: str = "data") -> DataFrame:
     return frames.select("*", *[v.alias(k) for k, v in S.header(c(data)).items()])
+
+
+# --- single files, without a session
+
+
+def encode_bytes(pixels: np.ndarray, preset: str = "balanced") -> bytes:
+    """Height x width x channels float32 to bytes: sides, the mode, and a byte-plane container of its residual words."""
+    height, width, channels = pixels.shape
+    bits = np.ascontiguousarray(pixels, "<f4").view("<u4").reshape(-1).astype(np.int64)
+    words = np.where(bits >= B.SIGN, B.WORD - bits, bits + B.SIGN)
+    made = []
+    for k, mode in enumerate(PRESETS[preset]):
+        r = _steps(words.reshape(height, width, channels), mode).reshape(-1).astype("<u4")
+        planes = r.view(np.uint8).reshape(-1, 4).T
+        parts = [K.plane_stream(np.ascontiguousarray(p[at : at + CHUNK]), at, width, channels) for at in range(0, len(r), CHUNK) for p in planes]
+        made.append((sum(map(len, parts)), k, mode, parts))
+    _, _, mode, parts = min(made)
+    return K.FILE_MAGIC + struct.pack("<IIBB", width, height, channels, MODES.index(mode)) + K.container(parts, len(words), CHUNK)
+
+
+MODES = ("raw", "west", "north")
+
+
+def _steps(words: np.ndarray, mode: str) -> np.ndarray:
+    if mode == "raw":
+        return words
+    return np.diff(words, axis=1 if mode == "west" else 0, prepend=0) % (1 << 32)
+
+
+def file_header(data: bytes) -> dict:
+    if not data.startswith(K.FILE_MAGIC):
+        raise ValueError("not a file of this engine")
+    width, height, channels, mode = struct.unpack("<IIBB", data[4:14])
+    return {"width": width, "height": height, "channels": channels, "mode": MODES[mode], "bytes": len(data)}
+
+
+def decode_bytes(data: bytes) -> np.ndarray:
+    head = file_header(data)
+    r = K.opened(data[14:], head["width"], head["channels"]).astype(np.int64).reshape(head["height"], head["width"], head["channels"])
+    words = r if head["mode"] == "raw" else np.cumsum(r, axis=1 if head["mode"] == "west" else 0) % (1 << 32)
+    bits = np.where(words >= B.SIGN, words - B.SIGN, B.WORD - words)
+    return bits.astype("<u4").view("<f4")
+
+
+def encode_file(source: Path | str, target: Path | str, preset: str = "balanced") -> None:
+    Path(target).write_bytes(encode_bytes(I.read_exr(Path(source).read_bytes()), preset))
+
+
+def decode_file(source: Path | str, target: Path | str) -> None:
+    Path(target).write_bytes(I.write_exr(decode_bytes(Path(source).read_bytes())))

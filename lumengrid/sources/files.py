@@ -51,3 +51,22 @@ def markdown(small: DataFrame) -> str:
     """A report's table as text; for results of a few rows."""
     lines = ["| " + " | ".join(small.columns) + " |", "|" + "---|" * len(small.columns)]
     return "\n".join(lines + ["| " + " | ".join(str(v) for v in row) + " |" for row in small.collect()])
+
+
+def write_report(table: DataFrame, path: str) -> None:
+    """A report as JSON lines and as CSV with a header, under path/json and path/csv."""
+    table.write.json(f"{path}/json")
+    table.write.option("header", True).csv(f"{path}/csv")
+
+
+def byte_windows(spark: SparkSession, pattern: str, size: int, each: int, seed: int) -> DataFrame:
+    """path, start and data: `each` seeded windows of `size` bytes of every file that has as many (the operator samples)."""
+    files = raw_files(spark, pattern).withColumn("n", F.octet_length("data")).filter(F.col("n") >= size)
+    starts = files.select("path", "data", "n", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("k"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "path", "k"), F.col("n") - size + 1).cast("int")
+    return starts.withColumn("start", start).select("path", "start", F.substring("data", F.col("start") + 1, F.lit(size)).alias("data"))
+
+
+def json_arrays(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """JSON lines with arrays, as a typed table; lines that are no JSON of the schema fail."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern)
