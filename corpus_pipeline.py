@@ -2,6 +2,11 @@
 
 ORACLE_SQL is None: no stage but the last can be said in SQL (fitted models, MinHash candidates, packing);
 tests/llm holds the pipeline against brute-force versions of its stages.
+
+Defined results: null, empty and very long texts are documents like others (the classifier decides; a null text stays
+null until packing, where it is one token); repeated rows and rows without a key that the classifier keeps go on, the
+near-duplicate stage keeps one row set for each smallest id and all rows without one; an empty table gives no rows;
+further columns of documents travel along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,8 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
+    """All stages over documents; each stage's result is written and read again, and all but the last are deleted at the end."""
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with common.scratch(spark) as kept:
+        for k, (name, stage) in enumerate(STAGES):
+            write = kept if k == len(STAGES) - 1 else common.written
+            docs = write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
