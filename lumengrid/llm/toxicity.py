@@ -186,12 +186,13 @@ def relevance(with_term: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def taken_apart(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", label: str | None = None) -> DataFrame:
-    """`key` (and `label`), and the text's `terms` (the first number, then the steps to the next) and `counts`, as 32-bit integers, as a table."""
+    """`key` (and `label`), and the text's `terms` (the first number, then the steps to the next, of 32 bits) and `counts`
+    (of 8, 16 or 32 bits, as the largest asks for), as a table."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of SAMPLE texts at most
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shared.value.counts(x) for x in batch.column(1).to_pylist()]
-        columns = [pa.array([np.diff(t, prepend=0).astype("<i4").tobytes() for t, _ in made], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in made], pa.binary())]
+        columns = [pa.array([np.diff(t, prepend=0).astype("<i4").tobytes() for t, _ in made], pa.binary()), pa.array([n.astype(np.min_scalar_type(n.max(initial=0))).tobytes() for _, n in made], pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names)
 
     kind = docs.schema[key].dataType.simpleString()
@@ -201,7 +202,7 @@ def taken_apart(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
 
 
 def _parts(terms: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.cumsum(np.frombuffer(t, "<i4"), dtype=np.int32), np.frombuffer(n, "<i4")) for t, n in zip(terms, counts, strict=True)]
+    return [(np.cumsum(np.frombuffer(t, "<i4"), dtype=np.int32), np.frombuffer(n, f"<u{4 * len(n) // len(t)}" if n else "u1")) for t, n in zip(terms, counts, strict=True)]
 
 
 def document_frequencies(apart: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -218,8 +219,8 @@ def document_frequencies(apart: DataFrame, n_terms: int) -> tuple[np.ndarray, in
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(n_terms + 1, np.int64)
-    # few tasks, each with a total of its own: the totals are what is shuffled
-    found = apart.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    # a few tasks for each core, each with a total of its own: the totals are what is shuffled
+    found = apart.select("terms").coalesce(2 * apart.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -266,7 +267,7 @@ class BlockMaxIndex:
         """The part of every example's cosine that these terms' postings give."""
         sizes = self.first[terms + 1] - self.first[terms]
         at = np.arange(sizes.sum()) + np.repeat(self.first[terms] - np.cumsum(sizes) + sizes, sizes)
-        return np.bincount(self.slots[at], self.values[at] * np.repeat(weights, sizes), self.blocks * BLOCK)
+        return np.bincount(self.slots[at], self.values[at] * np.repeat(weights.astype(np.float32), sizes), self.blocks * BLOCK)
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of the greatest positive cosine (but for its `without`), and these cosines, greatest first."""
@@ -331,7 +332,7 @@ class Model:
         self.labels, self.keys, self.weight, self.rest, self.a, self.b = labels, keys, weight, rest, a, b
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts.astype(float))) * self.idf[terms]
         return terms, w / np.sqrt(np.dot(w, w)) if len(w) else w
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
