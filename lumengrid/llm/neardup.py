@@ -11,8 +11,8 @@ Equal sets are one node.  Two rounds compare every bucket's rows with one pivot
 in round two, of another component).  Buckets whose rows are by then one component are done.  Of the rest no bucket is
 held by one task and no text is copied: their rows' packed signatures (104 bytes) are compared in blocks of BLOCK by
 BLOCK rows.  Each row names the `cap` likeliest rows of other components whose estimate passes; these pairs' full sets
-are compared and components joined, and so on, with a cap that grows eightfold when a round links nothing, until no
-row has a partner left that it has not been compared with.  So no candidate link between different components is lost,
+are compared and components joined, and so on, with a cap that grows sixteenfold each round, until no row has a partner
+left that it has not been compared with.  So no candidate link between different components is lost,
 and of a group of near copies few pairs are compared.  A bucket of n rows that are of many components costs n / BLOCK
 copies of its signatures and n^2 / 2 comparisons of them each round (see the README for figures).  Components are found
 by alternating large-star and small-star steps over tables in the shared folder.
@@ -148,18 +148,24 @@ def verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) ->
     return common.written(full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
+#: Links of a task of the component search: few links are few tasks, however many partitions a shuffle has.
+LINKS = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """`key` and `root` (the smallest key that links reach) of every key in links (a, b) but for the roots, as a table."""
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    tasks = edges.count() // LINKS + 1
+    kept = lambda df, name: common.written(df.coalesce(tasks), name)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "minima")
+        low = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "minima")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = common.written(large, "large-star")
-        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        large = kept(large, "large-star")
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        edges = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
@@ -219,19 +225,20 @@ def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFram
 def linked_in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) -> DataFrame | None:
     """All links (a, b) that rows (band, key, root) of shared bands need to become the components they belong to."""
     links = tested = None
-    cap = 1
+    cap = 4
     while not rows.isEmpty():
         pairs = in_blocks(rows, bits, kind, cap)
+        cap *= 16
         new = pairs.select("a", "b").distinct()
         new = common.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "new-pairs")
         tested = new if tested is None else common.written(tested.unionByName(new), "tested")
         found = verified(new, bits, texts, kind)
-        rows = rows.join(pairs.filter("more").select("band").distinct(), "band", "left_semi")
+        rows = common.written(rows.join(pairs.filter("more").select("band").distinct(), "band", "left_semi"), "rooted")
         if found.isEmpty():
-            cap *= 8
-            rows = common.written(rows, "rooted")
             continue
         links = found if links is None else common.written(links.unionByName(found), "links")
+        if rows.isEmpty():
+            break
         # the links between roots: components of these, few, are enough to go on with
         root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
         between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
