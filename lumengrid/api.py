@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import bits as B
 from .functions import tone as T
+from .operators import codecs as D
 from .operators import containers as K
 from .operators import entropy as E
 from .operators import predict as P
@@ -116,9 +117,18 @@ def quantize_transform(samples: DataFrame, transform: str = "linear", preset: st
     return Q.transform_index(samples, mode, Q.PRESETS[preset], ["img", "c"])
 
 
-def encode_near_lossless(px: DataFrame) -> DataFrame:
+def encode_near_lossless(px: DataFrame, options: N.Options = N.USUAL) -> DataFrame:
     """Decoded pixels of the near-lossless router with their routes."""
-    return N.reconstructed(px)
+    return N.reconstructed(px, options)
+
+
+def encode_router(px: DataFrame) -> DataFrame:
+    """Pixels (img, y, x, r, g, b), dense, to one container of twelve streams for each image."""
+    return D.routed_images(px)
+
+
+def decode_router(images: DataFrame) -> DataFrame:
+    return D.unrouted(images)
 
 
 def inspect_header(frames: DataFrame, data: str = "data") -> DataFrame:

@@ -77,11 +77,12 @@ SQL["p11_index_average"] = SQL["p11_index_average"].replace("floor(v * 25.4)", "
 @query("p13_byte_filters", f"WITH {grid_sql('evt1')}, {WORDS}, i AS (SELECT *, y * 100 + x AS idx FROM go), s AS (SELECT *, unnest([0, 1, 2, 3]) AS plane FROM i), t AS (SELECT *, (b >> CAST(8 * plane AS INTEGER)) & 255 AS byte, idx // 4096 AS chunk FROM s), u AS (SELECT *, lag(byte, 1, 0) OVER k AS w0, lag(byte, 100, 0) OVER k AS n0 FROM t WINDOW k AS (PARTITION BY chunk, plane ORDER BY idx)) SELECT chunk, plane, sum((byte - CASE WHEN x > 0 THEN w0 ELSE 0 END + 256) % 256)::BIGINT AS west, sum((byte - n0 + 256) % 256)::BIGINT AS north, count(*) AS n FROM u GROUP BY ALL")
 def p13(spark, d):
     """Byte-plane west and north residuals inside chunks of 4096 samples."""
-    w = P.with_words(G.grid(spark, d, "evt1")).withColumn("idx", c("y") * 100 + c("x"))
+    w = G.raster(P.with_words(G.grid(spark, d, "evt1"))).withColumnRenamed("i", "idx")
+    width = int(w.agg(F.max("width")).first()[0] or 1)  # the row above lies so many places back
     planes = F.explode(F.array(*[F.struct(F.lit(k).alias("plane"), B.byte(c("b"), k).alias("byte")) for k in range(4)]))
     s = w.select("x", "idx", F.expr("idx div 4096").alias("chunk"), planes.alias("s")).select("x", "idx", "chunk", "s.*")
     k = Window.partitionBy("chunk", "plane").orderBy("idx")
-    west, north = F.when(c("x") > 0, F.lag("byte", 1, 0).over(k)).otherwise(F.lit(0)), F.lag("byte", 100, 0).over(k)
+    west, north = F.when(c("x") > 0, F.lag("byte", 1, 0).over(k)).otherwise(F.lit(0)), F.lag("byte", width, 0).over(k)
     r = s.select("chunk", "plane", F.pmod(c("byte") - west, F.lit(256)).alias("rw"), F.pmod(c("byte") - north, F.lit(256)).alias("rn"))
     return r.groupBy("chunk", "plane").agg(F.sum("rw").alias("west"), F.sum("rn").alias("north"), F.count(F.lit(1)).alias("n"))
 

@@ -487,13 +487,13 @@ def t04(spark, d):
 @query("e02_range_coded_streams")
 def e02(spark, d):
     """Byte planes range-coded chunk by chunk and decoded again."""
-    s = byte_planes(spark, d).withColumn("i", (c("y") * 64 + c("x")) * 4 + c("c"))
+    s = G.raster(byte_planes(spark, d))
     return S.coded(s, ["img", "plane"], "i", "byte").select("img", "plane", "chunk", "raw_bytes", "coded_bytes", "exact")
 
 
-@query("e13_packed_masks", f"{_EVT} SELECT img, (y * 128 + x) // 8 AS byte, sum(CAST(v > 100 AS BIGINT) << CAST((y * 128 + x) % 8 AS INTEGER))::BIGINT AS v FROM p GROUP BY ALL")
+@query("e13_packed_masks", f"{_EVT}, sd AS (SELECT img, max(x) + 1 AS wd FROM p GROUP BY img) SELECT p.img, (y * wd + x) // 8 AS byte, sum(CAST(v > 100 AS BIGINT) << CAST((y * wd + x) % 8 AS INTEGER))::BIGINT AS v FROM p JOIN sd ON sd.img = p.img GROUP BY ALL")
 def e13(spark, d):
-    p = plane(spark, d, "evt1", "part1").withColumns({"i": c("y") * 128 + c("x"), "m": c("v") > 100})
+    p = G.raster(plane(spark, d, "evt1", "part1")).withColumn("m", c("v") > 100)
     return S.packed_bits(p, ["img"], "i", "m")
 
 

@@ -264,7 +264,7 @@ def e16(spark, d):
     """Sizes under the general compressors of the standard library, stream by stream."""
     from .coding import byte_planes
 
-    s = byte_planes(spark, d).withColumn("i", (c("y") * 128 + c("x")) * 4 + c("c"))
+    s = G.raster(byte_planes(spark, d))
     return O.general_codecs(s, ["img", "plane"], "i", "byte")
 
 
@@ -303,11 +303,11 @@ def j14(spark, d):
     return O.separate_peaks(plane(spark, d, "evt1", "part1"), "v", 5, 10)
 
 
-@query("j17_strided", f"{_EVT} SELECT img, count(*) AS n, count(*) FILTER ((y * 128 + x) % 7 = 0) AS picked, round(avg(v) FILTER ((y * 128 + x) % 7 = 0), 5) AS mean FROM p GROUP BY img")
+@query("j17_strided", f"{_EVT}, sd AS (SELECT img, max(x) + 1 AS wd FROM p GROUP BY img) SELECT p.img, count(*) AS n, count(*) FILTER ((y * wd + x) % 7 = 0) AS picked, round(avg(v) FILTER ((y * wd + x) % 7 = 0), 5) AS mean FROM p JOIN sd ON sd.img = p.img GROUP BY p.img")
 def j17(spark, d):
     """A strided sample (the operator samples) beside the whole."""
-    picked = (c("y") * 128 + c("x")) % 7 == 0
-    return plane(spark, d, "evt1", "part1").groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.count_if(picked).alias("picked"), F.round(F.avg(F.when(picked, c("v"))), 5).alias("mean"))
+    picked = c("i") % 7 == 0
+    return G.raster(plane(spark, d, "evt1", "part1")).groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.count_if(picked).alias("picked"), F.round(F.avg(F.when(picked, c("v"))), 5).alias("mean"))
 
 
 @query("t03_lorenzo", f"WITH {grid_sql('evt1')}, {WORDS}, {NEIGHBOURS} SELECT img, y, x, ((o - w - n + nw) % 4294967296 + 4294967296) % 4294967296 AS r FROM nb")
@@ -332,3 +332,29 @@ def t07(spark, d):
     features = {"w": B.bit(c("w"), 24), "n": B.bit(c("n"), 24), "nw": B.bit(c("nw"), 24), "p1": B.bit(c("o"), 25), "p2": B.bit(c("o"), 26), "xo": c("x") % 2}
     return O.context_tree(n.select(B.bit(c("o"), 24).alias("one"), *[v.cast("long").alias(k) for k, v in features.items()]), list(features), "one", 4)
 
+
+
+@query("s03_windows", f"WITH {grid_sql('evt1', 'part1')}, {_V} SELECT img, y, x, round(v, 5) AS v FROM p WHERE y BETWEEN 2 AND 9 AND x BETWEEN 10 AND 29")
+def s03(spark, d):
+    """A rectangle of every image; its predicates reach the scan where places are stored columns."""
+    return G.window_of(plane(spark, d, "evt1", "part1"), 10, 2, 20, 8).withColumn("v", F.round("v", 5))
+
+
+_ORIGINS = [(x, y) for x, y in G.crop_origins(100, 10, 8, 3)]
+
+
+@query("s04_crops", f"WITH {grid_sql('evt1')}, {_V}, o AS (SELECT * FROM (VALUES {', '.join(str(k) for k in _ORIGINS)}) t(x0, y0)) SELECT x0, y0, count(*) AS n, round(avg(v), 5) AS mean FROM o JOIN p ON x BETWEEN x0 AND x0 + 7 AND y BETWEEN y0 AND y0 + 7 GROUP BY ALL")
+def s04(spark, d):
+    """Evenly spaced crops of an image; a sample looks up the crops that it lies in."""
+    origins = F.array(*[F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0")) for x, y in _ORIGINS])
+    inside = F.filter(origins, lambda o: c("x").between(o["x0"], o["x0"] + 7) & c("y").between(o["y0"], o["y0"] + 7))
+    p = plane(spark, d, "evt1").select("v", F.explode(inside).alias("o")).select("v", "o.*")
+    return p.groupBy("x0", "y0").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 5).alias("mean"))
+
+
+@query("p20_predictive_planes")
+def p20_planes(spark, d):
+    """P20: indices of residuals from four predictions out of reconstructed neighbours."""
+    from ..operators import sequential as L
+
+    return L.predictive_planes(G.grid(spark, d, "ord3").withColumn("v", c("v").cast("double")), 0.02)

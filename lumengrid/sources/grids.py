@@ -37,6 +37,15 @@ def grids(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return out
 
 
+def raster(samples: DataFrame) -> DataFrame:
+    """samples with the sides of their image (`width`, `channels`) and `i`, their place in raster order."""
+    one = F.lit(1)
+    channels = F.max("c") + one if "c" in samples.columns else one
+    sides = samples.groupBy("img").agg((F.max("x") + one).cast("long").alias("width"), channels.cast("long").alias("channels"))
+    place = (F.col("y") * F.col("width") + F.col("x")) * F.col("channels") + (F.col("c") if "c" in samples.columns else F.lit(0))
+    return samples.join(sides, "img").withColumn("i", place)
+
+
 def pixels(samples: DataFrame, value: str = "v", names: str = "rgb") -> DataFrame:
     """One row for each pixel that has all channels, which become columns r, g, b, ..."""
     picks = [F.max(F.when(F.col("c") == i, F.col(value))).alias(n) for i, n in enumerate(names)]

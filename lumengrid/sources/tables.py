@@ -22,11 +22,23 @@ def folder(spark: SparkSession) -> str:
     return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where the tables of this application lie."""
+    return f"{folder(spark)}/lumengrid/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled: for when no result that reads them is needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """df written under the shared folder and read again.
 
-    A plan that is used several times is computed once, and a lost executor costs no recomputation.
+    A plan that is used several times is computed once, and a lost executor costs no recomputation.  The table stays
+    until `forget`.
     """
-    path = f"{folder(df.sparkSession)}/lumengrid/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

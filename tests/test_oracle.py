@@ -39,4 +39,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_a_test():
     without = set(catalog.QUERIES) - set(catalog.SQL)
-    assert without == {"q13_error_diffusion", "e02_range_coded_streams", "e16_general_codecs", "j14_separate_peaks", "t07_mdl_tree", "p20_predictive_index", "q14_predictive_dequantisation", "e03_adaptive_binary", "s16_container_shares", "a18_model_frequencies", "p16_quadratic_residuals", "m19_router_streams"}
+    assert without == {"q13_error_diffusion", "e02_range_coded_streams", "e16_general_codecs", "j14_separate_peaks", "t07_mdl_tree", "p20_predictive_index", "q14_predictive_dequantisation", "e03_adaptive_binary", "s16_container_shares", "a18_model_frequencies", "p16_quadratic_residuals", "m19_router_streams", "p20_predictive_planes"}

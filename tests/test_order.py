@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lumengrid.operators import order, routes, streams
+from lumengrid.sources import tables
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -64,3 +65,14 @@ def test_context_trees_are_bounded(spark):
     names = [f"f{i}" for i in range(17)]
     with pytest.raises(ValueError):
         routes.context_tree(spark.createDataFrame([tuple([0] * 18)], ", ".join(f"{k} long" for k in [*names, "one"])), names, "one", 2)
+
+
+def test_settled_tables_are_forgotten(spark, tmp_path):
+    made = tables.settled(spark.range(5).toDF("v"), "test")
+    assert made.count() == 5
+    folder = tables.own_folder(spark).removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.listdir(folder)
+    tables.forget(spark)
+    assert not os.path.exists(folder)
