@@ -233,18 +233,18 @@ def linked_in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: s
         new = common.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "new-pairs")
         tested = new if tested is None else common.written(tested.unionByName(new), "tested")
         found = verified(new, bits, texts, kind)
-        rows = common.written(rows.join(pairs.filter("more").select("band").distinct(), "band", "left_semi"), "rooted")
-        if found.isEmpty():
-            continue
-        links = found if links is None else common.written(links.unionByName(found), "links")
-        if rows.isEmpty():
-            break
-        # the links between roots: components of these, few, are enough to go on with
-        root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
-        between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        joined = components(between).select(F.col("key").alias("root"), F.col("root").alias("top"))
-        rows = common.written(rows.join(joined, "root", "left").select("band", "key", F.coalesce("top", "root").alias("root")), "rooted")
-        left = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
+        left = common.written(pairs.filter("more").select("band").distinct(), "open")
+        if not found.isEmpty():
+            links = found if links is None else common.written(links.unionByName(found), "links")
+            if left.isEmpty():
+                break
+            # the links between roots: components of these, few, are enough to go on with
+            root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
+            between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            joined = components(between).select(F.col("key").alias("root"), F.col("root").alias("top"))
+            rows = common.written(rows.join(joined, "root", "left").select("band", "key", F.coalesce("top", "root").alias("root")), "rooted")
+            several = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
+            left = several.join(left, "band")
         rows = common.written(rows.join(left, "band", "left_semi"), "rooted")
     return links
 
@@ -283,9 +283,9 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
         # the next pivot is of a component that the last one was not of
         rooted = common.written(_with_roots(rows.drop("root"), roots), "rooted")
         open_bands = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("n > 2 and r1 <> r2").select("band")
-        met = pivots.select(F.col("band"), F.col("b").alias("key"), F.lit(0).alias("zero"))
-        rows = rooted.join(common.written(open_bands, "open"), "band", "left_semi").join(met, ["band", "key"], "left")
-        rows = common.written(rows.select("band", "key", F.coalesce("zero", "degree").alias("degree"), "root"), "candidates")
+        left = common.written(open_bands.join(pivots.select("band", "b"), "band"), "open")
+        rows = rooted.join(left, "band").withColumn("degree", F.when(F.col("key") == F.col("b"), F.lit(0)).otherwise(F.col("degree")))
+        rows = common.written(rows.select("band", "key", "degree", "root"), "candidates")
     found = linked_in_blocks(rows.select("band", "key", "root"), bits, texts, kind)
     if found is not None:
         roots = components(common.written(links.unionByName(found), "links"))
