@@ -29,8 +29,10 @@ from . import common
 
 WORDS, LEAST_WINDOWS, CONFIDENCE, DISCLOSURE, REMOVED = 10, 2, 1.645, 0.5, 0.8
 KINDS = ("email", "ip", "card", "phone", "term", "name", "word")
+#: A text is looked at in blocks of so many characters, so that what a span costs does not grow with its text.
+PIECE = 4_096
 #: Characters beside a span in which its words are looked for first; where they are too few, in the next number, at last in all.
-REACH = (120, 2_000, 50_000)
+REACH = (120, PIECE)
 #: Spans are gathered in arrays of so many, and these in one, so that adding a span does not copy all before it.
 _GROUP = 256
 _EDGE, _STOP = "\ue000", "\ue001"  # these two characters of a text become "?" first: no pattern has either
@@ -107,23 +109,31 @@ def lower_bound(both: Column, windows: Column) -> Column:
     return (p + z * z / (windows * 2) - z * F.sqrt(p * (1 - p) / windows + z * z / (windows * windows * 4))) / (1 + z * z / windows)
 
 
-def _beside(text: Column, at: Column, before: bool) -> Column:
-    """The WORDS words, in lower case, that stand before (or from) place `at` of the text."""
-    length = F.length(text)
+def _blocks(text: Column) -> Column:
+    last = F.greatest(F.ceil(F.length(text) / PIECE).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+
+def _beside(text: Column, blocks: Column, place: Column, before: bool) -> Column:
+    """The WORDS words, in lower case, that stand before (or from) a place of the text."""
+    k = F.floor(place / PIECE).cast("int")
+    first = F.greatest(k - 1, F.lit(0)) if before else k
+    some = F.concat_ws("", F.get(blocks, first), F.when(first < k, F.get(blocks, k)) if before else F.get(blocks, k + 1))
+    at = place - first * PIECE
+    whole_side = first == 0 if before else k + 2 >= F.size(blocks)
 
-    def within(width: Column) -> Column:
-        if before:
-            cut, whole = F.substring(text, F.greatest(at - width + 1, F.lit(1)), F.least(at, width)), at <= width
-        else:
-            cut, whole = F.substring(text, at + 1, width), length - at <= width
+    def within(string: Column, here: Column, width: Column, all_: Column) -> Column:
+        cut = F.substring(string, F.greatest(here - width + 1, F.lit(1)), F.least(here, width)) if before else F.substring(string, here + 1, width)
         parts = F.split(F.lower(cut), r"\s+")
         inner = F.slice(parts, 2, F.size(parts)) if before else F.slice(parts, 1, F.size(parts) - 1)  # without the word that the cut may go through
-        return F.filter(F.when(whole, parts).otherwise(inner), lambda w: w != "")
+        return F.filter(F.when(all_, parts).otherwise(inner), lambda w: w != "")
 
-    out = within(length)
+    length = F.length(text)
+    out = within(text, place, length, F.lit(True))
     for width in reversed(REACH):
-        some = within(F.lit(width))
-        out = F.when(F.size(some) >= WORDS, some).otherwise(out)
+        ends = whole_side & (at <= width if before else F.length(some) - at <= width)
+        near = within(some, at, F.lit(width), ends)
+        out = F.when(ends | (F.size(near) >= WORDS), near).otherwise(out)
     n = F.size(out)
     return F.slice(out, F.greatest(n - WORDS + 1, F.lit(1)), F.lit(WORDS)) if before else F.slice(out, 1, WORDS)
 
@@ -131,14 +141,16 @@ def _beside(text: Column, at: Column, before: bool) -> Column:
 def occurrences(found: DataFrame, text: str) -> DataFrame:
     """`_row`, `entity` and window `words` (sorted, distinct) of every base span, as a table."""
 
-    def one(s: Column) -> Column:
+    def one(s: Column, blocks: Column) -> Column:
         value = F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
-        beside = F.concat(_beside(F.col(text), s["start"], True), _beside(F.col(text), s["end"], False))
+        beside = F.concat(_beside(F.col(text), blocks, s["start"], True), _beside(F.col(text), blocks, s["end"], False))
         bare = F.transform(beside, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
         words = F.array_sort(F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^\p{L}{3,}$"))))
         return F.struct(F.concat_ws(":", s["kind"].cast("string"), value).alias("entity"), words.alias("words"))
 
-    seen = found.filter(F.size("_spans") > 0).select("_row", F.explode(F.transform("_spans", one)).alias("s"))
+    # the text is cut into blocks once for all its spans
+    made = F.flatten(F.transform(F.array(_blocks(F.col(text))), lambda blocks: F.transform("_spans", lambda s: one(s, blocks))))
+    seen = found.filter(F.size("_spans") > 0).select("_row", F.explode(made).alias("s"))
     return common.written(seen.select("_row", "s.entity", "s.words"), "occurrences")
 
 
@@ -199,14 +211,27 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     names = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
 
     def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
-        piece = F.struct(acc["at"].alias("from"), (s["start"] - acc["at"]).alias("n"), s["kind"].alias("kind"))
-        return {"at": F.greatest(acc["at"], s["end"])}, F.when(s["start"] >= acc["at"], piece)
-
-    # what follows the last span is a piece of its own, without a kind
-    last = F.array_max(F.transform("_all", lambda s: s["end"]))
-    pieces = _gathered(F.col("_all"), {"at": F.lit(0)}, step, "array<struct<from:int,n:int,kind:int>>")
-    written = F.transform(pieces, lambda x: F.concat(F.substring(F.col("text"), x["from"] + 1, x["n"]), F.element_at(names, x["kind"] + 1)))
-    made = F.concat(F.array_join(written, ""), F.substring(F.col("text"), last + 1, F.length("text")))
+        gap = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        return {"at": F.greatest(acc["at"], s["end"])}, F.when(s["start"] >= acc["at"], gap).otherwise(F.when(s["end"] > acc["at"], F.struct(acc["at"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("kind"))))
+
+    # gaps in order, without overlaps; what a span adds to a gap before it has no name of its own
+    gaps = _gathered(F.col("_all"), {"at": F.lit(0)}, step, "array<struct<start:int,end:int,kind:int>>")
+
+    def block(text: Column, i: Column, all_gaps: Column) -> Column:
+        """A block of the text with the names of the gaps that start in it instead of their characters."""
+        low, high = i * PIECE, i * PIECE + PIECE
+        own = F.filter(all_gaps, lambda g: (g["start"] < high) & (g["end"] > low))
+
+        def part(acc: Column, g: Column) -> tuple[dict[str, Column], Column]:
+            kept = F.substring(text, acc["at"] - low + 1, F.greatest(g["start"] - acc["at"], F.lit(0)))
+            name = F.when((g["start"] >= low) & (g["kind"] >= 0), F.element_at(names, F.greatest(g["kind"], F.lit(0)) + 1)).otherwise("")
+            return {"at": F.greatest(acc["at"], g["end"])}, F.concat(kept, name)
+
+        end = F.greatest(low, F.coalesce(F.array_max(F.transform(own, lambda g: g["end"])), low))
+        return F.concat(F.array_join(_gathered(own, {"at": low}, part, "array<string>"), ""), F.substring(text, end - low + 1, F.lit(PIECE)))
+
+    made = F.flatten(F.transform(F.array(gaps), lambda g: F.transform(_blocks(F.col("text")), lambda t, i: block(t, i, g))))
+    made = F.array_join(made, "")
     return common.unbundled(found.withColumn("text", F.when(F.size("_all") > 0, made).otherwise(F.col("text"))), docs, text)
 
 

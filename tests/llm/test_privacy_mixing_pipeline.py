@@ -249,7 +249,7 @@ def test_rates_meet_targets_and_equal_plain_iteration(spark):
         assert x.min() >= least - 1e-12 and np.allclose((x * n) @ p, [totals[d] for d in domains], rtol=1e-9)
         y, left = plain_rates(n, p, aim, least)
         assert np.allclose((x * n) @ p, (y * n) @ p, rtol=1e-3) and gap == pytest.approx(left, abs=1e-4)
-        if least < 1:  # these targets can be met
+        if not least:  # these targets can be met
             assert gap <= mixing.TOLERANCE
         else:  # these can't: no plain small step makes the misfit notably smaller
             inverse = np.linalg.inv((p * n[:, None]).T @ p)
