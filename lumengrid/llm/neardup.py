@@ -9,8 +9,8 @@ collisions, a margin of five standard errors), then a comparison of the full set
 
 Equal sets are one node.  Two rounds compare every bucket's rows with one pivot (the row with the most candidates;
 in round two, of another component).  Buckets whose rows are by then one component are done.  Of the rest no bucket is
-held by one task and no text is copied: their rows' packed signatures (104 bytes) are compared in blocks of BLOCK by
-BLOCK rows.  Each row names the `cap` likeliest rows of other components whose estimate passes; these pairs' full sets
+held by one task and no text is copied: their rows get signatures of FINE one-bit minima (256 bytes), whose estimates
+err by a seventieth, and these are compared in blocks of BLOCK by BLOCK rows.  Each row names the `cap` likeliest rows of other components whose estimate passes; these pairs' full sets
 are compared and components joined, and so on, with a cap that grows sixteenfold each round, until no row has a partner
 left that it has not been compared with.  So no candidate link between different components is lost,
 and of a group of near copies few pairs are compared.  A bucket of n rows that are of many components costs n / BLOCK
@@ -38,6 +38,7 @@ from . import common
 
 WIDTH, PERCENT = 5, 75
 PERMUTATIONS, ROWS, BITS, BLOCK = 200, 5, 4, 2_000
+FINE = 2_048
 _LONGS = -(-PERMUTATIONS * BITS // 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,6 +49,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 #: Estimates may be this much below the threshold: five standard errors.
 _MARGIN = 5 * (0.25 * (0.75 + 1 / (2**BITS - 1)) / PERMUTATIONS) ** 0.5
+_FINE_A, _FINE_B = np.random.default_rng(2_029).integers(0, 1 << 32, (2, FINE), dtype=np.uint32)
+_FINE_A |= np.uint32(1)
+_FINE_MARGIN = 5 * 2 * (0.875 * 0.125 / FINE) ** 0.5
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -84,6 +88,16 @@ def minima(shingle_set: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine(shingle_set: np.ndarray) -> np.ndarray:
+    """The lowest bit of each of FINE minima, in longs."""
+    x = (shingle_set >> np.uint64(32)).astype(np.uint32)
+    out = np.full(FINE, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(x), 256):
+        y = x[at : at + 256, None] * _FINE_A + _FINE_B
+        np.minimum(out, (y ^ y >> np.uint32(15)).min(0), out=out)  # low bits of a product alone are not random
+    return np.packbits((out & np.uint32(1)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def packed(low: np.ndarray) -> np.ndarray:
     """The BITS low bits of each minimum, in longs."""
     per = 64 // BITS
@@ -137,7 +151,7 @@ def verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) ->
 
     def run(batches):
         last = None
-        for batch in (part for whole in batches for part in common.slices(whole, "text_a")):
+        for batch in (part for whole in batches for half in common.slices(whole, "text_a") for part in common.slices(half, "text_b")):
             good = []
             for a, b, ta, tb in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if last is None or last[0] != b:
@@ -177,11 +191,18 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def estimates(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity of the packed signature x to each of others."""
-    y = others ^ x
-    y = (y | y >> np.uint64(1) | y >> np.uint64(2) | y >> np.uint64(3)) & np.uint64(0x1111111111111111)
-    equal = 1 - np.bitwise_count(y).sum(1, dtype=np.int64) / PERMUTATIONS
-    return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
+    """Estimated similarity of the fine signature x to each of others: bits that are equal by chance are taken off."""
+    return 1 - 2 * np.bitwise_count(others ^ x).sum(1, dtype=np.int64) / FINE
+
+
+def fine_signatures(texts: DataFrame, kind: str) -> DataFrame:
+    """`key` and `bits` of texts (key, text), as a table."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [fine(shingles(t)).tolist() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["key", "bits"])
+
+    return common.written(common.mapped(texts.select("key", "text"), f"key {kind}, bits array<long>", each), "fine")
 
 
 def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFrame:
@@ -211,7 +232,7 @@ def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFram
             names, roots = others["key"].to_numpy(), others["root"].to_numpy()
             for k, r, x in zip(mine["key"], mine["root"], mine["bits"], strict=True):
                 guess = estimates(np.asarray(x).view(np.uint64), words)
-                found = np.flatnonzero((guess >= PERCENT / 100 - _MARGIN) & (roots != r))
+                found = np.flatnonzero((guess >= PERCENT / 100 - _FINE_MARGIN) & (roots != r))
                 more |= len(found) > cap
                 found = found[np.argsort(-guess[found], kind="stable")[:cap]]
                 left += [k] * len(found)
@@ -226,8 +247,11 @@ def linked_in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: s
     """All links (a, b) that rows (band, key, root) of shared bands need to become the components they belong to."""
     links = tested = None
     cap = 4
+    if rows.isEmpty():
+        return None
+    signed = fine_signatures(texts.join(rows.select("key").distinct(), "key", "left_semi"), kind)
     while not rows.isEmpty():
-        pairs = in_blocks(rows, bits, kind, cap)
+        pairs = in_blocks(rows, signed, kind, cap)
         cap *= 16
         new = pairs.select("a", "b").distinct()
         new = common.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "new-pairs")

@@ -81,7 +81,7 @@ def test_blocks_link_what_pivots_leave(spark):
         texts[2 * g + 1] = " ".join(t[:-3])
     ids = sorted(texts)
     rows = spark.createDataFrame([(1, k, k) for k in ids], "band long, key long, root long")
-    bits = spark.createDataFrame([(k, neardup.packed(neardup.minima(neardup.shingles(texts[k]))).tolist()) for k in ids], "key long, bits array<long>")
+    bits = spark.createDataFrame([(k, neardup.fine(neardup.shingles(texts[k])).tolist()) for k in ids], "key long, bits array<long>")
     block, neardup.BLOCK = neardup.BLOCK, 13
     try:
         got = {(r.a, r.b) for r in neardup.in_blocks(rows, bits, "bigint", 1).collect()}
@@ -139,6 +139,20 @@ def test_hot_band_of_unlike_texts_and_late_links(spark):
         neardup.BLOCK = block
 
 
+def test_fine_estimates_are_nearer():
+    rng = np.random.default_rng(4)
+    off = []
+    for share in (0.3, 0.6, 0.75, 0.9):
+        for _ in range(12):
+            common = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+            n = int(800 * share / (1 + share))
+            a = np.unique(np.concatenate([common[:n], rng.integers(1, 1 << 62, 400 - n).astype(np.uint64)]))
+            b = np.unique(np.concatenate([common[:n], rng.integers(1, 1 << 62, 400 - n).astype(np.uint64)]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            off.append(neardup.estimates(neardup.fine(a).view(np.uint64), neardup.fine(b).view(np.uint64)[None])[0] - true)
+    assert max(map(abs, off)) < neardup._FINE_MARGIN and abs(np.mean(off)) < 0.012
+
+
 def test_estimate_is_near_the_similarity(spark):
     rng = np.random.default_rng(1)
     for share in (0.0, 0.5, 0.9):
