@@ -73,9 +73,26 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield kept
     finally:
         _SCRATCH.pop()
-        for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, own)
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are written within and stay: for a caller who knows when they are read no more."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1].extend(own)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
