@@ -11,6 +11,8 @@ further columns of documents travel along to the last stage, whatever their name
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lumengrid.llm import common, mixing, neardup, packing, privacy, quality
@@ -45,12 +47,31 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(common.written(packing.pieces(docs), "pieces"))
 
 
+#: Tables that the stage before has written beside its result.
+_BESIDE: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; when it begins, the stage before it has been written and reread, and what that one left is deleted."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.delete(spark, _BESIDE)
+        _BESIDE.clear()
+        with common.collected() as own:
+            out = stage(spark, docs, sf_dir)
+        _BESIDE.extend(own)
+        return out
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", keep_good),
-    ("near-duplicates", drop_near_copies),
-    ("personal data", sanitise),
-    ("mixing", mix),
-    ("packing", pack),
+    ("quality classifier", tidy(keep_good)),
+    ("near-duplicates", tidy(drop_near_copies)),
+    ("personal data", tidy(sanitise)),
+    ("mixing", tidy(mix)),
+    ("packing", tidy(pack)),
 ]
 
 
