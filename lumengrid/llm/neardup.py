@@ -10,12 +10,14 @@ collisions, a margin of five standard errors), then a comparison of the full set
 Equal sets are one node.  Two rounds compare every bucket's rows with one pivot (the row with the most candidates;
 in round two, of another component).  Buckets whose rows are by then one component are done.  Of the rest no bucket is
 held by one task and no text is copied: their rows get signatures of FINE one-bit minima (256 bytes), whose estimates
-err by a seventieth, and these are compared in blocks of BLOCK by BLOCK rows.  Each row names the `cap` likeliest rows of other components whose estimate passes; these pairs' full sets
-are compared and components joined, and so on, with a cap that grows sixteenfold each round, until no row has a partner
-left that it has not been compared with.  So no candidate link between different components is lost,
-and of a group of near copies few pairs are compared.  A bucket of n rows that are of many components costs n / BLOCK
-copies of its signatures and n^2 / 2 comparisons of them each round (see the README for figures).  Components are found
-by alternating large-star and small-star steps over tables in the shared folder.
+err by a seventieth, and these are compared in blocks of BLOCK by BLOCK rows.  Each row names the PARTNERS likeliest
+rows of other components whose estimate passes; these pairs' full sets are compared and components joined, and so on
+until a round links nothing: of a group of near copies few pairs are compared.  Rows of buckets that then still have
+partners left in other components (texts with a passage that makes them nearly, but not quite, alike) are compared
+with all of them, in blocks of SMALL by SMALL rows with their texts.  So no candidate link between different components
+is lost.  A bucket of n rows that are of many components to the end costs n^2 / 2 comparisons of signatures in each
+round, and n / SMALL copies of its texts in the last stage (see the README for figures).  Components are found by
+alternating large-star and small-star steps over tables in the shared folder.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^ROWS)^(PERMUTATIONS / ROWS) = 2e-5.
 
@@ -38,7 +40,7 @@ from . import common
 
 WIDTH, PERCENT = 5, 75
 PERMUTATIONS, ROWS, BITS, BLOCK = 200, 5, 4, 2_000
-FINE = 2_048
+FINE, PARTNERS, SMALL = 2_048, 4, 300
 _LONGS = -(-PERMUTATIONS * BITS // 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -205,19 +207,22 @@ def fine_signatures(texts: DataFrame, kind: str) -> DataFrame:
     return common.written(common.mapped(texts.select("key", "text"), f"key {kind}, bits array<long>", each), "fine")
 
 
-def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFrame:
+def cells(rows: DataFrame, block: int) -> DataFrame:
+    """rows (band, key, root) once for each pair of blocks (i, j) that theirs, `c`, is one of; bands of the same rows once."""
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.bit_xor(F.xxhash64("key")).alias("h2"))
+    once = common.written(sizes.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).withColumn("chunks", F.ceil(F.col("n") / block).cast("int")).select("band", "chunks"), "blocks")
+    chunk = F.pmod(F.xxhash64(F.lit(3), "key"), F.col("chunks")).cast("int")
+    placed = rows.join(once, "band").withColumn("c", chunk)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
+    return placed.select("band", "key", "root", "c", other).select("band", "key", "root", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+
+
+def in_blocks(rows: DataFrame, signed: DataFrame, kind: str, cap: int = PARTNERS) -> DataFrame:
     """Pairs (band, a, b) of rows (band, key, root) of the same band and of different roots whose estimate passes, and
     whether there are `more` in the band's block, as a table: of each row its `cap` likeliest partners.
 
     Rows of the component that most rows of a block are of name none: the other side of each of their pairs does.
     """
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.bit_xor(F.xxhash64("key")).alias("h2"))
-    once = common.written(sizes.groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "chunks"), "blocks")
-    chunk = F.pmod(F.xxhash64(F.lit(3), "key"), F.col("chunks")).cast("int")
-    placed = rows.join(once, "band").withColumn("c", chunk)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    cells = placed.select("band", "key", "root", "c", other).select("band", "key", "root", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    cells = cells.join(bits.select("key", "bits"), "key")
 
     def compare(cell: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key")
@@ -239,37 +244,68 @@ def in_blocks(rows: DataFrame, bits: DataFrame, kind: str, cap: int) -> DataFram
                 right += names[found].tolist()
         return pd.DataFrame({"band": [cell[0]] * len(left), "a": np.minimum(left, right), "b": np.maximum(left, right), "more": [more] * len(left)})
 
-    found = cells.groupBy("band", "i", "j").applyInPandas(compare, f"band long, a {kind}, b {kind}, more boolean")
+    found = cells(rows, BLOCK).join(signed, "key").groupBy("band", "i", "j").applyInPandas(compare, f"band long, a {kind}, b {kind}, more boolean")
     return common.written(found, "block-pairs")
 
 
+def in_small_blocks(rows: DataFrame, signed: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Links between rows (band, key, root) of the same band and of different roots: all pairs whose estimate passes
+    and whose components no link of the block has joined are compared on their full sets."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key").reset_index(drop=True)
+        names, roots, owner = part["key"].tolist(), part["root"].tolist(), {x: x for x in part["root"]}
+        words, sets, found = np.stack(part["bits"].to_numpy()).view(np.uint64), {}, []
+
+        def find(x):
+            while owner[x] != x:
+                owner[x] = owner[owner[x]]
+                x = owner[x]
+            return x
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingles(part["text"].iat[i])
+            return sets[i]
+
+        for i in range(len(part) - 1):
+            near = np.flatnonzero(estimates(words[i], words[i + 1 :]) >= PERCENT / 100 - _FINE_MARGIN) + i + 1
+            for j in near.tolist():
+                a, b = find(roots[i]), find(roots[j])
+                if a != b and linked(full(i), full(j)):
+                    owner[a] = b
+                    found.append((names[i], names[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    held = cells(rows, SMALL).join(signed, "key").join(texts.select("key", "text"), "key")
+    return common.written(held.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "block-links")
+
+
 def linked_in_blocks(rows: DataFrame, bits: DataFrame, texts: DataFrame, kind: str) -> DataFrame | None:
     """All links (a, b) that rows (band, key, root) of shared bands need to become the components they belong to."""
-    links = tested = None
-    cap = 4
+    links = None
     if rows.isEmpty():
         return None
     signed = fine_signatures(texts.join(rows.select("key").distinct(), "key", "left_semi"), kind)
     while not rows.isEmpty():
-        pairs = in_blocks(rows, signed, kind, cap)
-        cap *= 16
-        new = pairs.select("a", "b").distinct()
-        new = common.written(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "new-pairs")
-        tested = new if tested is None else common.written(tested.unionByName(new), "tested")
-        found = verified(new, bits, texts, kind)
+        pairs = in_blocks(rows, signed, kind)
+        found = verified(common.written(pairs.select("a", "b").distinct(), "new-pairs"), bits, texts, kind)
         left = common.written(pairs.filter("more").select("band").distinct(), "open")
-        if not found.isEmpty():
-            links = found if links is None else common.written(links.unionByName(found), "links")
-            if left.isEmpty():
-                break
-            # the links between roots: components of these, few, are enough to go on with
-            root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
-            between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            joined = components(between).select(F.col("key").alias("root"), F.col("root").alias("top"))
-            rows = common.written(rows.join(joined, "root", "left").select("band", "key", F.coalesce("top", "root").alias("root")), "rooted")
-            several = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
-            left = several.join(left, "band")
-        rows = common.written(rows.join(left, "band", "left_semi"), "rooted")
+        if left.isEmpty() or found.isEmpty():
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+            if not left.isEmpty():
+                last = in_small_blocks(common.written(rows.join(left, "band", "left_semi"), "rooted"), signed, texts, kind)
+                links = last if links is None else links.unionByName(last)
+            break
+        links = found if links is None else common.written(links.unionByName(found), "links")
+        # the links between roots: components of these, few, are enough to go on with
+        root = lambda k: rows.select(F.col("key").alias(k), F.col("root").alias(f"r{k}")).distinct()
+        between = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = components(between).select(F.col("key").alias("root"), F.col("root").alias("top"))
+        rows = common.written(rows.join(joined, "root", "left").select("band", "key", F.coalesce("top", "root").alias("root")), "rooted")
+        several = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
+        rows = common.written(rows.join(several.join(left, "band"), "band", "left_semi"), "rooted")
     return links
 
 
