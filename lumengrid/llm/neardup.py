@@ -40,7 +40,7 @@ from . import common
 
 WIDTH, PERCENT = 5, 75
 PERMUTATIONS, ROWS, BITS, BLOCK = 200, 5, 4, 2_000
-FINE, PARTNERS, SMALL = 2_048, 4, 300
+FINE, PARTNERS, SMALL = 2_048, 4, 600
 _LONGS = -(-PERMUTATIONS * BITS // 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
